@@ -7,12 +7,14 @@ white-space pieces in turn. Pieces repeat; each worker keeps the ids of pieces i
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 
 import numpy as np
 
 #: Entries of the table of a worker; it starts anew when full.
 TABLE_SIZE = 300_000
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
 _PLAIN = re.compile(rb"([a-z\x80-\xff]{1,40})([.,]*)\Z")
 
 
@@ -27,24 +29,36 @@ def _byte_chars() -> list[str]:
 
 
 class WordTable(dict):
-    """Piece (bytes, ASCII lower case) -> its ids as packed little-endian unsigned 32-bit numbers."""
+    """Piece (bytes, ASCII lower case) -> its ids as packed little-endian unsigned 32-bit numbers.
+
+    Two generations of at most TABLE_SIZE entries: when the young one is full it becomes the old one, and
+    pieces met again move over, so common ones never leave.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model.tokenize
         self.chars = _byte_chars()
+        self.old: dict[bytes, bytes] = {}
 
     def __missing__(self, piece: bytes) -> bytes:
-        plain = _PLAIN.match(piece)
-        ids = self._word(plain[1]) if plain else None
+        ids = self.old.get(piece)
         if ids is None:
-            ids = self._any(piece)
-        elif plain[2]:
-            ids += self[plain[2]]
+            plain = _PLAIN.match(piece)
+            if plain and plain[2]:
+                ids = self[plain[1]] + self[plain[2]]  # one entry for a word, whatever follows it
+                if len(piece) > 8:
+                    return ids
+            else:
+                ids = self._word(piece) if plain else None
+                if ids is None:
+                    ids = self._any(piece)
         if len(piece) <= 48:
             if len(self) >= TABLE_SIZE:
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -55,14 +69,13 @@ class WordTable(dict):
 
     def _word(self, word: bytes) -> bytes | None:
         """Of a lower-case word of letters, straight from the BPE model; None where it needs the normaliser."""
-        if word.isascii():
-            text = word.decode()
-        else:
-            plain = word.decode("utf-8", "replace")
-            if not plain.isalpha() or plain != plain.lower() or not unicodedata.is_normalized("NFC", plain):
+        text = word.decode("utf-8", "replace")
+        if not word.isascii():
+            if not text.isalpha() or text != text.lower() or not unicodedata.is_normalized("NFC", text):
                 return None
             text = "".join(map(self.chars.__getitem__, word))
-        return np.array([t.id for t in self.tokenizer.model.tokenize(text)], "<u4").tobytes()
+        ids = [t.id for t in self.model(text)]
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
 
     def encode(self, text: bytes) -> bytes:
         """Packed ids of a whole UTF-8 text."""
