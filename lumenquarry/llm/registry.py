@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Module of each query.
-MODULES = ("q_toxic", "q_print", "q_pii", "q_exact", "q_shard", "q_mix", "q_pack", "q_near", "q_lm")
+MODULES = ("q_toxic", "q_print", "q_pii", "q_shard", "q_url", "q_exact", "q_mix", "q_pack", "q_near", "q_lm")
 
 
 def _modules():
