@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenquarry.plans.base import QUERIES, SQL
+
+AREAS = ("text", "retrieval")
+
+for area in AREAS:
+    import_module(f"lumenquarry.plans.{area}")
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return QUERIES["hybrid_rrf"](spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries():
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
