@@ -21,6 +21,8 @@ LEAF = r"[^.!?]{1,40}[.!?]*|[.!?]+"
 SHORT = 8
 #: Rows that a block of neighbouring ids aims at, and the most boundaries drawn from the ids' distribution.
 NEIGHBOURS, BOUNDARIES = 1500, 1024
+#: Blocks whose first ids are broadcast (24 bytes each).
+BROADCAST_BLOCKS = 200_000
 
 
 def tree(text: Column) -> Column:
@@ -74,8 +76,8 @@ def changed_branches(a: Column, b: Column) -> Column:
     return F.flatten(F.transform(indexes(F.greatest(F.size(x), F.size(y))), in_section))
 
 
-def _block_of(docs: DataFrame, id_col: str) -> Column:
-    """A non-decreasing map of ids to blocks of about NEIGHBOURS rows; null ids come first.
+def _block_of(docs: DataFrame, id_col: str) -> tuple[Column, int]:
+    """A non-decreasing map of ids to blocks of about NEIGHBOURS rows, and how many blocks; null ids come first.
 
     Boundaries are quantiles of the ids (a sketch of bounded size), found in two steps of 32; beyond
     BOUNDARIES blocks each interval is cut evenly.
@@ -89,7 +91,7 @@ def _block_of(docs: DataFrame, id_col: str) -> Column:
     x = F.col(id_col)
     coarse = [at[i : i + 32] for i in range(0, len(at), 32)]
     if not coarse:
-        return F.lit(0)
+        return F.coalesce(F.when(x.isNotNull(), 0), F.lit(-1)).cast("long"), 2
     which = F.size(F.filter(F.array(*[F.lit(c[0]) for c in coarse]), lambda b: b <= x))  # coarse steps not beyond x
     fine = F.get(F.array(*[F.array(*map(F.lit, c)) for c in coarse]), which - 1)
     block = F.when(which > 0, (which - 1) * 32 + F.size(F.filter(fine, lambda b: b <= x))).otherwise(0)
@@ -97,7 +99,7 @@ def _block_of(docs: DataFrame, id_col: str) -> Column:
         low, high = F.get(F.array(*map(F.lit, at)), block - 1), F.get(F.array(*map(F.lit, at)), block)
         step = F.floor((x - low) / (high - low) * inner)
         block = block * inner + F.coalesce(F.greatest(F.lit(0), F.least(F.lit(inner - 1), step)), F.lit(0))
-    return F.coalesce(block, F.lit(-1)).cast("long")
+    return F.coalesce(F.when(x.isNotNull(), block), F.lit(-1)).cast("long"), (len(at) + 1) * inner + 1
 
 
 def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id") -> DataFrame:
@@ -108,7 +110,7 @@ def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id") -> Da
     other in the order of `columns`; null ids come first.
     """
     rows = docs.select(id_col, *columns)
-    block = _block_of(docs, id_col)
+    block, blocks = _block_of(docs, id_col)
     rows = rows.withColumn("__block", block)
     firsts = docs.select(id_col).withColumn("__block", block).groupBy("__block").agg(F.min(id_col).alias("__first"))
     w = Window.orderBy("__block")
@@ -116,7 +118,8 @@ def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id") -> Da
         "__block", "__first",
         F.coalesce(F.lag("__block").over(w), F.max("__block").over(Window.partitionBy())).alias("__before"),
     )
-    rows = rows.join(firsts, "__block")
+    # a row of 24 bytes for each block; beyond the bound Spark picks the join
+    rows = rows.join(F.broadcast(firsts) if blocks <= BROADCAST_BLOCKS else firsts, "__block")
     halo = F.col(id_col).eqNullSafe(F.col("__first"))
     places = F.when(halo, F.array(
         F.struct(F.col("__block").alias("b"), F.lit(False).alias("halo")), F.struct(F.col("__before").alias("b"), F.lit(True).alias("halo"))
