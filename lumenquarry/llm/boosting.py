@@ -26,7 +26,8 @@ class BoostedTrees:
         return np.stack([np.searchsorted(e, x[:, k], "right") for k, e in enumerate(self.edges)], axis=1)
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
-        self.edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) for k in range(x.shape[1])]
+        marks = np.linspace(0, 1, BINS + 1)[1:-1]
+        self.edges = [np.unique(np.quantile(x[:, k], marks)) if len(x) else np.empty(0) for k in range(x.shape[1])]
         b = self._bins(x)
         rate = np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
         self.bias = float(np.log(rate / (1 - rate)))

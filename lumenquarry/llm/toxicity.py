@@ -3,14 +3,14 @@
 Features are densities of lexicons, second-person words near lexicon words, capitals, punctuation and
 obfuscated spellings. Besides a small fixed lexicon there is a learned one: words, and word beginnings (which
 catch inflected forms in any language), that labelled training rows show to be commoner in toxic texts. The
-model is fitted on a bounded seeded sample of labelled rows; a first part of it gives the lexicon, a second the
-trees, a third the calibration, so none is judged on what it was learned from.
+model is fitted on a bounded seeded sample of labelled rows in two halves: the features of one half use the
+lexicon of the other, and the calibration uses margins of trees grown on the other half, so nothing is judged
+on what it was learned from.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 import pandas as pd
@@ -19,14 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenquarry.llm.boosting import BoostedTrees, Isotonic
-from lumenquarry.llm.common import small_batches, text_of
+from lumenquarry.llm.common import cut, small_batches, text_of
 
 #: Labelled rows that the model is fitted on, at most (about, as a seeded share of all).
-SAMPLE_ROWS = 16_000
+SAMPLE_ROWS = 12_000
 #: Entries of the learned lexicon, at most.
 LEXICON_SIZE = 20_000
 #: Toxic rows that must hold an entry, and how much commoner it must be there (log of the ratio).
-LEXICON_ROWS, LEXICON_ODDS = 4, 1.5
+LEXICON_ROWS, LEXICON_ODDS = 3, 1.5
 PREFIXES = (4, 5, 6, 8)
 
 # Common insults and second-person words.
@@ -37,11 +37,12 @@ INSULTS = frozenset(
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre tú usted ti tuyo vosotros".split())
 
 _WORDS = re.compile(r"[^\W\d_]+")
-_CAPITAL_WORD = re.compile(r"\b[A-ZÄÖÜÉÈÀÑ]{3,}\b")
-_LEET = re.compile(r"\w*(?:[A-Za-z][0-9@$!]+[A-Za-z]|[0-9@$]+[A-Za-z]{2})\w*")
+_CAPITALS = re.compile(r"[A-ZÀ-ÖØ-Þ]+")
+_PUNCTUATION = re.compile(r"[^\w\s]+")
+_LEET = re.compile(r"[A-Za-z][0-9@$!]+[A-Za-z]|[0-9@$]+[A-Za-z]{2}")
 _SPACED = re.compile(r"\b(?:\w[ .*_-]){3,}\w\b")
-_REPEAT = re.compile(r"(\w)\1{2,}")
 _MASKED = re.compile(r"\w[*#@$%]{2,}\w?")
+_TRIPLES = [c * 3 for c in "abcdefghijklmnopqrstuvwxyzäöüßéèêàçñíóú"]
 _FOLD = str.maketrans("013457@$!", "oieastasi")
 NAMES = (
     "insult_density", "insults", "learned_density", "learned_hits", "learned_sum", "learned_max", "learned_kinds",
@@ -55,35 +56,48 @@ def units(word: str) -> list[str]:
     return [word, *[word[:n] + "-" for n in PREFIXES if len(word) > n]]
 
 
-def features(text: str, lexicon: dict[str, float]) -> list[float]:
+class Lexicon(dict):
+    """Word -> the strongest of its units, 0 if none is in the lexicon; looked up once a worker, in a bounded table."""
+
+    def __init__(self, odds: dict[str, float]):
+        super().__init__()
+        self.odds = odds
+
+    def __missing__(self, word: str) -> float:
+        value = max((self.odds.get(u, 0.0) for u in units(word)), default=0.0)
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = value
+        return value
+
+    def __reduce__(self):
+        return Lexicon, (self.odds,)
+
+
+def features(text: str, lexicon: Lexicon) -> list[float]:
     """The dense features of a whole text, in the order of NAMES."""
     low = text.lower()
     words = _WORDS.findall(low)
     n = len(words) or 1
     chars = len(text) or 1
-    seen: dict[str, float] = {}
+    values = list(map(lexicon.__getitem__, words))
+    hits = [i for i, v in enumerate(values) if v > 0]
+    strong = [values[i] for i in hits]
     insult = [i for i, w in enumerate(words) if w in INSULTS]
-    hits = []
-    for i, w in enumerate(words):
-        v = seen.get(w)
-        if v is None:
-            v = seen[w] = max((lexicon.get(u, 0.0) for u in units(w)), default=0.0)
-        if v > 0:
-            hits.append((i, v))
-    strong = [v for _, v in hits]
     second = [i for i, w in enumerate(words) if w in SECOND_PERSON]
-    marks = set(insult) | {i for i, _ in hits}
+    marks = {*insult, *hits}
     near = sum(any(j in marks for j in range(i - 4, i + 5)) for i in second) if marks else 0
-    leet = _LEET.findall(text) if any(c in text for c in "013457@$!") else []
-    folded = sum(w in INSULTS or lexicon.get(w, 0.0) > 3 for x in leet for w in _WORDS.findall(x.lower().translate(_FOLD)))
-    capitals = sum(map(str.isupper, text)) if not text.islower() else 0
-    punctuation = len(text) - len(re.sub(r"[^\w\s]", "", text))
+    odd = [w for w in text.split() if not w.isalpha()]
+    leet = [w for w in odd if _LEET.search(w)]
+    folded = sum(w in INSULTS or lexicon.odds.get(w, 0.0) > 3 for x in leet for w in _WORDS.findall(x.lower().translate(_FOLD)))
+    capitals = _CAPITALS.findall(text)
+    masked = len(_MASKED.findall(text)) if any(c in text for c in "*#@$%") else 0
     return [
         len(insult) / n, len(insult), len(strong) / n, len(strong), sum(strong), max(strong, default=0.0),
-        len({words[i] for i, _ in hits}), sum(v > 3 for v in strong) / n, len(second) / n, near, capitals / chars,
-        len(_CAPITAL_WORD.findall(text)), text.count("!"), text.count("?"), punctuation / chars,
+        len({words[i] for i in hits}), sum(v > 3 for v in strong) / n, len(second) / n, near, sum(map(len, capitals)) / chars,
+        sum(len(c) > 2 for c in capitals), text.count("!"), text.count("?"), sum(map(len, _PUNCTUATION.findall(text))) / chars,
         sum(text.count(d) for d in "0123456789") / chars, len(leet) / n, len(_SPACED.findall(text)),
-        len(_REPEAT.findall(low)) / n, len(_MASKED.findall(text)) / n, folded, np.log1p(len(words)), chars / n,
+        sum(low.count(t) for t in _TRIPLES) / n, masked / n, folded, np.log1p(len(words)), chars / n,
     ]
 
 
@@ -91,22 +105,25 @@ class Model:
     """A fitted scorer; small, so it is broadcast."""
 
     def __init__(self, lexicon: dict[str, float], trees: BoostedTrees, calibrate: Isotonic):
-        self.lexicon, self.trees, self.calibrate = lexicon, trees, calibrate
+        self.lexicon, self.trees, self.calibrate = Lexicon(lexicon), trees, calibrate
 
     def scores(self, texts: list[str]) -> np.ndarray:
         x = np.array([features(t, self.lexicon) for t in texts]).reshape(-1, len(NAMES))
         return self.calibrate(self.trees.margin(x))
 
 
-def _draw(key: str) -> float:
-    return zlib.crc32(key.encode()) / 2**32
+def _lexicon(counted: DataFrame, toxic: Column, rows: Column, n_toxic: int, n_clean: int) -> dict[str, float]:
+    odds = F.log((toxic + 0.3) / (n_toxic + 1)) - F.log((rows - toxic + 0.3) / (n_clean + 1))
+    kept = counted.where(toxic >= LEXICON_ROWS).withColumn("odds", odds).where(F.col("odds") >= LEXICON_ODDS)
+    top = kept.orderBy((F.col("odds") * F.sqrt(toxic)).desc(), "u").limit(LEXICON_SIZE)
+    return {r["u"]: r["odds"] for r in top.select("u", "odds").collect()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on labelled rows where held_out is false: a seeded sample of about SAMPLE_ROWS at most.
 
-    The driver gets the lexicon and the features of the sample, no texts; words are counted where they are.
-    Rows with a null id or label are left out. Without labelled rows of both kinds the score is a constant.
+    The driver gets lexicons and the features of the sample, no texts; words are counted where they are. Rows
+    with a null id or label are left out. Without labelled rows of both kinds the score is a constant.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -114,38 +131,43 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc
     known = known.groupBy(id_col).agg((F.max("toxic") > 0).cast("int").alias("label"))
     n = known.count()
     share = min(1.0, SAMPLE_ROWS / n) if n else 1.0
-    draw = F.crc32(F.concat(F.lit("sample:"), F.col(id_col).cast("string")).cast("binary")) / float(2**32)
-    sample = known.where(draw < share).select(F.col(id_col).alias("__id"), "label")
-    rows = docs.join(F.broadcast(sample), F.col(id_col) == F.col("__id"))  # at most SAMPLE_ROWS ids and labels
+    draw = lambda seed, c: F.crc32(F.concat(F.lit(f"{seed}:"), F.col(c).cast("string")).cast("binary")) / float(2**32)
+    sample = known.where(draw("sample", id_col) < share).select(F.col(id_col).alias("__id"), "label")
+    rows = docs.join(F.broadcast(sample), F.col(id_col) == F.col("__id"))  # at most about SAMPLE_ROWS ids and labels
     rows = rows.select(F.col("__id").cast("string").alias("id"), "label", text_of(text_col).alias("text"))
+    rows = cut(rows.withColumn("half", (draw("half", "id") < 0.5).cast("int")))
 
     def split(batches):
         for batch in batches:
             held = [sorted({u for w in set(_WORDS.findall(t.lower())) for u in units(w)}) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held, pa.list_(pa.string()))], ["id", "label", "units"])
-
-    part = F.crc32(F.concat(F.lit("part:"), F.col("id")).cast("binary")) / float(2**32)
-    first = rows.where(part < 0.4).mapInArrow(split, "id string, label int, units array<string>")
-    sizes = {r["label"]: r["count"] for r in first.groupBy("label").count().collect()}
-    counted = first.select("label", F.explode("units").alias("u")).groupBy("u").agg(F.sum("label").alias("toxic"), F.count("*").alias("rows"))
-    odds = F.log((F.col("toxic") + 0.3) / (sizes.get(1, 0) + 1)) - F.log((F.col("rows") - F.col("toxic") + 0.3) / (sizes.get(0, 0) + 1))
-    counted = counted.where(F.col("toxic") >= LEXICON_ROWS).withColumn("odds", odds).where(F.col("odds") >= LEXICON_ODDS)
-    top = counted.orderBy((F.col("odds") * F.sqrt("toxic")).desc(), "u").limit(LEXICON_SIZE)
-    lexicon = {r["u"]: r["odds"] for r in top.select("u", "odds").collect()}
-    told = spark.sparkContext.broadcast(lexicon)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held, pa.list_(pa.string()))], ["label", "half", "units"])
+
+    found = rows.select("label", "half", "text").mapInArrow(split, "label int, half int, units array<string>")
+    in_half = lambda c, k: F.sum(F.when(F.col("half") == k, c).otherwise(0))
+    counted = found.select("label", "half", F.explode("units").alias("u")).groupBy("u").agg(
+        *[in_half(F.col("label"), k).alias(f"t{k}") for k in (0, 1)], *[in_half(F.lit(1), k).alias(f"n{k}") for k in (0, 1)]
+    )
+    counted = cut(counted.where("t0 + t1 > 1"))
+    sizes = {(r["half"], r["label"]): r["count"] for r in rows.groupBy("half", "label").count().collect()}
+    size = lambda label, *halves: sum(sizes.get((h, label), 0) for h in halves)
+    # a row's features use the lexicon of the half that it isn't in
+    apart = [_lexicon(counted, F.col(f"t{k}"), F.col(f"n{k}"), size(1, k), size(0, k)) for k in (1, 0)]
+    whole = _lexicon(counted, F.col("t0") + F.col("t1"), F.col("n0") + F.col("n1"), size(1, 0, 1), size(0, 0, 1))
+    told = spark.sparkContext.broadcast([Lexicon(x) for x in apart])
 
     def measure(batches):
         for batch in batches:
-            x = [features(t, told.value) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64()))], ["id", "label", "x"])
+            x = [features(t, told.value[h]) for t, h in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(x, pa.list_(pa.float64()))], ["id", "label", "half", "x"])
 
-    table = rows.where(part >= 0.4).mapInArrow(measure, "id string, label int, x array<double>").toArrow()
-    table = table.sort_by("id")
-    y = table.column("label").to_numpy().astype(np.float64)
+    table = rows.select("id", "label", "text", "half").mapInArrow(measure, "id string, label int, half int, x array<double>").toArrow().sort_by("id")
+    y, half = (table.column(c).to_numpy().astype(np.float64) for c in ("label", "half"))
     x = np.array(table.column("x").to_pylist(), np.float64).reshape(-1, len(NAMES))
-    later = np.array([_draw(f"part:{i}") >= 0.8 for i in table.column("id").to_pylist()], bool)
-    trees = BoostedTrees().fit(x[~later], y[~later])
-    return Model(lexicon, trees, Isotonic(trees.margin(x[later]), y[later]))
+    # calibration: margins of each half from trees grown on the other
+    margins = np.zeros(len(y))
+    for k in (0, 1):
+        margins[half == k] = BoostedTrees().fit(x[half != k], y[half != k]).margin(x[half == k])
+    return Model(whole, BoostedTrees().fit(x, y), Isotonic(margins, y))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
