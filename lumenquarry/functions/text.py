@@ -112,7 +112,7 @@ def words(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-case pieces between white space, without empty ones (the retrieval analyser)."""
-    return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"\s+", -1), "")
 
 
 def truncated(text: Column, most: int = 1000, suffix: str = "...") -> Column:
