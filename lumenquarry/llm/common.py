@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,8 +40,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, once a session, unless PYTHONPATH gives it to them already."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parents[2]
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_lumenquarry_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="package-")) / "lumenquarry.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted((root / "lumenquarry").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(archive))
+    sc._lumenquarry_shipped = True
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows of an Arrow batch, so that a batch of very long texts fits a worker."""
+    """Prepare Arrow functions: the package on the workers, and few rows a batch, so that very long texts fit."""
+    ship_package(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))

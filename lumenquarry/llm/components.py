@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenquarry.llm.common import cut
+from lumenquarry.llm.common import cut, ship_package
 
 #: Links that one task joins by union-find before the rounds (16 bytes each).
 LOCAL_LINKS = 500_000
@@ -47,6 +47,7 @@ def components(links: DataFrame, rounds: int = 40, local_links: int = LOCAL_LINK
     the number of rounds grows with the logarithm of the longest path left. A centre's links are aggregated as
     minima, so no node's neighbourhood is held as a list. Raises if `rounds` don't settle the labels.
     """
+    ship_package(links.sparkSession)
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     parts = -(-edges.count() // local_links) or 1
     few = edges.coalesce(parts) if parts < edges.rdd.getNumPartitions() else edges
