@@ -4,9 +4,10 @@ Counts of one- and two-token sequences of the training documents are summed over
 combines its own first). A count c is quantised to level 1 + floor(log2(c) * STEPS); the filter holds the
 sequence once for each level up to its own. A reader probes level after level until a miss, so the highest
 level present tells the count to within a step, and a false positive can only raise it by one level with the
-filter's small error rate. The filter is split in segments, each filled by one task; what the workers get is a
-bit table of bounded size. With more sequences than the bits allow, pairs of the lowest levels stay out and
-their probability falls back on single tokens.
+filter's small error rate. The filter is split in segments, each filled by one task, and has bits for every entry
+of every sequence, so that rate is the same for any corpus. Up to BROADCAST_BITS the workers get all segments; a
+larger filter is never gathered: the sequences of a chunk of documents go to the tasks that hold their segments and
+the levels come back. Both ways give the same scores.
 
 The exact unigram part comes from counts of the commonest tokens, broadcast up to a fixed number; tokens beyond
 them are looked up by a join.
@@ -24,17 +25,22 @@ from lumenquarry.llm.common import cut, small_batches, text_of
 
 #: Levels for a doubling of the count.
 STEPS = 2
-#: Most bits of the filter (64 MB), and bits for each entry below that.
-MAX_BITS = 1 << 29
+#: Bits of the filter for each entry, and most bits that are broadcast (64 MB); more are looked up by segment.
 BITS_PER_ENTRY = 12
+BROADCAST_BITS = 1 << 29
 PROBES = 4
 SEGMENT_BITS = 1 << 20
+#: Segments that one task fills and probes at a time, and tokens and documents that are looked up together.
+GROUP = 16
+CHUNK_TOKENS, CHUNK_DOCS = 1 << 17, 1 << 14
 #: Most token counts that are broadcast (16 bytes each).
 BROADCAST_TOKENS = 1 << 20
 #: Weight of the two-token probability where its context was seen.
 WEIGHT = 0.7
 ADD = 0.1
 
+NAMES = ["id", "held_out", "n_tokens", "n_known", "base_score", "rest"]
+
 _END = b"\n"  # white space, so never a token
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -79,24 +85,37 @@ def positions(hashes: np.ndarray, levels: np.ndarray, segments: int) -> tuple[np
     return seg.astype(np.int64), ((a[:, None] + b[:, None] * i) % np.uint64(SEGMENT_BITS)).astype(np.int64)
 
 
+def filled(h: np.ndarray, levels: np.ndarray, segments: int, first: int = 0, n: int = 1) -> np.ndarray:
+    """The bits of n segments from the first on, packed: an entry of each hash for every level up to its own."""
+    bits = np.zeros(n * SEGMENT_BITS, bool)
+    for step in range(1, int(levels.max(initial=0)) + 1):
+        h, levels = h[levels >= step], levels[levels >= step]
+        seg, at = positions(h, np.full(len(h), step), segments)
+        bits[((seg - first)[:, None] * SEGMENT_BITS + at).ravel()] = True
+    return np.packbits(bits, bitorder="little")
+
+
 class LogFrequencyFilter:
-    """The bits of all segments, and the reader's probes."""
+    """The bits of the segments from the first on, of so many in all, and the reader's probes."""
 
-    def __init__(self, segments: list[bytes]):
-        self.segments = len(segments)
-        self.bits = np.frombuffer(b"".join(segments), np.uint8)
+    def __init__(self, bits: np.ndarray, segments: int, first: int = 0):
+        self.bits, self.segments, self.first = bits, segments, first
 
-    def counts(self, hashes: np.ndarray) -> np.ndarray:
-        """Approximate counts: level after level until a probe misses."""
+    def levels(self, hashes: np.ndarray) -> np.ndarray:
+        """Level after level until a probe misses."""
         level = np.zeros(len(hashes), np.int64)
         alive = np.arange(len(hashes))
         while len(alive):
             seg, at = positions(hashes[alive], level[alive] + 1, self.segments)
-            bit = seg[:, None] * SEGMENT_BITS + at
+            bit = (seg - self.first)[:, None] * SEGMENT_BITS + at
             hit = ((self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).all(axis=1)
             alive = alive[hit]
             level[alive] += 1
-        return count_of(level)
+        return level
+
+    def counts(self, hashes: np.ndarray) -> np.ndarray:
+        """Approximate counts."""
+        return count_of(self.levels(hashes))
 
 
 def count_sequences(texts: DataFrame) -> DataFrame:
@@ -131,31 +150,34 @@ def count_sequences(texts: DataFrame) -> DataFrame:
     return part.groupBy("order", "h").agg(F.sum("c").alias("c"))
 
 
+def segments_for(counts: DataFrame) -> int:
+    """Segments of a filter with BITS_PER_ENTRY for every entry of every sequence."""
+    by_level = counts.groupBy(_level().alias("level")).count().collect()  # some dozens of rows
+    return sum(r["count"] * r["level"] for r in by_level) * BITS_PER_ENTRY // SEGMENT_BITS + 1
+
+
+def _level() -> Column:
+    return (F.floor(F.log2("c") * STEPS + 1e-9) + 1).cast("int")
+
+
+def _entries(counts: DataFrame, segments: int) -> DataFrame:
+    seg = F.shiftrightunsigned(F.shiftrightunsigned("h", 32) * segments, 32)
+    return counts.select(seg.alias("seg"), "h", _level().alias("level"))
+
+
 def build_filter(counts: DataFrame) -> LogFrequencyFilter:
-    """Fill the filter: one task a segment; the driver gets at most MAX_BITS."""
-    level = (F.floor(F.log2("c") * STEPS + 1e-9) + 1).cast("int")
-    by_level = counts.groupBy("order", level.alias("level")).count().collect()  # some dozens of rows
-    entries = sum(r["count"] * r["level"] for r in by_level)
-    room = MAX_BITS // BITS_PER_ENTRY
-    least = 1
-    while entries > room and least < 64:  # pairs of the lowest level leave first
-        entries -= sum(r["count"] * r["level"] for r in by_level if r["order"] == 2 and r["level"] == least)
-        least += 1
-    segments = max(1, min(MAX_BITS, entries * BITS_PER_ENTRY) // SEGMENT_BITS + 1)
+    """Fill the whole filter: one task a segment; the driver gets all bits, so only for at most BROADCAST_BITS."""
+    segments = segments_for(counts)
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        h, levels = t.column("h").to_numpy().view(np.uint64), t.column("level").to_numpy()
-        bits = np.zeros(SEGMENT_BITS, bool)
-        for step in range(1, int(levels.max()) + 1):
-            h, levels = h[levels >= step], levels[levels >= step]
-            bits[positions(h, np.full(len(h), step), segments)[1].ravel()] = True
-        return pa.table({"seg": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
-
-    kept = counts.where((F.col("order") == 1) | (level >= least))
-    seg = F.shiftrightunsigned(F.shiftrightunsigned("h", 32) * segments, 32)
-    kept = kept.select(seg.alias("seg"), "h", level.alias("level"))
-    filled = {r["seg"]: bytes(r["bits"]) for r in kept.groupBy("seg").applyInArrow(run, "seg long, bits binary").toLocalIterator()}
-    return LogFrequencyFilter([filled.get(i, bytes(SEGMENT_BITS // 8)) for i in range(segments)])
+        seg = key[0].as_py()
+        bits = filled(t.column("h").to_numpy().view(np.uint64), t.column("level").to_numpy(), segments, seg)
+        return pa.table({"seg": pa.array([seg], pa.int64()), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    kept = _entries(counts, segments)
+    done = {r["seg"]: bytes(r["bits"]) for r in kept.groupBy("seg").applyInArrow(run, "seg long, bits binary").toLocalIterator()}
+    bits = b"".join(done.get(i, bytes(SEGMENT_BITS // 8)) for i in range(segments))
+    return LogFrequencyFilter(np.frombuffer(bits, np.uint8), segments)
 
 
 def _common(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
@@ -189,48 +211,89 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     counts = cut(count_sequences(rows.where("not held_out").select("text")))
     tokens = counts.where("order = 1").select("h", "c")
     total, kinds = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    model = spark.sparkContext.broadcast((build_filter(counts), *_common(tokens)[:2]))
+    segments = segments_for(counts)
+    small = segments * SEGMENT_BITS <= BROADCAST_BITS
+    model = spark.sparkContext.broadcast((build_filter(counts) if small else None, *_common(tokens)[:2]))
     whole = len(model.value[1]) == kinds
     floor = ADD * (kinds + 1)
+    kind = docs.schema[id_col].dataType.simpleString()
+    fields = f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, rest array<long>"
+
+    def unigrams(batch, hs):
+        """The columns of `fields` for a batch, and the token hashes, their distinct values, places, starts."""
+        _, known, known_counts = model.value
+        ends = np.cumsum([len(h) for h in hs])
+        starts = ends - [len(h) for h in hs]
+        h = np.concatenate(hs)
+        one, at = np.unique(h, return_inverse=True)
+        place = np.minimum(np.searchsorted(known, one), max(0, len(known) - 1))
+        found = known[place] == one if len(known) else np.zeros(len(one), bool)
+        exact = np.where(found, known_counts[place] if len(known) else 0, 0)
+        base = np.log10(exact + ADD) - np.log10(total + floor)
+        rest = ~found[at]
+        n_known = np.add.reduceat(found[at].astype(np.float64), starts)
+        base_score = np.add.reduceat(np.where(rest & ~whole, 0.0, base[at]), starts)
+        unknown = [h[s:e][rest[s:e]].view(np.int64) if not whole else [] for s, e in zip(starts, ends, strict=True)]
+        columns = [
+            batch.column(0), batch.column(1), pa.array(ends - starts, pa.int64()), pa.array(n_known.astype(np.int64)),
+            pa.array(base_score), pa.array(unknown, pa.list_(pa.int64())),
+        ]
+        return columns, one, at, starts
+
+    def scores(near, end, at, starts, pair_count):
+        """Sum of log10 of the interpolated probability for each document, from the counts of tokens and pairs."""
+        context = np.empty(len(at), np.float64)
+        context[1:] = near[at[:-1]]
+        context[starts] = end
+        single = (near[at] + ADD) / (total + floor)
+        ratio = np.minimum(1.0, pair_count / np.maximum(context, 1.0))
+        p = np.where(context > 0, WEIGHT * ratio + (1 - WEIGHT) * single, single)
+        return np.add.reduceat(np.log10(p), starts)
 
     def run(batches):
-        lm, known, known_counts = model.value
-        norm = np.log10(total + floor)
+        lm = model.value[0]
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
             hs = [token_hashes(t) for t in batch.column(2).to_pylist()]
-            ends = np.cumsum([len(h) for h in hs])
-            starts = ends - [len(h) for h in hs]
-            h, pairs = np.concatenate(hs), np.concatenate([pair_hashes(h) for h in hs])
-            one, at = np.unique(h, return_inverse=True)
-            place = np.minimum(np.searchsorted(known, one), max(0, len(known) - 1))
-            found = known[place] == one if len(known) else np.zeros(len(one), bool)
-            exact = np.where(found, known_counts[place] if len(known) else 0, 0)
-            base = np.log10(exact + ADD) - norm
-            near = lm.counts(one)
-            two, at_two = np.unique(pairs, return_inverse=True)
-            pair_count = lm.counts(two)[at_two]
-            context = np.empty(len(h), np.float64)
-            context[1:] = near[at[:-1]]
-            context[starts] = lm.counts(np.array([xxhash.xxh3_64_intdigest(_END)], np.uint64))[0]
-            single = (near[at] + ADD) / (total + floor)
-            ratio = np.minimum(1.0, pair_count / np.maximum(context, 1.0))
-            p = np.where(context > 0, WEIGHT * ratio + (1 - WEIGHT) * single, single)
-            rest = ~found[at]
-            for to, v in zip(out, (np.where(rest & ~whole, 0.0, base[at]), np.log10(p), found[at]), strict=False):
-                to.append(np.add.reduceat(v.astype(np.float64), starts))
-            unknown = [h[s:e][rest[s:e]].view(np.int64) if not whole else [] for s, e in zip(starts, ends, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), batch.column(1), pa.array(ends - starts, pa.int64()), pa.array(out[2][0].astype(np.int64)),
-                    pa.array(out[0][0]), pa.array(out[1][0]), pa.array(unknown, pa.list_(pa.int64())),
-                ],
-                ["id", "held_out", "n_tokens", "n_known", "base_score", "score", "rest"],
-            )
+            columns, one, at, starts = unigrams(batch, hs)
+            two, at_two = np.unique(np.concatenate([pair_hashes(h) for h in hs]), return_inverse=True)
+            score = scores(lm.counts(one), lm.counts(_end())[0], at, starts, lm.counts(two)[at_two])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(score)], [*NAMES, "score"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rest array<long>"
-    scored = rows.mapInArrow(run, schema)
+    def pack(batches):
+        for batch in batches:
+            hs = [token_hashes(t) for t in batch.column(2).to_pylist()]
+            sizes = np.cumsum([len(h) for h in hs])
+            begin = 0
+            while begin < len(hs):  # a chunk of whole documents
+                used = sizes[begin - 1] if begin else 0
+                stop = min(max(begin + 1, int(np.searchsorted(sizes, used + CHUNK_TOKENS, "right"))), begin + CHUNK_DOCS)
+                columns, one, at, _ = unigrams(batch.slice(begin, stop - begin), hs[begin:stop])
+                rows = pa.StructArray.from_arrays(columns, NAMES)
+                listed = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
+                places = pa.compress(at.astype(np.uint32).tobytes(), "zstd", asbytes=True)
+                yield pa.RecordBatch.from_arrays([listed, pa.array([one.tobytes()]), pa.array([places])], ["docs", "one", "at"])
+                begin = stop
+
+    def by_chunk(packed: pa.Table, got: pa.Table) -> pa.Table:
+        rows = packed.column("docs").combine_chunks().flatten()
+        n_tokens = rows.field("n_tokens").to_numpy()
+        starts = np.cumsum(n_tokens) - n_tokens
+        one, at = _unpacked(packed.column("one")[0].as_py(), packed.column("at")[0].as_py(), int(n_tokens.sum()))
+        hashes = _sequences(one, at, starts)
+        order = np.argsort(got.column("part").to_numpy())  # parts are ranges of the sorted hashes
+        levels = got.column("levels").to_pylist()
+        count = count_of(np.frombuffer(b"".join(levels[i] for i in order), np.uint8).astype(np.int64))
+        of = lambda h: count[np.searchsorted(hashes, h)]
+        score = scores(of(one), of(_end())[0], at, starts, of(_pairs(one, at, starts)))
+        return pa.Table.from_arrays([*rows.flatten(), pa.array(score)], [*NAMES, "score"])
+
+    if small:
+        scored = rows.mapInArrow(run, f"{fields}, score double")
+    else:
+        packed = rows.mapInArrow(pack, f"docs array<struct<{fields.replace(' ', ':').replace(',:', ',')}>>, one binary, at binary")
+        packed = cut(packed.withColumn("chunk", F.monotonically_increasing_id()))
+        levels = _levels_by_segment(packed, counts, segments)
+        scored = packed.groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInArrow(by_chunk, f"{fields}, score double")
     if not whole:
         scored = _with_rare(cut(scored.withColumn("row", F.monotonically_increasing_id())), tokens, total, floor)
     return scored.select(
@@ -238,6 +301,59 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     )
 
 
+def _end() -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(_END)], np.uint64)
+
+
+def _unpacked(one: bytes, at: bytes, tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    places = pa.decompress(at, decompressed_size=4 * tokens, codec="zstd", asbytes=True)
+    return np.frombuffer(one, np.uint64), np.frombuffer(places, np.uint32).astype(np.int64)
+
+
+def _pairs(one: np.ndarray, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """pair_hashes of every document of a chunk."""
+    h = one[at]
+    before = np.empty_like(h)
+    before[1:] = h[:-1]
+    before[starts] = _end()[0]
+    return _mix(before * _PAIR + h)
+
+
+def _sequences(one: np.ndarray, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sorted distinct hashes of the tokens and pairs of a chunk."""
+    return np.unique(np.concatenate([one, _pairs(one, at, starts), _end()]))
+
+
+def _levels_by_segment(packed: DataFrame, counts: DataFrame, segments: int) -> DataFrame:
+    """Rows (chunk, part, levels): a byte for each of a chunk's sequences, in order of hash.
+
+    A part is GROUP segments. One task fills it from the counts and probes it for every chunk, so no table of all
+    bits is made; a chunk asks for a sequence once, so a hot one weighs little.
+    """
+
+    def ask(batches):
+        for batch in batches:
+            for chunk, n, one, at in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                n = np.array(n)
+                hashes = _sequences(*_unpacked(one, at, int(n.sum())), np.cumsum(n) - n)
+                part = (((hashes >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)) // np.uint64(GROUP)
+                parts, begin = np.unique(part, return_index=True)
+                blobs = [x.tobytes() for x in np.split(hashes, begin[1:])]
+                arrays = [pa.array(np.full(len(parts), chunk, np.int64)), pa.array(parts.astype(np.int64)), pa.array(blobs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["chunk", "part", "hashes"])
+
+    def answer(key: tuple[pa.Scalar, ...], entries: pa.Table, asked: pa.Table) -> pa.Table:
+        first = key[0].as_py() * GROUP
+        h, level = entries.column("h").to_numpy().view(np.uint64), entries.column("level").to_numpy()
+        lm = LogFrequencyFilter(filled(h, level, segments, first, min(GROUP, segments - first)), segments, first)
+        levels = [lm.levels(np.frombuffer(b, np.uint64)).astype(np.uint8).tobytes() for b in asked.column("hashes").to_pylist()]
+        return pa.table({"chunk": asked.column("chunk"), "part": asked.column("part"), "levels": pa.array(levels, pa.binary())})
+
+    asked = packed.select("chunk", "docs.n_tokens", "one", "at").mapInArrow(ask, "chunk long, part long, hashes binary")
+    entries = _entries(counts, segments).select(F.floor(F.col("seg") / GROUP).alias("part"), "h", "level")
+    return entries.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(answer, "chunk long, part long, levels binary")
+
+
 def _with_rare(scored: DataFrame, tokens: DataFrame, total: int, floor: float) -> DataFrame:
     """Add the unigram part of tokens that were not broadcast: each by a join with all counts."""
     rare = scored.select("row", F.explode("rest").alias("h")).groupBy("row", "h").agg(F.count("*").alias("times"))

@@ -138,6 +138,22 @@ def test_lm_filter_counts(spark):
     assert (lm.counts(rng.integers(0, 2**63, 4000, np.uint64)) == 0).mean() > 0.98
 
 
+def test_lm_large_filter_keeps_pairs(spark, monkeypatch):
+    """A filter too large to broadcast loses no pair: the scores are those of the broadcast one."""
+    text = lambda i: " ".join(f"w{(i * 37 + k * k) % 4001}" for k in range(400))
+    rows = [(i, text(i)) for i in range(300)] + [(300, None), (301, ""), (None, text(3)), (5, text(5))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for bits in (1 << 29, 1 << 20):
+        for name in ("BROADCAST_BITS", "MAX_BITS"):
+            monkeypatch.setattr(lm_scoring, name, bits, raising=False)
+        monkeypatch.setattr(lm_scoring, "GROUP", 1, raising=False)
+        monkeypatch.setattr(lm_scoring, "CHUNK_TOKENS", 3000, raising=False)
+        got = lm_scoring.score_documents(docs, F.col("doc_id") % 10 == 0).collect()
+        found.append(sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in got))
+    assert len(found[0]) == len(rows) and found[0] == found[1]
+
+
 def test_lm_odd_rows(spark):
     rows = [(1, None), (1, ""), (2, "a b a"), (2, "a b a"), (None, "A B"), (3, "c " * 4000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit(1))
