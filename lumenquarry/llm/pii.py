@@ -1,8 +1,8 @@
 """Personal data: base patterns, and terms that the corpus shows to reveal a protected entity.
 
 Base kinds (email, ip, card, phone) are patterns with their checks. Their values are the protected entities.
-For every entity and every word near its mentions the corpus gives the number of texts that hold both and the
-number that hold the word. Their ratio is the posterior: how surely someone who reads the word knows the
+For every entity and every word of the texts that mention it, however far away, the corpus gives the number of
+texts that hold both and the number that hold the word. Their ratio is the posterior: how surely someone who reads the word knows the
 entity; its logarithm against the entity's own share is the information disclosed, in bits. Words that exceed
 both thresholds with enough support are terms: their occurrences are marked in every text, generalised where
 the posterior is moderate and removed where it is high. DataFrame functions only.
@@ -23,8 +23,8 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone", "term")
 
-#: Characters on either side of a mention whose words are candidates, and the least letters of a word.
-WINDOW, LETTERS = 48, 4
+#: The least letters of a word that is a candidate.
+LETTERS = 4
 #: A term's least posterior, least bits, least number of different texts with the entity.
 POSTERIOR, BITS, SUPPORT = 0.5, 4.0, 2
 #: Posterior from which a term is removed and not generalised.
@@ -105,26 +105,28 @@ def disclosing_terms(rows: DataFrame) -> DataFrame:
     Texts that hold an entity or a word count once each, however often it is in them; copies of a text count
     as one for the support. The counts are taken over every row.
     """
-    with_entity = rows.where(F.size("spans") > 0)
-    with_entity = with_entity.select(F.xxhash64("text").alias("digest"), "text", F.explode("spans").alias("s"))
-    around = F.concat_ws(
-        " ",
-        F.expr(f"substring(text, greatest(s.start - {WINDOW} + 1, 1), least({WINDOW}, s.start))"),
-        F.expr(f"substring(text, s.end + 1, {WINDOW})"),
-    )
-    own = _words(F.col("s.value"))
-    near = with_entity.select(
-        "digest", F.xxhash64("s.kind", "s.value").alias("entity"), F.explode(F.array_except(_words(around), own)).alias("term")
-    )
-    # rows of one text: a digest counts as often as the text is there
-    times = rows.where(F.size("spans") > 0).groupBy(F.xxhash64("text").alias("digest")).agg(F.count("*").alias("times"))
-    near = near.distinct().join(times, "digest")
-    both = near.groupBy("entity", "term").agg(F.sum("times").alias("n_both"), F.count("*").alias("n_texts")).where(F.col("n_texts") >= SUPPORT)
-    entities = near.select("entity", "digest", "times").distinct().groupBy("entity").agg(F.sum("times").alias("n_entity"))
+    total = rows.count()
     held = rows.select(F.explode(F.array_distinct(F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)))).alias("h"))
     df = held.groupBy("h").agg(F.count("*").alias("n_term"))
-    total = rows.count()
-    both = both.withColumn("h", F.xxhash64("term")).join(df, "h").join(entities, "entity")
+    # rows of one text: a digest counts as often as the text is there
+    with_entity = rows.where(F.size("spans") > 0).select(F.xxhash64("text").alias("digest"), "text", "spans")
+    times = with_entity.groupBy("digest").agg(F.count("*").alias("times"), F.first("spans").alias("spans"))
+    mentions = times.select("digest", "times", F.explode("spans").alias("s"))
+    entity = F.xxhash64("s.kind", "s.value").alias("entity")
+    mentions = mentions.select("digest", "times", entity, _words(F.col("s.value")).alias("own"))
+    mentions = cut(mentions.dropDuplicates(["digest", "entity"]))
+    entities = mentions.groupBy("entity").agg(F.sum("times").alias("n_entity"), F.count("*").alias("n_texts"))
+    # no pair that passes is lost: n_both is at most n_entity, so these bounds follow from the thresholds
+    entities = entities.where((F.col("n_texts") >= SUPPORT) & (F.log2(F.col("n_entity") / F.lit(float(total))) <= -BITS)).drop("n_texts")
+    mentions = cut(mentions.join(entities, "entity"))
+    most = mentions.groupBy("digest").agg(F.max("n_entity").alias("most"))
+    terms = with_entity.select("digest", "text").join(most, "digest")
+    terms = terms.select("digest", "most", F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
+    terms = terms.withColumn("h", F.xxhash64("term")).join(df.where(F.col("n_term") >= SUPPORT), "h")
+    terms = terms.where(F.col("n_term") * POSTERIOR <= F.col("most")).select("digest", "term", "n_term").dropDuplicates(["digest", "term"])
+    both = terms.join(mentions, "digest").where((F.col("n_term") * POSTERIOR <= F.col("n_entity")) & ~F.array_contains("own", F.col("term")))
+    both = both.groupBy("entity", "term", "n_entity", "n_term").agg(F.sum("times").alias("n_both"), F.count("*").alias("n_texts"))
+    both = both.where(F.col("n_texts") >= SUPPORT)
     posterior = F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))
     bits = F.log2(posterior) - F.log2(F.col("n_entity") / F.lit(float(total)))
     found = both.where((posterior >= POSTERIOR) & (bits >= BITS))

@@ -69,6 +69,21 @@ def test_pii_terms(spark):
     assert texts[5][span["start"] : span["end"]] == "Zanzibarian"
 
 
+def test_pii_terms_far_away(spark):
+    """A name in the heading discloses the address in the footer, as near the mention as far from it."""
+    rng = random.Random(2)
+    say = lambda n: " ".join(rng.choice(["window", "river", "stone", "cloud"]) for _ in range(n))
+    gap = lambda i: say(60 if i % 3 else 2)
+    texts = [f"Zanzibarian report. {say(60)} boss@secret.example.com v{i}" for i in range(5)]
+    texts += [f"quillfeather {gap(i)} +49 170 7654321 {say(3)} n{i}" for i in range(6)]
+    texts += [texts[0], *[say(12) for _ in range(150)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: {s["value"] for s in r.spans if s["kind"] == 4} for r in pii.find(docs).collect()}
+    assert all(got[i] == {"zanzibarian", "report"} for i in (*range(5), 11))
+    assert all(got[i] == {"quillfeather"} for i in range(5, 11))
+    assert not any(got[i] for i in range(12, len(texts)))
+
+
 def test_pii_query(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in q_pii.query(spark, SF).collect():
