@@ -114,6 +114,27 @@ def test_url_parts_and_rules(spark):
     assert url_filter.judge(pages.limit(0), q_url.RULES).count() == 0
 
 
+def test_url_rare_words_and_tokens(spark, monkeypatch):
+    """Words and tokens beyond the broadcast ones count all the same."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html")
+    rng = random.Random(3)
+    names = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)]
+    rows = []
+    for i in range(400):
+        a, b = rng.choice(names[: 30 + i % 30]), rng.choice(names)
+        url = f"http://{a}{b}.{'net/es/' if names.index(a) % 2 else 'example.com/en/'}{b}" if i % 2 else f"http://{a}{b}.org/{b}{a}"
+        rows.append((10_000 + i, url, f"<p>{a} {b} {a}</p>"))
+    pages = pages.limit(100).unionByName(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    rules = [*q_url.RULES[3:], url_filter.Rule("example.com", "/en/", "allow")]
+    found = []
+    for most in (200_000, 20):
+        monkeypatch.setattr(url_filter, "WORDS", most)
+        monkeypatch.setattr(url_filter, "TOKENS", most)
+        found.append(sorted((r.page_id, r.host, r.path, r.rule or "", r.verdict) for r in url_filter.judge(pages, rules).collect()))
+    assert {r[4] for r in found[0] if not r[3]} == {"allow", "block"}
+    assert found[0] == found[1]
+
+
 def test_segmentation():
     s = url_filter.Segmenter({"casino": 50, "win": 80, "free": 90, "bets": 40, "the": 500, "be": 300})
     assert s.words("freebetscasinowin") == ["free", "bets", "casino", "win"]
