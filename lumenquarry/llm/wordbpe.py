@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 import struct
-import unicodedata
 
 import numpy as np
 
@@ -41,14 +40,18 @@ class WordTable(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model.tokenize
+        self.normal = self.tokenizer.normalizer.normalize_str
         self.chars = _byte_chars()
+        self.letters: dict[str, bool] = {}
         self.old: dict[bytes, bytes] = {}
 
     def __missing__(self, piece: bytes) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
             plain = _PLAIN.match(piece)
-            if plain and plain[2]:
+            if plain and plain[2] and not self._ends_in_letter(plain[1]):
+                ids = self._any(piece)  # marks after a character that is no letter are one run with it
+            elif plain and plain[2]:
                 ids = self[plain[1]] + self[plain[2]]  # one entry for a word, whatever follows it
                 if len(piece) > 8:
                     return ids
@@ -63,6 +66,16 @@ class WordTable(dict):
             self[piece] = ids
         return ids
 
+    def _is_letter(self, char: str) -> bool:
+        """As the tokenizer's own pattern has it: two letters are one piece and a full stop after them another."""
+        known = self.letters.get(char)
+        if known is None:
+            known = self.letters[char] = len(self.tokenizer.pre_tokenizer.pre_tokenize_str(char * 2 + ".")) == 2
+        return known
+
+    def _ends_in_letter(self, word: bytes) -> bool:
+        return word[-1] < 0x80 or self._is_letter(self.normal(word.decode("utf-8", "replace"))[-1:])
+
     def _any(self, piece: bytes) -> bytes:
         ids = self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
@@ -71,7 +84,7 @@ class WordTable(dict):
         """Of a lower-case word of letters, straight from the BPE model; None where it needs the normaliser."""
         text = word.decode("utf-8", "replace")
         if not word.isascii():
-            if not text.isalpha() or text != text.lower() or not unicodedata.is_normalized("NFC", text):
+            if not all(map(self._is_letter, text)) or self.normal(text) != text:
                 return None
             text = "".join(map(self.chars.__getitem__, word))
         ids = [t.id for t in self.model(text)]
