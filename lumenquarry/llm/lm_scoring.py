@@ -1,16 +1,16 @@
 """Language-model scores from a log-frequency Bloom filter of n-gram counts.
 
-Counts of one- and two-token sequences of the training documents are summed over the whole corpus (each task
-combines its own first). A count c is quantised to level 1 + floor(log2(c) * STEPS); the filter holds the
-sequence once for each level up to its own. A reader probes level after level until a miss, so the highest
-level present tells the count to within a step, and a false positive can only raise it by one level with the
-filter's small error rate. The filter is split in segments, each filled by one task, and has bits for every entry
-of every sequence, so that rate is the same for any corpus. Up to BROADCAST_BITS the workers get all segments; a
-larger filter is never gathered: the sequences of a chunk of documents go to the tasks that hold their segments and
-the levels come back. Both ways give the same scores.
-
-The exact unigram part comes from counts of the commonest tokens, broadcast up to a fixed number; tokens beyond
-them are looked up by a join.
+Counts of one- and two-token sequences of the training documents are summed over the whole corpus. A count c is
+quantised to level 1 + floor(log2(c) * STEPS); the filter holds the sequence once for each level up to its own.
+A reader probes level after level until a miss, so the highest level present tells the count to within a step,
+and a false positive can only raise it by one level with the filter's small error rate.
+
+The filter is split by ranges of hashes into parts, each filled by one task, with bits for every entry of every
+sequence, so its error rate is the same for any corpus and nothing is left out. Only a small corpus, whose bytes
+prove a bound of its filter, has all parts broadcast to the workers. Otherwise the filter is never gathered: each
+chunk of documents sends its distinct sequences with their counts to the parts, once; a part sums the counts of
+all chunks, fills its bits, probes them for every sequence it was sent and returns the levels to the chunks, with
+the exact counts of single tokens. Both ways probe the same bits and give the same scores.
 """
 
 from __future__ import annotations
@@ -25,23 +25,23 @@ from lumenquarry.llm.common import cut, small_batches, text_of
 
 #: Levels for a doubling of the count.
 STEPS = 2
-#: Bits of the filter for each entry, and most bits that are broadcast (64 MB); more are looked up by segment.
-BITS_PER_ENTRY = 12
-BROADCAST_BITS = 1 << 29
-PROBES = 4
-SEGMENT_BITS = 1 << 20
-#: Segments that one task fills and probes at a time, and tokens and documents that are looked up together.
-GROUP = 16
-CHUNK_TOKENS, CHUNK_DOCS = 1 << 17, 1 << 14
-#: Most token counts that are broadcast (16 bytes each).
-BROADCAST_TOKENS = 1 << 20
+#: Bits of the filter for each entry, and probes of an entry.
+BITS_PER_ENTRY, PROBES = 12, 4
+#: Bytes of text whose sequences one part of the filter takes.
+PART_BYTES = 1 << 24
+#: Tokens and documents of a chunk; a longer document is a chunk of its own.
+CHUNK_TOKENS, CHUNK_DOCS = 1 << 19, 1 << 15
+#: Most bytes of text whose model is broadcast. A token has two bytes or more with its space, and a sequence of count
+#: c at most 1.5 c levels, so the filter has at most 1.5 * BITS_PER_ENTRY bits a byte (36 MB).
+BROADCAST_BYTES = 1 << 24
 #: Weight of the two-token probability where its context was seen.
 WEIGHT = 0.7
 ADD = 0.1
 
-NAMES = ["id", "held_out", "n_tokens", "n_known", "base_score", "rest"]
+NAMES = ["id", "held_out", "n_tokens"]
 
 _END = b"\n"  # white space, so never a token
+_END_HASH = np.uint64(xxhash.xxh3_64_intdigest(_END))
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,11 +58,11 @@ def token_hashes(text: bytes) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def pair_hashes(h: np.ndarray) -> np.ndarray:
-    """A hash for each token with the one before it; the first follows the end of another text."""
+def pair_hashes(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A hash for each token with the one before it; the first of a document follows the end of another."""
     before = np.empty_like(h)
-    before[0] = np.uint64(xxhash.xxh3_64_intdigest(_END))
     before[1:] = h[:-1]
+    before[starts] = _END_HASH
     return _mix(before * _PAIR + h)
 
 
@@ -76,292 +76,273 @@ def count_of(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, (low + np.maximum(low, high)) / 2, 0.0)
 
 
-def positions(hashes: np.ndarray, levels: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """Segment of each hash, and PROBES bit positions of its entry of that level inside the segment."""
-    seg = ((hashes >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
-    x = _mix(hashes + levels.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    a, b = x & np.uint64(0xFFFFFFFF), (x >> np.uint64(32)) | np.uint64(1)
-    i = np.arange(PROBES, dtype=np.uint64)
-    return seg.astype(np.int64), ((a[:, None] + b[:, None] * i) % np.uint64(SEGMENT_BITS)).astype(np.int64)
-
-
-def filled(h: np.ndarray, levels: np.ndarray, segments: int, first: int = 0, n: int = 1) -> np.ndarray:
-    """The bits of n segments from the first on, packed: an entry of each hash for every level up to its own."""
-    bits = np.zeros(n * SEGMENT_BITS, bool)
-    for step in range(1, int(levels.max(initial=0)) + 1):
-        h, levels = h[levels >= step], levels[levels >= step]
-        seg, at = positions(h, np.full(len(h), step), segments)
-        bits[((seg - first)[:, None] * SEGMENT_BITS + at).ravel()] = True
-    return np.packbits(bits, bitorder="little")
+def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each hash; parts are ranges of hashes in order."""
+    return (((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
 
 class LogFrequencyFilter:
-    """The bits of the segments from the first on, of so many in all, and the reader's probes."""
-
-    def __init__(self, bits: np.ndarray, segments: int, first: int = 0):
-        self.bits, self.segments, self.first = bits, segments, first
+    """The bits of one part, and the reader's probes."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    @classmethod
+    def filled(cls, hashes: np.ndarray, counts: np.ndarray, bits_per_entry: int = BITS_PER_ENTRY) -> LogFrequencyFilter:
+        """An entry of each hash for every level up to that of its count."""
+        levels = level_of(counts)
+        out = cls(np.zeros(max(64, -(-int(levels.sum()) * bits_per_entry // 8)), np.uint8))
+        bits = np.zeros(8 * len(out.bits), bool)
+        for step in range(1, int(levels.max(initial=0)) + 1):
+            hashes, levels = hashes[levels >= step], levels[levels >= step]
+            for at in out._places(hashes, step):
+                bits[at] = True
+        out.bits = np.packbits(bits, bitorder="little")
+        return out
+
+    def _places(self, hashes: np.ndarray, level: int):
+        x = _mix(hashes + np.uint64(level * 0xD6E8FEB86659FD93 % 2**64))
+        step, n = (x >> np.uint64(32)) | np.uint64(1), np.uint64(8 * len(self.bits))
+        for i in range(PROBES):
+            yield ((x & np.uint64(0xFFFFFFFF)) + step * np.uint64(i)) * _PAIR % n
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
         """Level after level until a probe misses."""
-        level = np.zeros(len(hashes), np.int64)
-        alive = np.arange(len(hashes))
+        level, alive, step = np.zeros(len(hashes), np.uint8), np.arange(len(hashes)), 0
         while len(alive):
-            seg, at = positions(hashes[alive], level[alive] + 1, self.segments)
-            bit = (seg - self.first)[:, None] * SEGMENT_BITS + at
-            hit = ((self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).all(axis=1)
+            step += 1
+            hit = np.ones(len(alive), bool)
+            for at in self._places(hashes[alive], step):
+                hit &= (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
             alive = alive[hit]
-            level[alive] += 1
+            level[alive] = step
         return level
 
-    def counts(self, hashes: np.ndarray) -> np.ndarray:
-        """Approximate counts."""
-        return count_of(self.levels(hashes))
+
+def _squeezed(x: np.ndarray) -> bytes:
+    """Whole numbers by byte position, without the positions that are all zero, so that they compress well."""
+    width = (int(x.max(initial=0)).bit_length() + 7) // 8 or 1
+    return bytes([width]) + x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _spread(b: bytes) -> np.ndarray:
+    out = np.zeros(((len(b) - 1) // b[0], 8), np.uint8)
+    out[:, : b[0]] = np.frombuffer(b, np.uint8, offset=1).reshape(b[0], -1).T
+    return out.view("<u8").ravel()
+
+
+def _gaps(sorted_hashes: np.ndarray) -> bytes:
+    return _squeezed(np.diff(sorted_hashes, prepend=sorted_hashes[:1])) + sorted_hashes[:1].tobytes()
 
 
-def count_sequences(texts: DataFrame) -> DataFrame:
-    """Rows (order, h, c): counts of single tokens (order 1) and pairs (order 2) in column text (binary)."""
+def _hashes(b: bytes) -> np.ndarray:
+    return _spread(b[:-8]).cumsum(dtype=np.uint64) + np.frombuffer(b[-8:], np.uint64) if len(b) > 8 else np.empty(0, np.uint64)
+
+
+class Chunk:
+    """Documents in a row: the sorted distinct hashes of their tokens, and where each token is among them."""
+
+    def __init__(self, one: bytes, at: bytes, n_tokens: list[int]):
+        self.n = np.array(n_tokens, np.int64)
+        self.starts = np.cumsum(self.n) - self.n
+        places = pa.decompress(at, decompressed_size=4 * int(self.n.sum()), codec="zstd", asbytes=True)
+        self.one, self.at = _hashes(one), np.frombuffer(places, np.uint32).astype(np.int64)
+
+    @staticmethod
+    def packed(hs: list[np.ndarray]) -> tuple[bytes, bytes]:
+        one, at = np.unique(np.concatenate(hs), return_inverse=True)
+        return _gaps(one), pa.compress(at.astype(np.uint32).tobytes(), "zstd", asbytes=True)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct hashes of the pairs, and where each token's is among them."""
+        return np.unique(pair_hashes(self.one[self.at], self.starts), return_inverse=True)
+
+    def scored(self, total: int, kinds: int, exact: np.ndarray, one_level: np.ndarray, at_pair: np.ndarray, pair_level: np.ndarray):
+        """n_known, base_score and score of each document, from what was looked up for its tokens and pairs."""
+        floor = total + ADD * (kinds + 1)
+        base = np.log10(exact + ADD) - np.log10(floor)
+        near = count_of(one_level.astype(np.int64))
+        context = np.empty(len(self.at), np.float64)
+        context[1:] = near[self.at[:-1]]
+        context[self.starts] = near[np.searchsorted(self.one, _END_HASH)]
+        single = ((near + ADD) / floor)[self.at]
+        ratio = np.minimum(1.0, count_of(pair_level.astype(np.int64))[at_pair] / np.maximum(context, 1.0))
+        p = np.where(context > 0, WEIGHT * ratio + (1 - WEIGHT) * single, single)
+        of = lambda x: np.add.reduceat(x, self.starts)
+        return of((exact > 0)[self.at].astype(np.int64)), of(base[self.at]), of(np.log10(p))
+
+
+def _chunks(rows: DataFrame, kind: str) -> DataFrame:
+    """Rows (chunk, docs, one, at): whole documents, about CHUNK_TOKENS tokens together."""
 
     def run(batches):
-        held: tuple[list, list] = ([], [])
+        held: tuple[list, list, list] = ([], [], [])
         size = 0
 
         def flush():
-            for order, parts in enumerate(held, 1):
-                h, c = np.unique(np.concatenate(parts), return_counts=True)
-                parts.clear()
-                for at in range(0, len(h), 100_000):
-                    part = h[at : at + 100_000]
-                    kind = pa.array(np.full(len(part), order, np.int8))
-                    yield pa.RecordBatch.from_arrays([kind, pa.array(part.view(np.int64)), pa.array(c[at : at + 100_000])], ["order", "h", "c"])
+            n = pa.array([len(h) for h in held[2]], pa.int64())
+            docs = pa.StructArray.from_arrays([pa.concat_arrays(held[0]), pa.concat_arrays(held[1]), n], NAMES)
+            one, at = Chunk.packed(held[2])
+            for x in held:
+                x.clear()
+            arrays = [pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs), pa.array([one], pa.binary()), pa.array([at], pa.binary())]
+            return pa.RecordBatch.from_arrays(arrays, ["docs", "one", "at"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for i, text in enumerate(batch.column(2).to_pylist()):
                 h = token_hashes(text)
-                held[0].append(h)
-                held[1].append(pair_hashes(h))
+                if held[2] and (size + len(h) > CHUNK_TOKENS or len(held[2]) >= CHUNK_DOCS):
+                    yield flush()
+                    size = 0
+                held[0].append(batch.column(0).slice(i, 1))
+                held[1].append(batch.column(1).slice(i, 1))
+                held[2].append(h)
                 size += len(h)
-            if size > 4_000_000:
-                yield from flush()
-                size = 0
-        if size:
-            yield from flush()
+        if held[2]:
+            yield flush()
 
-    part = texts.mapInArrow(run, "order byte, h long, c long")
-    return part.groupBy("order", "h").agg(F.sum("c").alias("c"))
+    out = rows.mapInArrow(run, f"docs array<struct<id:{kind},held_out:boolean,n_tokens:bigint>>, one binary, at binary")
+    return cut(out.withColumn("chunk", F.monotonically_increasing_id()))
 
 
-def segments_for(counts: DataFrame) -> int:
-    """Segments of a filter with BITS_PER_ENTRY for every entry of every sequence."""
-    by_level = counts.groupBy(_level().alias("level")).count().collect()  # some dozens of rows
-    return sum(r["count"] * r["level"] for r in by_level) * BITS_PER_ENTRY // SEGMENT_BITS + 1
+def _sent(chunks: DataFrame, parts: int) -> DataFrame:
+    """Rows (part, chunk, one, one_count, two, two_count): a chunk's distinct sequences of a part, with their training counts."""
 
+    def run(batches):
+        for batch in batches:
+            for chunk, n, held_out, one, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                c = Chunk(one, at, n)
+                learn = np.repeat(~np.array(held_out), c.n)
+                two, at_two = c.pairs()
+                by_part = []
+                for h, places in ((c.one, c.at), (two, at_two)):
+                    count = np.bincount(places[learn], minlength=len(h))
+                    begin = np.searchsorted(part_of(h, parts), np.arange(parts + 1))
+                    by_part += [[f(x[b:e]) for b, e in zip(begin, begin[1:], strict=False)] for f, x in ((_gaps, h), (_squeezed, count))]
+                arrays = [pa.array(range(parts), pa.int64()), pa.array([chunk] * parts, pa.int64()), *(pa.array(x, pa.binary()) for x in by_part)]
+                yield pa.RecordBatch.from_arrays(arrays, ["part", "chunk", "one", "one_count", "two", "two_count"])
 
-def _level() -> Column:
-    return (F.floor(F.log2("c") * STEPS + 1e-9) + 1).cast("int")
+    told = chunks.select("chunk", "docs.n_tokens", "docs.held_out", "one", "at")
+    return told.mapInArrow(run, "part long, chunk long, one binary, one_count binary, two binary, two_count binary")
 
 
-def _entries(counts: DataFrame, segments: int) -> DataFrame:
-    seg = F.shiftrightunsigned(F.shiftrightunsigned("h", 32) * segments, 32)
-    return counts.select(seg.alias("seg"), "h", _level().alias("level"))
+def _summed(sent: pa.Table, h: str, c: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct sequences, their training counts, where each sent one is among them, and how many each chunk sent."""
+    lists = [_hashes(b) for b in sent.column(h).to_pylist()]
+    n = np.array([len(x) for x in lists])
+    one, at = np.unique(np.concatenate(lists), return_inverse=True)
+    counts = np.concatenate([_spread(b)[:k] for b, k in zip(sent.column(c).to_pylist(), n, strict=True)])
+    return one, np.bincount(at, counts, len(one)).astype(np.int64), at, n
 
 
-def build_filter(counts: DataFrame) -> LogFrequencyFilter:
-    """Fill the whole filter: one task a segment; the driver gets all bits, so only for at most BROADCAST_BITS."""
-    segments = segments_for(counts)
+def _part_filter(one: np.ndarray, c1: np.ndarray, two: np.ndarray, c2: np.ndarray, bits: int) -> LogFrequencyFilter:
+    return LogFrequencyFilter.filled(np.concatenate([one[c1 > 0], two[c2 > 0]]), np.concatenate([c1[c1 > 0], c2[c2 > 0]]), bits)
+
+
+def _answers(sent: DataFrame, bits_per_entry: int) -> DataFrame:
+    """Rows (chunk, part, kinds, one_count, one_level, two_level) in the order sent; kinds: training tokens, once a part."""
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        seg = key[0].as_py()
-        bits = filled(t.column("h").to_numpy().view(np.uint64), t.column("level").to_numpy(), segments, seg)
-        return pa.table({"seg": pa.array([seg], pa.int64()), "bits": pa.array([bits.tobytes()], pa.binary())})
-
-    kept = _entries(counts, segments)
-    done = {r["seg"]: bytes(r["bits"]) for r in kept.groupBy("seg").applyInArrow(run, "seg long, bits binary").toLocalIterator()}
-    bits = b"".join(done.get(i, bytes(SEGMENT_BITS // 8)) for i in range(segments))
-    return LogFrequencyFilter(np.frombuffer(bits, np.uint8), segments)
-
-
-def _common(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """Hashes and counts of the commonest tokens, at most BROADCAST_TOKENS, and the count from which they were taken."""
-    steps = tokens.groupBy(F.floor(F.log2("c") * 8).cast("int").alias("s")).count().orderBy(F.desc("s")).collect()
-    held, least = 0, None
-    for r in steps:
-        if held + r["count"] > BROADCAST_TOKENS:
-            break
-        held, least = held + r["count"], r["s"]
-    if least is None:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), 2**62
-    kept = tokens.where(F.floor(F.log2("c") * 8) >= least).select("h", "c").toArrow()
-    h, c = kept.column("h").to_numpy().view(np.uint64), kept.column("c").to_numpy()
-    order = np.argsort(h)
-    return h[order], c[order], least
-
-
-def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        one, c1, at1, n1 = _summed(t, "one", "one_count")
+        two, c2, at2, n2 = _summed(t, "two", "two_count")
+        lm = _part_filter(one, c1, two, c2, bits_per_entry)
+        split = lambda x, n: np.split(x, np.cumsum(n)[:-1])
+        kinds = np.zeros(len(t), np.int64)
+        kinds[0] = np.count_nonzero(c1)
+        columns = [
+            t.column("chunk").combine_chunks(), t.column("part").combine_chunks(), pa.array(kinds),
+            pa.array([_squeezed(x) for x in split(c1[at1], n1)], pa.binary()),
+            *(pa.array([x.tobytes() for x in split(lm.levels(h)[at], n)], pa.binary()) for h, at, n in ((one, at1, n1), (two, at2, n2))),
+        ]
+        return pa.Table.from_arrays(columns, ["chunk", "part", "kinds", "one_count", "one_level", "two_level"])
+
+    return sent.groupBy("part").applyInArrow(run, "chunk long, part long, kinds long, one_count binary, one_level binary, two_level binary")
+
+
+class Model:
+    """All parts of a filter and the exact counts of tokens, for a corpus small enough to broadcast."""
+
+    def __init__(self, sent: DataFrame, parts: int, bits_per_entry: int):
+        def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+            one, c1, _, _ = _summed(t, "one", "one_count")
+            two, c2, _, _ = _summed(t, "two", "two_count")
+            bits = _part_filter(one, c1, two, c2, bits_per_entry).bits.tobytes()
+            values = [[key[0].as_py()], [bits], [_gaps(one[c1 > 0])], [_squeezed(c1[c1 > 0])]]
+            return pa.table(dict(zip(("part", "bits", "one", "count"), values, strict=True)))
+
+        rows = list(sent.groupBy("part").applyInArrow(run, "part long, bits binary, one binary, count binary").toLocalIterator())
+        rows = {r["part"]: r for r in rows}
+        order = [rows[k] for k in range(parts) if k in rows]
+        self.parts = parts
+        self.filters = {k: LogFrequencyFilter(np.frombuffer(bytes(r["bits"]), np.uint8)) for k, r in rows.items()}
+        self.one = np.concatenate([np.empty(0, np.uint64), *[_hashes(bytes(r["one"])) for r in order]])
+        self.count = np.concatenate([np.empty(0, np.uint64), *[_spread(bytes(r["count"]))[: len(_hashes(bytes(r["one"])))] for r in order]]).astype(np.int64)
+
+    def levels(self, hashes: np.ndarray) -> np.ndarray:
+        """Of sorted hashes."""
+        begin = np.searchsorted(part_of(hashes, self.parts), np.arange(self.parts + 1))
+        return np.concatenate([self.filters[k].levels(hashes[begin[k] : begin[k + 1]]) for k in range(self.parts)])
+
+    def exact(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.one):
+            return np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.one, hashes), len(self.one) - 1)
+        return np.where(self.one[at] == hashes, self.count[at], 0)
+
+
+def score_documents(
+    docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", bits_per_entry: int = BITS_PER_ENTRY
+) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The model learns from rows where held_out is false, all of them, and scores every row. base_score is the
     add-0.1 unigram log10 probability from exact counts; score interpolates quantised pair and token counts.
     A null or empty text is the end token alone; so is what precedes the first token. Repeated rows count each
     time and score alike. A null id is held out as the column says (null counts as held out). An empty training
-    set gives c = N = V = 0; an empty table gives an empty result.
+    set gives c = N = V = 0; an empty table gives an empty result. More bits_per_entry make fewer false positives. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(True)).alias("held_out"), text_of(text_col).cast("binary").alias("text"))
-    counts = cut(count_sequences(rows.where("not held_out").select("text")))
-    tokens = counts.where("order = 1").select("h", "c")
-    total, kinds = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    segments = segments_for(counts)
-    small = segments * SEGMENT_BITS <= BROADCAST_BITS
-    model = spark.sparkContext.broadcast((build_filter(counts) if small else None, *_common(tokens)[:2]))
-    whole = len(model.value[1]) == kinds
-    floor = ADD * (kinds + 1)
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
+    parts = max(1, -(-size // PART_BYTES))
     kind = docs.schema[id_col].dataType.simpleString()
-    fields = f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, rest array<long>"
-
-    def unigrams(batch, hs):
-        """The columns of `fields` for a batch, and the token hashes, their distinct values, places, starts."""
-        _, known, known_counts = model.value
-        ends = np.cumsum([len(h) for h in hs])
-        starts = ends - [len(h) for h in hs]
-        h = np.concatenate(hs)
-        one, at = np.unique(h, return_inverse=True)
-        place = np.minimum(np.searchsorted(known, one), max(0, len(known) - 1))
-        found = known[place] == one if len(known) else np.zeros(len(one), bool)
-        exact = np.where(found, known_counts[place] if len(known) else 0, 0)
-        base = np.log10(exact + ADD) - np.log10(total + floor)
-        rest = ~found[at]
-        n_known = np.add.reduceat(found[at].astype(np.float64), starts)
-        base_score = np.add.reduceat(np.where(rest & ~whole, 0.0, base[at]), starts)
-        unknown = [h[s:e][rest[s:e]].view(np.int64) if not whole else [] for s, e in zip(starts, ends, strict=True)]
-        columns = [
-            batch.column(0), batch.column(1), pa.array(ends - starts, pa.int64()), pa.array(n_known.astype(np.int64)),
-            pa.array(base_score), pa.array(unknown, pa.list_(pa.int64())),
-        ]
-        return columns, one, at, starts
-
-    def scores(near, end, at, starts, pair_count):
-        """Sum of log10 of the interpolated probability for each document, from the counts of tokens and pairs."""
-        context = np.empty(len(at), np.float64)
-        context[1:] = near[at[:-1]]
-        context[starts] = end
-        single = (near[at] + ADD) / (total + floor)
-        ratio = np.minimum(1.0, pair_count / np.maximum(context, 1.0))
-        p = np.where(context > 0, WEIGHT * ratio + (1 - WEIGHT) * single, single)
-        return np.add.reduceat(np.log10(p), starts)
-
-    def run(batches):
-        lm = model.value[0]
-        for batch in batches:
-            hs = [token_hashes(t) for t in batch.column(2).to_pylist()]
-            columns, one, at, starts = unigrams(batch, hs)
-            two, at_two = np.unique(np.concatenate([pair_hashes(h) for h in hs]), return_inverse=True)
-            score = scores(lm.counts(one), lm.counts(_end())[0], at, starts, lm.counts(two)[at_two])
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(score)], [*NAMES, "score"])
-
-    def pack(batches):
-        for batch in batches:
-            hs = [token_hashes(t) for t in batch.column(2).to_pylist()]
-            sizes = np.cumsum([len(h) for h in hs])
-            begin = 0
-            while begin < len(hs):  # a chunk of whole documents
-                used = sizes[begin - 1] if begin else 0
-                stop = min(max(begin + 1, int(np.searchsorted(sizes, used + CHUNK_TOKENS, "right"))), begin + CHUNK_DOCS)
-                columns, one, at, _ = unigrams(batch.slice(begin, stop - begin), hs[begin:stop])
-                rows = pa.StructArray.from_arrays(columns, NAMES)
-                listed = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
-                places = pa.compress(at.astype(np.uint32).tobytes(), "zstd", asbytes=True)
-                yield pa.RecordBatch.from_arrays([listed, pa.array([one.tobytes()]), pa.array([places])], ["docs", "one", "at"])
-                begin = stop
-
-    def by_chunk(packed: pa.Table, got: pa.Table) -> pa.Table:
-        rows = packed.column("docs").combine_chunks().flatten()
-        n_tokens = rows.field("n_tokens").to_numpy()
-        starts = np.cumsum(n_tokens) - n_tokens
-        one, at = _unpacked(packed.column("one")[0].as_py(), packed.column("at")[0].as_py(), int(n_tokens.sum()))
-        hashes = _sequences(one, at, starts)
-        order = np.argsort(got.column("part").to_numpy())  # parts are ranges of the sorted hashes
-        levels = got.column("levels").to_pylist()
-        count = count_of(np.frombuffer(b"".join(levels[i] for i in order), np.uint8).astype(np.int64))
-        of = lambda h: count[np.searchsorted(hashes, h)]
-        score = scores(of(one), of(_end())[0], at, starts, of(_pairs(one, at, starts)))
-        return pa.Table.from_arrays([*rows.flatten(), pa.array(score)], [*NAMES, "score"])
-
-    if small:
-        scored = rows.mapInArrow(run, f"{fields}, score double")
+    chunks = _chunks(rows, kind)
+    sent = _sent(chunks, parts)
+    learnt = F.aggregate(F.filter("docs", lambda d: ~d["held_out"]), F.lit(0).cast("long"), lambda n, d: n + d["n_tokens"])
+    total = chunks.agg(F.coalesce(F.sum(learnt), F.lit(0))).first()[0]
+    schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    names = [*NAMES, "n_known", "base_score", "score"]
+
+    if size <= BROADCAST_BYTES:
+        told = spark.sparkContext.broadcast(Model(sent, parts, bits_per_entry))
+
+        def run(batches):
+            lm = told.value
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    rows = batch.column(0).slice(i, 1).flatten()
+                    c = Chunk(batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), rows.field("n_tokens").to_pylist())
+                    two, at = c.pairs()
+                    found = c.scored(total, len(lm.one), lm.exact(c.one), lm.levels(c.one), at, lm.levels(two))
+                    yield pa.RecordBatch.from_arrays([*rows.flatten(), *map(pa.array, found)], names)
+
+        scored = chunks.select("docs", "one", "at").mapInArrow(run, schema)
     else:
-        packed = rows.mapInArrow(pack, f"docs array<struct<{fields.replace(' ', ':').replace(',:', ',')}>>, one binary, at binary")
-        packed = cut(packed.withColumn("chunk", F.monotonically_increasing_id()))
-        levels = _levels_by_segment(packed, counts, segments)
-        scored = packed.groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInArrow(by_chunk, f"{fields}, score double")
-    if not whole:
-        scored = _with_rare(cut(scored.withColumn("row", F.monotonically_increasing_id())), tokens, total, floor)
+        answers = cut(_answers(sent, bits_per_entry))
+        kinds = answers.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
+
+        def by_chunk(packed: pa.Table, got: pa.Table) -> pa.Table:
+            rows = packed.column("docs").combine_chunks().flatten()
+            c = Chunk(packed.column("one")[0].as_py(), packed.column("at")[0].as_py(), rows.field("n_tokens").to_pylist())
+            order = np.argsort(got.column("part").to_numpy())  # parts are ranges of the sorted hashes
+            joined = lambda name, f: np.concatenate([f(b) for b in got.column(name).take(pa.array(order)).to_pylist()])
+            of_bytes = lambda b: np.frombuffer(b, np.uint8)
+            exact = joined("one_count", _spread).astype(np.int64)
+            found = c.scored(total, kinds, exact, joined("one_level", of_bytes), c.pairs()[1], joined("two_level", of_bytes))
+            return pa.Table.from_arrays([*rows.flatten(), *map(pa.array, found)], names)
+
+        scored = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(by_chunk, schema)
     return scored.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score"
     )
-
-
-def _end() -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(_END)], np.uint64)
-
-
-def _unpacked(one: bytes, at: bytes, tokens: int) -> tuple[np.ndarray, np.ndarray]:
-    places = pa.decompress(at, decompressed_size=4 * tokens, codec="zstd", asbytes=True)
-    return np.frombuffer(one, np.uint64), np.frombuffer(places, np.uint32).astype(np.int64)
-
-
-def _pairs(one: np.ndarray, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """pair_hashes of every document of a chunk."""
-    h = one[at]
-    before = np.empty_like(h)
-    before[1:] = h[:-1]
-    before[starts] = _end()[0]
-    return _mix(before * _PAIR + h)
-
-
-def _sequences(one: np.ndarray, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Sorted distinct hashes of the tokens and pairs of a chunk."""
-    return np.unique(np.concatenate([one, _pairs(one, at, starts), _end()]))
-
-
-def _levels_by_segment(packed: DataFrame, counts: DataFrame, segments: int) -> DataFrame:
-    """Rows (chunk, part, levels): a byte for each of a chunk's sequences, in order of hash.
-
-    A part is GROUP segments. One task fills it from the counts and probes it for every chunk, so no table of all
-    bits is made; a chunk asks for a sequence once, so a hot one weighs little.
-    """
-
-    def ask(batches):
-        for batch in batches:
-            for chunk, n, one, at in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                n = np.array(n)
-                hashes = _sequences(*_unpacked(one, at, int(n.sum())), np.cumsum(n) - n)
-                part = (((hashes >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)) // np.uint64(GROUP)
-                parts, begin = np.unique(part, return_index=True)
-                blobs = [x.tobytes() for x in np.split(hashes, begin[1:])]
-                arrays = [pa.array(np.full(len(parts), chunk, np.int64)), pa.array(parts.astype(np.int64)), pa.array(blobs, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["chunk", "part", "hashes"])
-
-    def answer(key: tuple[pa.Scalar, ...], entries: pa.Table, asked: pa.Table) -> pa.Table:
-        first = key[0].as_py() * GROUP
-        h, level = entries.column("h").to_numpy().view(np.uint64), entries.column("level").to_numpy()
-        lm = LogFrequencyFilter(filled(h, level, segments, first, min(GROUP, segments - first)), segments, first)
-        levels = [lm.levels(np.frombuffer(b, np.uint64)).astype(np.uint8).tobytes() for b in asked.column("hashes").to_pylist()]
-        return pa.table({"chunk": asked.column("chunk"), "part": asked.column("part"), "levels": pa.array(levels, pa.binary())})
-
-    asked = packed.select("chunk", "docs.n_tokens", "one", "at").mapInArrow(ask, "chunk long, part long, hashes binary")
-    entries = _entries(counts, segments).select(F.floor(F.col("seg") / GROUP).alias("part"), "h", "level")
-    return entries.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(answer, "chunk long, part long, levels binary")
-
-
-def _with_rare(scored: DataFrame, tokens: DataFrame, total: int, floor: float) -> DataFrame:
-    """Add the unigram part of tokens that were not broadcast: each by a join with all counts."""
-    rare = scored.select("row", F.explode("rest").alias("h")).groupBy("row", "h").agg(F.count("*").alias("times"))
-    rare = rare.join(tokens, "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    term = F.col("times") * (F.log10(F.col("c") + ADD) - F.log10(F.lit(float(total + floor))))
-    rare = rare.groupBy("row").agg(F.sum(term).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"))
-    zero = F.lit(0)
-    return scored.join(rare, "row", "left").withColumns({
-        "base_score": F.col("base_score") + F.coalesce("more", zero),
-        "n_known": F.col("n_known") + F.coalesce("known", zero),
-    })

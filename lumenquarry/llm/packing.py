@@ -24,8 +24,8 @@ from pyspark.sql.window import Window
 from lumenquarry.llm.common import blocks_for, cut, small_batches, text_of, with_offsets
 
 CAPACITY = 2048
-#: Pairs of groups that the local search looks at; the histogram bounds the groups, this bounds the driver's time.
-SEARCH_STEPS = 60_000
+#: Pairs of groups that the local search remembers as settled (about 100 bytes each); it forgets them beyond that.
+TRIED = 4_000_000
 
 Bin = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
@@ -112,24 +112,29 @@ def _better(a: Bin, b: Bin, room: int) -> tuple[dict[int, int], dict[int, int]]
     return found
 
 
-def local_search(bins: dict[Bin, int], capacity: int, steps: int = SEARCH_STEPS) -> dict[Bin, int]:
-    """Raise the sum of squared fills by exchanges between underfull bins until bins empty or none helps."""
+def local_search(bins: dict[Bin, int], capacity: int) -> dict[Bin, int]:
+    """Raise the sum of squared fills by exchanges between underfull bins until as many are empty as can be or none helps.
+
+    Every change raises that sum, so the search ends; a pair of groups that no exchange helps is not tried again.
+    """
     bins = dict(bins)
     least = -(-sum(_fill(b) * n for b, n in bins.items()) // capacity)
-    while steps > 0 and sum(bins.values()) > least:
+    tried: set[tuple[Bin, Bin]] = set()
+    changed = True
+    while changed and sum(bins.values()) > least:
         under = sorted((b for b in bins if _fill(b) < capacity), key=lambda b: (_fill(b), b))
+        fills = {b: _fill(b) for b in under}
         changed = False
+        if len(tried) > TRIED:
+            tried.clear()
         for giver in under:
             for taker in reversed(under):
-                if giver not in bins:
+                if giver not in bins or fills[taker] < fills[giver]:
                     break
-                if taker == giver and bins[giver] < 2:
-                    continue
-                if taker not in bins or _fill(taker) < _fill(giver):
+                if taker not in bins or (taker, giver) in tried or (taker == giver and bins[giver] < 2):
                     continue
-                steps -= 1
-                room = capacity - _fill(taker)
-                if not (change := _better(taker, giver, room)):
+                if not (change := _better(taker, giver, capacity - fills[taker])):
+                    tried.add((taker, giver))
                     continue
                 n = min(bins[taker], bins[giver]) if taker != giver else bins[giver] // 2
                 for old, diff in ((taker, change[0]), (giver, change[1])):
@@ -140,10 +145,6 @@ def local_search(bins: dict[Bin, int], capacity: int, steps: int = SEARCH_STEPS)
                     if not bins[old]:
                         del bins[old]
                 changed = True
-            if changed or steps <= 0:
-                break
-        if not changed:
-            break
     return bins
 
 
@@ -212,7 +213,6 @@ def pack_documents(
     end_id: int = 0,
     id_col: str = "doc_id",
     text_col: str = "text",
-    steps: int = SEARCH_STEPS,
 ) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -222,7 +222,7 @@ def pack_documents(
     """
     pieces = cut(token_pieces(docs, tokenizer, capacity, end_id, id_col, text_col))
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
-    plan = Plan(local_search(best_fit(histogram, capacity), capacity, steps), capacity)
+    plan = Plan(local_search(best_fit(histogram, capacity), capacity), capacity)
     blocks = blocks_for(sum(histogram.values()), 4)
     key = F.xxhash64("id", "piece", "ids_crc32")
     rows = pieces.withColumn("block", F.pmod(key, F.lit(blocks)).cast("int"))

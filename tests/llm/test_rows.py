@@ -181,3 +181,33 @@ def test_fingerprints(spark, monkeypatch):
     a, b = "One. Two.\nThree.\n\nFour.", "One. Two.\nTHREE.\n\nFour."
     pair = spark.createDataFrame([(a, b)], "a string, b string").select(*[fingerprints.fingerprint(fingerprints.tree(F.col(c))).alias(c) for c in "ab"])
     assert pair.select(fingerprints.changed_branches(F.col("a"), F.col("b")).alias("x")).first().x == [(0, 1)]
+
+
+LISTED = "word”, ”. word». »,, …, —. 。, €, °. ™. 😀. हिन्दी, ไทยครับ่. é. q́. İ. ½. ²,, Ⅷ. ⅷ. ٣. ß. ‍. a\xa0. 　. ﬁ. Å. 가. 𑯲. ab𑯲."
+
+
+def test_word_table_on_odd_ends():
+    """Marks after anything but a letter are one run with it; all code points, and a seeded fuzz."""
+    table = wordbpe.WordTable(tokenizer_path())
+    plain = lambda t: np.array(table.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    for t in LISTED.split(" "):
+        assert table.encode(t.encode()) == plain(t), t
+    rng = random.Random(7)
+    chars = LISTED + "abzéñ日本語“«、̇̈က Σσς.,.,.,'s-!19 \t\n"
+    for _ in range(30_000):
+        t = "".join(rng.choice(chars) for _ in range(rng.randint(1, 12)))
+        assert table.encode(t.encode()) == plain(t), ascii(t)
+    for c in (*range(0x80, 0x3100), *range(0xA000, 0xD7FF, 7), *range(0xE000, 0x20000, 5)):
+        t = f"a{chr(c)}. {chr(c)}, b{chr(c)}b."
+        assert table.encode(t.encode()) == plain(t), ascii(t)
+
+
+def test_local_search_ends_where_nothing_improves():
+    rng = random.Random(11)
+    for capacity, low, high in ((60, 15, 40), (100, 25, 64)):
+        sizes = Counter(rng.randint(low, high) for _ in range(300))
+        end = packing.local_search(packing.best_fit(sizes, capacity), capacity)
+        least = -(-sum(k * n for k, n in sizes.items()) // capacity)
+        under = [b for b in end if packing._fill(b) < capacity]
+        pairs = [(a, b) for a in under for b in under if packing._fill(a) >= packing._fill(b) and (a != b or end[a] > 1)]
+        assert sum(end.values()) == least or not any(packing._better(a, b, capacity - packing._fill(a)) for a, b in pairs)

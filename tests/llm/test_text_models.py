@@ -141,53 +141,83 @@ def test_segmentation():
     assert s.tokens("m.casino-win.org", "/en/77") == ["h:m", "h:casino", "h:win", *["h:" + w for w in s.words("org")], *["p:" + w for w in s.words("en")], "p:0"]
 
 
-def test_lm_counts(spark, monkeypatch):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    texts = {r.doc_id: (r.text or "").encode().lower().split() + [None] for r in docs.collect()}
-    c = Counter(w for i, ws in texts.items() if zlib.crc32(str(i).encode()) % 10 for w in ws)
-    n, v = sum(c.values()), len(c)
-    means = {}
-    for most in (1 << 20, 500):
-        monkeypatch.setattr(lm_scoring, "BROADCAST_TOKENS", most)
-        base_sum, model_sum, count = 0.0, 0.0, 0
-        for r in q_lm.query(spark, SF).collect():
-            ws = texts[r.doc_id]
-            assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(c[w] > 0 for w in ws), n)
-            assert math.isclose(r.base_score, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), rel_tol=1e-9)
-            assert r.score <= 0
-            if r.held_out:
-                base_sum, model_sum, count = base_sum + r.base_score, model_sum + r.score, count + 1
-        means[most] = model_sum
-        assert model_sum > base_sum  # pairs help on texts not learned from
-    assert math.isclose(*means.values(), rel_tol=1e-9)
-
-
-def test_lm_filter_counts(spark):
-    rng = np.random.default_rng(0)
-    h = rng.integers(-(2**63), 2**63, 3000)
-    c = np.maximum(1, rng.pareto(1.0, 3000) * 2).astype(int)
-    frame = spark.createDataFrame([(1 + int(i % 2), int(x), int(k)) for i, (x, k) in enumerate(zip(h, c, strict=True))], "order byte, h long, c long")
-    lm = lm_scoring.build_filter(frame)
-    seen = lm.counts(h.view(np.uint64))
-    exact = lm_scoring.count_of(lm_scoring.level_of(c))
-    assert (seen >= exact - 1e-9).all() and (seen == exact).mean() > 0.97
-    assert (lm.counts(rng.integers(0, 2**63, 4000, np.uint64)) == 0).mean() > 0.98
-
-
-def test_lm_large_filter_keeps_pairs(spark, monkeypatch):
-    """A filter too large to broadcast loses no pair: the scores are those of the broadcast one."""
-    text = lambda i: " ".join(f"w{(i * 37 + k * k) % 4001}" for k in range(400))
-    rows = [(i, text(i)) for i in range(300)] + [(300, None), (301, ""), (None, text(3)), (5, text(5))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+def level(c):
+    return 1 + math.floor(math.log2(c) * lm_scoring.STEPS + 1e-9)
+
+
+def middle(c):
+    """The middle of the counts that share a level with c."""
+    if not c:
+        return 0.0
+    same = [k for k in range(max(1, c // 2), 2 * c + 2) if level(k) == level(c)]
+    return (same[0] + same[-1]) / 2
+
+
+def plain_scores(texts, learns):
+    """(n_tokens, n_known, N, base, score) of each text: the model without a filter."""
+    docs = [(t or "").encode().lower().split() + [None] for t in texts]
+    one, two = Counter(), Counter()
+    for ws, learn in zip(docs, learns, strict=True):
+        if learn:
+            one.update(ws)
+            two.update(zip([None, *ws], ws, strict=False))
+    n, v = sum(one.values()), len(one)
+    floor, memo, out = n + 0.1 * (v + 1), {}, []
+    near = lambda c: memo.setdefault(c, middle(c))
+    for ws in docs:
+        score = 0.0
+        for before, w in zip([None, *ws], ws, strict=False):
+            p, context = (near(one[w]) + 0.1) / floor, near(one[before])
+            if context:
+                p = lm_scoring.WEIGHT * min(1.0, near(two[before, w]) / max(context, 1.0)) + (1 - lm_scoring.WEIGHT) * p
+            score += math.log10(p)
+        out.append((len(ws), sum(one[w] > 0 for w in ws), n, sum(math.log10((one[w] + 0.1) / floor) for w in ws), score))
+    return out
+
+
+def test_lm_query_equals_plain(spark, monkeypatch):
+    """Counts and base scores are exact; with bits enough for no false positive the scores are those of exact counts.
+
+    The ways of looking up (broadcast, by part) and the sizes of chunks and parts change nothing.
+    """
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    ids = [r.doc_id for r in rows]
+    learns = [zlib.crc32(str(i).encode()) % 10 != 0 for i in ids]
+    want = dict(zip(ids, plain_scores([r.text for r in rows], learns), strict=True))
     found = []
-    for bits in (1 << 29, 1 << 20):
-        for name in ("BROADCAST_BITS", "MAX_BITS"):
-            monkeypatch.setattr(lm_scoring, name, bits, raising=False)
-        monkeypatch.setattr(lm_scoring, "GROUP", 1, raising=False)
-        monkeypatch.setattr(lm_scoring, "CHUNK_TOKENS", 3000, raising=False)
-        got = lm_scoring.score_documents(docs, F.col("doc_id") % 10 == 0).collect()
-        found.append(sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in got))
-    assert len(found[0]) == len(rows) and found[0] == found[1]
+    for broadcast, part, chunk in ((1 << 24, 1 << 24, 1 << 19), (0, 1 << 17, 20_000), (1 << 24, 1 << 17, 20_000)):
+        monkeypatch.setattr(lm_scoring, "BROADCAST_BYTES", broadcast)
+        monkeypatch.setattr(lm_scoring, "PART_BYTES", part)
+        monkeypatch.setattr(lm_scoring, "CHUNK_TOKENS", chunk)
+        docs = spark.read.parquet(f"{SF}/documents.parquet")
+        held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+        exact = lm_scoring.score_documents(docs, held_out, bits_per_entry=400).collect()
+        assert len(exact) == len(rows)
+        for r in exact:
+            n, known, total, base, score = want[r.doc_id]
+            assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
+            assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-9)
+        got = q_lm.query(spark, SF).collect()
+        assert all(math.isclose(r.base_score, want[r.doc_id][3], rel_tol=1e-9) for r in got)
+        off = [abs(r.score - want[r.doc_id][4]) / r.n_tokens for r in got]
+        assert max(off) < 0.2 and np.mean(off) < 0.02  # false positives
+        held = [r for r in got if r.held_out]
+        assert sum(r.score for r in held) > sum(r.base_score for r in held)  # pairs help on texts not learned from
+        found.append({r.doc_id: r.score for r in got})
+    assert all(math.isclose(found[1][i], found[2][i], rel_tol=1e-9) for i in ids)
+
+
+def test_lm_filter_counts():
+    rng = np.random.default_rng(0)
+    h, c = rng.integers(0, 2**63, 3000, np.uint64), np.maximum(1, rng.pareto(1.0, 3000) * 2).astype(np.int64)
+    lm = lm_scoring.LogFrequencyFilter.filled(h, c)
+    seen, exact = lm.levels(h), lm_scoring.level_of(c)
+    assert (seen >= exact).all() and (seen == exact).mean() > 0.97
+    assert (lm.levels(rng.integers(0, 2**63, 4000, np.uint64)) == 0).mean() > 0.98
+    counts = np.arange(1, 300)
+    assert np.allclose(lm_scoring.count_of(lm_scoring.level_of(counts)), [middle(int(k)) for k in counts])
+    s = np.sort(h)
+    assert (lm_scoring._hashes(lm_scoring._gaps(s)) == s).all() and (lm_scoring._spread(lm_scoring._squeezed(c)) == c).all()
 
 
 def test_lm_odd_rows(spark):
