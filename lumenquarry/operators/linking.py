@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenquarry.functions.text import jaccard, tokens
+from lumenquarry.operators.graph import cut
 
 # Weights of a link candidate's parts.
 LINK_WEIGHTS = {"name": 0.45, "type": 0.20, "identity": 0.20, "context": 0.10, "anchor": 0.05}
@@ -23,10 +24,11 @@ def context_score(a: Column, b: Column) -> Column:
     return F.least(F.lit(1.0), 0.5 + 0.1 * F.size(F.array_intersect(a, b)))
 
 
-def link(mentions: DataFrame, candidates: DataFrame, block: str, least: float = 0.5) -> DataFrame:
+def link(mentions: DataFrame, candidates: DataFrame, block: str, among: Column | None = None, least: float = 0.5) -> DataFrame:
     """Best candidate of each mention: (m_id, c_id, score), within a blocking key so that no pair outside it is scored.
 
-    mentions (m_id, block, name, type, tokens), candidates (c_id, block, name, type, tokens). Ties: the smaller id.
+    mentions (m_id, block, name, type, tokens), candidates (c_id, block, name, type, tokens); `among` may restrict the
+    pairs. Ties: the smaller id.
     """
     m = mentions.select("m_id", block, F.lower("name").alias("m_name"), F.col("type").alias("m_type"), F.col("tokens").alias("m_tokens"))
     c = candidates.select("c_id", block, F.lower("name").alias("c_name"), F.col("type").alias("c_type"), F.col("tokens").alias("c_tokens"))
@@ -36,7 +38,8 @@ def link(mentions: DataFrame, candidates: DataFrame, block: str, least: float =
         + w["identity"] * (F.col("m_name") == F.col("c_name")).cast("double") + w["context"] * context_score(F.col("m_tokens"), F.col("c_tokens"))
         + w["anchor"] * F.startswith("c_name", F.substring("m_name", 1, 3)).cast("double")
     )
-    scored = m.join(c, block).withColumn("score", F.round(score, 6)).where(F.col("score") >= least)
+    pairs = m.join(c, block) if among is None else m.join(c, block).where(among)
+    scored = pairs.withColumn("score", F.round(score, 6)).where(F.col("score") >= least)
     return scored.groupBy("m_id").agg(F.max(F.struct("score", -F.col("c_id"))).alias("best")).select("m_id", (-F.col("best.col2")).alias("c_id"), "best.score")
 
 
@@ -48,11 +51,21 @@ def canonical_id(kind: Column, number: Column, year: Column) -> Column:
 def applicable_rules(rules: DataFrame, facts: DataFrame) -> DataFrame:
     """Share of a rule's condition keywords that occur in a case's facts as substrings: (case_id, rule_id, score > 0).
 
-    rules (rule_id, condition): a small side, broadcast by the caller's choice of size; facts (case_id, text).
+    rules (rule_id, condition), facts (case_id, text). A keyword has no white space, so it lies inside a token: the
+    substrings of the distinct tokens meet the keywords by an equality join, and nothing is compared pair by pair.
     """
     k = rules.select("rule_id", F.explode(F.array_distinct(tokens(F.col("condition")))).alias("k"))
     total = k.groupBy("rule_id").agg(F.count("*").alias("n"))
-    hits = facts.join(k, F.contains(F.lower("text"), F.col("k"))).groupBy("case_id", "rule_id").agg(F.count("*").alias("h"))
+    held = facts.select("case_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("w"))
+    words = k.groupBy("k").agg(F.length("k").alias("n"))
+    sizes = words.agg(F.collect_set("n").alias("sizes"))  # the lengths of keywords: one row
+    inside = held.select("w").distinct().join(F.broadcast(sizes)).where(F.col("sizes").isNotNull())
+    inside = inside.select("w", F.explode(F.filter("sizes", lambda n: n <= F.length("w"))).alias("n"))
+    starts = F.sequence(F.lit(1), F.length("w") - F.col("n") + 1)
+    inside = inside.select("w", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("w"), i, F.col("n"))))).alias("k"))
+    inside = cut(inside.join(words.select("k"), "k"))
+    found = held.join(inside, "w").select("case_id", "k").distinct()
+    hits = found.join(k, "k").groupBy("case_id", "rule_id").agg(F.count("*").alias("h"))
     return hits.join(total, "rule_id").select("case_id", "rule_id", F.round(F.col("h") / F.col("n"), 6).alias("score"))
 
 

@@ -10,6 +10,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenquarry.functions.text import tokens
+from lumenquarry.operators.graph import cut
+
+
+#: Terms and queries that are broadcast, at most, after a count; more are joined by a shuffle.
+BROADCAST_TERMS, BROADCAST_QUERIES = 200_000, 10_000
+
+
+def _small(rows: DataFrame, most: int) -> DataFrame:
+    """A broadcast side if the rows are few enough, else left to the planner."""
+    rows = cut(rows)
+    return F.broadcast(rows) if rows.count() <= most else rows
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -22,13 +33,13 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, top: int = 10, docs_id: str = "doc_id", text: str = "text", query_id: str = "query_id") -> DataFrame:
     """Rows (query_id, doc_id, score, rank): the `top` documents of each query; repeated query terms count again.
 
-    queries (query_id, text) is the small side of the term join; only its terms are scored. Corpus statistics are
-    one aggregate. Ties: the smaller id.
+    Tokens that no query asks for are dropped before anything is shuffled: the terms of queries (query_id, text) are
+    broadcast where their count allows it, else joined. Corpus statistics are one aggregate. Ties: the smaller id.
     """
     toks = docs.select(F.col(docs_id).alias("doc_id"), tokens(F.col(text)).alias("ts")).withColumn("dl", F.size("ts"))
     corpus = toks.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     asked = queries.select(query_id, F.explode(tokens(F.col("text"))).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("qtf"))
-    wanted = asked.select("term").distinct()
+    wanted = _small(asked.select("term").distinct(), BROADCAST_TERMS)
     hits = toks.select("doc_id", "dl", F.explode("ts").alias("term")).join(wanted, "term").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
@@ -58,16 +69,45 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(0.0)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, top: int = 10, score: Column | None = None) -> DataFrame:
+def against_all(rows: DataFrame, queries: DataFrame, among: Column) -> DataFrame:
+    """Every row beside every query (with query_id) that `among` allows: a stated query set against all rows.
+
+    Queries are broadcast where their count is at most BROADCAST_QUERIES. More are dealt into blocks of that size by
+    a hash of their id; every row goes to each block, so a task holds a block of queries at most.
+    """
+    n = queries.count()
+    if n <= BROADCAST_QUERIES:
+        return rows.join(F.broadcast(queries), among)
+    blocks = -(-2 * n // BROADCAST_QUERIES)
+    asked = queries.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    return rows.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked, "__block").where(among).drop("__block")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, top: int = 10, score: Column | None = None, among: Column | None = None) -> DataFrame:
     """Rows (query_id, vec_id, score, rank): exact scan of vectors (vec_id, embedding) for queries (query_id, q).
 
-    queries is a stated, small set: it is broadcast and meets every vector once. A query isn't its own hit.
+    queries is a stated set that meets every vector once. A query isn't its own hit; `among` may restrict the vectors.
     """
-    pairs = vectors.join(F.broadcast(queries), F.col("query_id") != F.col("vec_id"))
+    apart = F.col("query_id") != F.col("vec_id")
+    pairs = against_all(vectors, queries, apart if among is None else apart & among)
     scored = pairs.select("query_id", "vec_id", F.round(score if score is not None else cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
     return top_k(scored, "query_id", "score", "vec_id", top)
 
 
+def mean_cosine(vectors: DataFrame, embedding: str) -> DataFrame:
+    """One row, mean: of the cosines of all ordered pairs, a vector with itself counting 0.
+
+    The pairs' sum is the squared length of the sum of unit vectors less their number; zero vectors add nothing.
+    """
+    size = norm(F.col(embedding))
+    unit = vectors.select(F.when(size > 0, F.transform(embedding, lambda v: v / size)).alias("u"))
+    rows = unit.select(F.posexplode_outer("u").alias("i", "v"))
+    per = rows.groupBy("i").agg(F.sum("v").alias("s"), F.count("*").alias("n"))
+    n = F.sum(F.when(F.col("i") == 0, F.col("n")))
+    all_rows = vectors.agg(F.count("*").alias("all"))
+    return per.agg(F.sum(F.col("s") * F.col("s")).alias("s2"), n.alias("n")).join(F.broadcast(all_rows)).select(((F.col("s2") - F.col("n")) / (F.col("all") * F.col("all"))).alias("mean"))  # one row
+
+
 def quantized(embedding: Column, words: int = 1) -> Column:
     """One bit a component (1 where it is 0 or more), 64 to a long, first component lowest."""
     def word(k: int) -> Column:

@@ -7,14 +7,14 @@ from lumenquarry.operators import graph as G
 from lumenquarry.operators import retrieval as R
 from lumenquarry.plans.base import query
 from lumenquarry.plans.graph import nodes_of, supply
-from lumenquarry.plans.retrieval import DENSE_SQL, VECTORS, dense
+from lumenquarry.plans.retrieval import DENSE_SQL, VECTORS, dense, vector_queries, vectors
 
 
-@query("metrics_aggregate", f"""with {DENSE_SQL}, q as (select a.vec_id as query_id, count(*) as rel from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id where a.vec_id < 20 group by 1),
+@query("metrics_aggregate", f"""with {DENSE_SQL}, q as (select a.vec_id as query_id, count(*) as rel from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id where a.vec_id % 20 = 0 group by 1),
 h as (select d.query_id, count(*) as hits from dense d join embeddings a on a.vec_id = d.query_id join embeddings b on b.vec_id = d.vec_id and a.label = b.label where d.rank <= 10 group by 1),
 m as (select coalesce(hits, 0) / rel as recall from q left join h using (query_id)) select round(avg(recall), 6) as mean_recall, round(stddev_pop(recall), 6) as std_recall, count(*) filter (where recall > 0) as with_results from m""")
 def metrics_aggregate(t):
-    q = t.embeddings.where(F.col("vec_id") < VECTORS).select(F.col("vec_id").alias("query_id"), "label")
+    q = t.embeddings.where(VECTORS).select(F.col("vec_id").alias("query_id"), "label")
     qrels = q.join(t.embeddings.select(F.col("vec_id").alias("doc_id"), "label"), "label").where("query_id <> doc_id").select("query_id", "doc_id", F.lit(1).alias("rel"))
     runs = dense(t).withColumnRenamed("vec_id", "doc_id").where("rank <= 10")
     hits = runs.join(qrels, ["query_id", "doc_id"]).groupBy("query_id").agg(F.count("*").alias("hits"))
@@ -34,7 +34,7 @@ def entity_overlap_retrieval(t):
 
 
 @query("citation_network_retrieval", """
-with e as (select distinct l_suppkey + 1000000 as src, l_partkey as dst from lineitem where l_linenumber = 1 and l_orderkey % 10 = 0), u as (select src, dst from e union select dst, src from e),
+with e as (select distinct l_suppkey + 1000000 as src, l_partkey as dst from lineitem), u as (select src, dst from e union select dst, src from e),
 p1 as (select 1000001::bigint as a, dst as id from u where src = 1000001), p2 as (select p1.id as via, u.dst as id from p1 join u on u.src = p1.id where u.dst <> 1000001)
 select id, 1 as hops, round(count(*) / 2, 6) as score from p1 group by 1 union all select id, 2, round(count(*) / 3, 6) from p2 group by 1""")
 def citation_network_retrieval(t):
@@ -66,19 +66,19 @@ def influence(t):
 
 
 @query("citation_anomaly", """
-with e as (select distinct l_suppkey + 1000000 as src, l_partkey as dst from lineitem where l_linenumber = 1 and l_orderkey % 10 = 0) select dst as id, count(*) as cited from e where dst not in (select src from e) group by 1 having count(*) >= 2""")
+with e as (select distinct l_suppkey + 1000000 as src, l_partkey as dst from lineitem) select dst as id, count(*) as cited from e where dst not in (select src from e) group by 1 having count(*) >= 2""")
 def citation_anomaly(t):
     d = G.degrees(supply(t))
     return d.where("out_degree = 0 and in_degree >= 2").select("id", F.col("in_degree").alias("cited"))
 
 
 @query("similar_by_neighbors", """
-with e as (select distinct l_suppkey as s, l_partkey % 50 as p from lineitem), d as (select s, count(*) as n from e group by 1), i as (select a.s as a, b.s as b, count(*) as i from e a join e b on a.p = b.p and a.s < b.s where a.s < 5 group by 1, 2)
+with e as (select distinct l_suppkey as s, l_partkey as p from lineitem), d as (select s, count(*) as n from e group by 1), i as (select a.s as a, b.s as b, count(*) as i from e a join e b on a.p = b.p and a.s <> b.s where a.s % 20 = 0 group by 1, 2)
 select a, b, round(i / (x.n + y.n - i), 6) as jaccard from i join d x on x.s = a join d y on y.s = b""")
 def similar_by_neighbors(t):
-    e = t.lineitem.select(F.col("l_suppkey").alias("s"), (F.col("l_partkey") % 50).alias("p")).distinct()
+    e = t.lineitem.select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
     d = e.groupBy("s").agg(F.count("*").alias("n"))
-    i = e.where("s < 5").withColumnRenamed("s", "a").join(e.withColumnRenamed("s", "b"), "p").where("a < b").groupBy("a", "b").agg(F.count("*").alias("i"))
+    i = e.where("s % 20 = 0").withColumnRenamed("s", "a").join(e.withColumnRenamed("s", "b"), "p").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("i"))
     i = i.join(d.select(F.col("s").alias("a"), F.col("n").alias("na")), "a").join(d.select(F.col("s").alias("b"), F.col("n").alias("nb")), "b")
     return i.select("a", "b", F.round(F.col("i") / (F.col("na") + F.col("nb") - F.col("i")), 6).alias("jaccard"))
 
@@ -112,11 +112,11 @@ def batch_upsert(t):
 
 
 @query("vector_precedents", """
-with c as (select b.vec_id, round(list_dot_product(a.embedding::double[], b.embedding::double[]) / (sqrt(list_dot_product(a.embedding::double[], a.embedding::double[])) * sqrt(list_dot_product(b.embedding::double[], b.embedding::double[]))), 6) as score
- from embeddings a, embeddings b where a.vec_id = 300 and b.vec_id < 300) select 300::bigint as query_id, vec_id, score, row_number() over (order by score desc, vec_id) as rank from c order by score desc, vec_id limit 10""")
+with c as (select a.vec_id as query_id, b.vec_id, round(list_dot_product(a.embedding::double[], b.embedding::double[]) / (sqrt(list_dot_product(a.embedding::double[], a.embedding::double[])) * sqrt(list_dot_product(b.embedding::double[], b.embedding::double[]))), 6) as score
+ from embeddings a, embeddings b where a.vec_id % 20 = 0 and b.vec_id < a.vec_id), r as (select query_id, vec_id, score, row_number() over (partition by query_id order by score desc, vec_id) as rank from c) select * from r where rank <= 10""")
 def vector_precedents(t):
-    q = t.embeddings.where("vec_id = 300").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return R.nearest(t.embeddings.where("vec_id < 300").select("vec_id", "embedding"), q, 10)
+    """Earlier vectors only."""
+    return R.nearest(vectors(t), vector_queries(t), 10, among=F.col("vec_id") < F.col("query_id"))
 
 
 @query("ab_test", """
@@ -144,7 +144,7 @@ def propensity_logistic(t):
 
 
 @query("subgraph_k_hop", """
-with e as (select distinct l_suppkey + 1000000 as src, l_partkey as dst from lineitem where l_linenumber = 1 and l_orderkey % 10 = 0), u as (select src, dst from e union select dst, src from e), b as (select 1000001::bigint as id union select dst from u where src = 1000001)
+with e as (select distinct l_suppkey + 1000000 as src, l_partkey as dst from lineitem), u as (select src, dst from e union select dst, src from e), b as (select 1000001::bigint as id union select dst from u where src = 1000001)
 select src, dst from e where src in (select id from b) and dst in (select id from b)""")
 def subgraph_k_hop(t):
     e = supply(t)
@@ -153,7 +153,7 @@ def subgraph_k_hop(t):
 
 
 @query("graph_hubs", """
-with e as (select distinct l_suppkey + 1000000 as src, l_partkey as dst from lineitem where l_linenumber = 1 and l_orderkey % 10 = 0), u as (select src, dst from e union select dst, src from e) select src as id, count(*) as degree from u group by 1 order by degree desc, id limit 20""")
+with e as (select distinct l_suppkey + 1000000 as src, l_partkey as dst from lineitem), u as (select src, dst from e union select dst, src from e) select src as id, count(*) as degree from u group by 1 order by degree desc, id limit 20""")
 def graph_hubs(t):
     return G.both_ways(supply(t)).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree")).orderBy(F.desc("degree"), "id").limit(20)
 

@@ -1,5 +1,5 @@
-"""Graph queries. The graph links suppliers (ids from 1,000,000) and parts that were sold together in lineitem, for
-lines 1 and 2 of an order; nations and regions make a tree."""
+"""Graph queries over whole tables. One graph links suppliers (ids from 1,000,000) with the parts they sold, another the
+parts of consecutive lines of an order; nations and regions make a tree. Seeds of searches are ids divisible by 20."""
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -7,21 +7,24 @@ from pyspark.sql.window import Window
 from lumenquarry.operators import graph as G
 from lumenquarry.plans.base import query
 
-E_SQL = "e as (select distinct l_suppkey + 1000000 as src, l_partkey as dst from lineitem where l_linenumber = 1 and l_orderkey % 10 = 0)"
+E_SQL = "e as (select distinct l_suppkey + 1000000 as src, l_partkey as dst from lineitem)"
 U_SQL = E_SQL + ", u as (select src, dst from e union select dst, src from e)"
 N_SQL = U_SQL + ", n as (select distinct src as id from u)"
-C_SQL = "c as (select distinct p1.l_partkey as src, p2.l_partkey as dst from lineitem p1 join lineitem p2 on p1.l_orderkey = p2.l_orderkey where p1.l_linenumber = 1 and p2.l_linenumber = 2 and p1.l_partkey <> p2.l_partkey)"
+C_SQL = "c as (select distinct p1.l_partkey as src, p2.l_partkey as dst from lineitem p1 join lineitem p2 on p1.l_orderkey = p2.l_orderkey and p1.l_linenumber + 1 = p2.l_linenumber where p1.l_partkey <> p2.l_partkey)"
 
 
 def supply(t):
-    rows = t.lineitem.where("l_linenumber = 1 and l_orderkey % 10 = 0")
-    return rows.select((F.col("l_suppkey") + 1000000).alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    return t.lineitem.select((F.col("l_suppkey") + 1000000).alias("src"), F.col("l_partkey").alias("dst")).distinct()
 
 
 def together(t):
-    """Directed edges between the parts of lines 1 and 2 of an order."""
-    a, b = (t.lineitem.where(f"l_linenumber = {k}").select("l_orderkey", F.col("l_partkey").alias(c)) for k, c in ((1, "src"), (2, "dst")))
-    return a.join(b, "l_orderkey").where("src <> dst").select("src", "dst").distinct()
+    """Directed edges from the part of each line of an order to that of the next line."""
+    a, b = (t.lineitem.select("l_orderkey", (F.col("l_linenumber") + k).alias("line"), F.col("l_partkey").alias(c)) for k, c in ((1, "src"), (0, "dst")))
+    return a.join(b, ["l_orderkey", "line"]).where("src <> dst").select("src", "dst").distinct()
+
+
+def seeds(t):
+    return t.part.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("id"))
 
 
 def nodes_of(edges):
@@ -72,32 +75,27 @@ def graph_components_supply(t):
 @query("graph_bfs", f"""with recursive {C_SQL}, r as (select 1::bigint as id, 0 as d union select c.dst, r.d + 1 from r join c on c.src = r.id where r.d < 2)
 select id, min(d)::int as distance from r group by id""")
 def graph_bfs(t):
-    seeds = t.part.where("p_partkey = 1").select(F.col("p_partkey").alias("id"))
-    return G.bfs(together(t), seeds, 2)
+    return G.bfs(together(t), t.part.where("p_partkey = 1").select(F.col("p_partkey").alias("id")), 2)
 
 
 @query("graph_neighborhood_undirected", f"""with recursive {N_SQL}, r as (select 1000001::bigint as id, 0 as d union select u.dst, r.d + 1 from r join u on u.src = r.id where r.d < 2)
 select id, min(d)::int as distance from r group by id""")
 def graph_neighborhood_undirected(t):
-    seeds = t.supplier.where("s_suppkey = 1").select((F.col("s_suppkey") + 1000000).alias("id"))
-    return G.bfs(supply(t), seeds, 2, directed=False)
+    return G.bfs(supply(t), t.supplier.where("s_suppkey = 1").select((F.col("s_suppkey") + 1000000).alias("id")), 2, directed=False)
 
 
-@query("graph_paths", f"""with {C_SQL}, s as (select src, dst from c where src < 400 and dst < 400), p1 as (select [src, dst] as p from s where src <= 10),
-p2 as (select list_append(p, dst) as p from p1 join s on p[-1] = s.src where not list_contains(p, dst)), p3 as (select list_append(p, dst) as p from p2 join s on p[-1] = s.src where not list_contains(p, dst))
-select array_to_string(p, '>') as path, hops from (select p, 1 as hops from p1 union all select p, 2 from p2 union all select p, 3 from p3)""")
+@query("graph_paths", f"""with {C_SQL}, p1 as (select [src, dst] as p from c where src % 20 = 0), p2 as (select list_append(p, dst) as p from p1 join c on p[-1] = c.src where not list_contains(p, dst))
+select array_to_string(p, '>') as path, hops from (select p, 1 as hops from p1 union all select p, 2 from p2)""")
 def graph_paths(t):
-    e = together(t).where("src < 400 and dst < 400")
-    found = G.paths(e, t.part.where("p_partkey <= 10").select(F.col("p_partkey").alias("id")), 3)
+    found = G.paths(together(t), seeds(t), 2)
     return found.select(F.concat_ws(">", F.transform("path", lambda x: x.cast("string"))).alias("path"), "hops")
 
 
-@query("graph_path_scores", f"""with {C_SQL}, s as (select src, dst, 0.7 * (0.5 + (src + dst) % 5 / 10.0) as w from c where src < 400 and dst < 400)
-select a.src as a, a.dst as b, b.dst as c, round((a.w * b.w)::double, 6) as score from s a join s b on a.dst = b.src where a.src <= 10 and b.dst <> a.src""")
+@query("graph_path_scores", f"""with {C_SQL}, s as (select src, dst, 0.7 * (0.5 + (src + dst) % 5 / 10.0) as w from c)
+select a.src as a, a.dst as b, b.dst as c, round((a.w * b.w)::double, 6) as score from s a join s b on a.dst = b.src where a.src % 20 = 0 and b.dst <> a.src""")
 def graph_path_scores(t):
-    e = together(t).where("src < 400 and dst < 400")
     w = 0.7 * (0.5 + (F.col("src") + F.col("dst")) % 5 / 10.0)
-    p = G.paths(e, t.part.where("p_partkey <= 10").select(F.col("p_partkey").alias("id")), 2, w).where("hops = 2")
+    p = G.paths(together(t), seeds(t), 2, w).where("hops = 2")
     return p.select(F.get("path", 0).alias("a"), F.get("path", 1).alias("b"), F.get("path", 2).alias("c"), F.round("score", 6).alias("score"))
 
 
@@ -106,8 +104,7 @@ h2 as (select dst as id, max(s * 0.7 * w) as s from h1 join w on w.src = h1.id w
 select id, 1 as hop, round(s, 6) as score from h1 where s >= 0.1 union all select id, hop, score from (select id, 2 as hop, round(s, 6) as score, row_number() over (order by s desc, id) as rn from h2 where s >= 0.1) where rn <= 25""")
 def graph_k_hop(t):
     e = together(t).withColumn("weight", 0.5 + (F.col("src") + F.col("dst")) % 5 / 10.0)
-    seeds = t.part.where("p_partkey = 1").select(F.col("p_partkey").alias("id"), F.lit(1.0).alias("score"))
-    return G.k_hop(e, seeds, 2, 25).select("id", "hop", F.round("score", 6).alias("score"))
+    return G.k_hop(e, t.part.where("p_partkey = 1").select(F.col("p_partkey").alias("id"), F.lit(1.0).alias("score")), 2, 25).select("id", "hop", F.round("score", 6).alias("score"))
 
 
 @query("graph_pagerank")
@@ -136,28 +133,27 @@ def graph_pagerank_nations(t):
 
 @query("graph_label_propagation")
 def graph_label_propagation(t):
-    e = together(t).where("src < 300 and dst < 300")
+    e = together(t)
     return G.label_propagation(nodes_of(e), e)
 
 
-@query("graph_triangles", f"""with {C_SQL}, k as (select distinct least(src, dst) as a, greatest(src, dst) as b from c where src < 600 and dst < 600)
+@query("graph_triangles", f"""with {C_SQL}, k as (select distinct least(src, dst) as a, greatest(src, dst) as b from c)
 select x.a, x.b, y.b as c from k x join k y on x.b = y.a join k z on z.a = x.a and z.b = y.b""")
 def graph_triangles(t):
-    return G.triangles(together(t).where("src < 600 and dst < 600"))
+    return G.triangles(together(t))
 
 
-@query("graph_clustering", f"""with {C_SQL}, k as (select distinct least(src, dst) as a, greatest(src, dst) as b from c where src < 600 and dst < 600), u as (select a, b from k union all select b, a from k), d as (select a as id, count(*) as degree from u group by 1),
+@query("graph_clustering", f"""with {C_SQL}, k as (select distinct least(src, dst) as a, greatest(src, dst) as b from c), u as (select a, b from k union all select b, a from k), d as (select a as id, count(*) as degree from u group by 1),
 tr as (select x.a as p, x.b as q, y.b as r from k x join k y on x.b = y.a join k z on z.a = x.a and z.b = y.b), m as (select p as id from tr union all select q from tr union all select r from tr), c2 as (select id, count(*) as tri from m group by 1)
 select d.id, coalesce(tri, 0) as triangles, degree, round(case when degree > 1 then 2 * coalesce(tri, 0) / (degree * (degree - 1)) else 0 end, 6)::double as coefficient from d left join c2 using (id)""")
 def graph_clustering(t):
-    c = G.clustering(together(t).where("src < 600 and dst < 600"))
+    c = G.clustering(together(t))
     return c.select("id", F.col("triangles").cast("long").alias("triangles"), "degree", F.round("coefficient", 6).alias("coefficient"))
 
 
-@query("graph_common_neighbors", f"""with {U_SQL} select a.src as id, b.dst as other, count(distinct a.dst) as shared from u a join u b on a.dst = b.src where a.src between 1000001 and 1000003 and b.dst <> a.src group by 1, 2""")
+@query("graph_common_neighbors", f"""with {U_SQL} select a.src as id, b.dst as other, count(distinct a.dst) as shared from u a join u b on a.dst = b.src where a.src >= 1000000 and (a.src - 1000000) % 20 = 0 and b.dst <> a.src group by 1, 2""")
 def graph_common_neighbors(t):
-    seeds = t.supplier.where("s_suppkey between 1 and 3").select((F.col("s_suppkey") + 1000000).alias("id"))
-    return G.common_neighbors(supply(t), seeds)
+    return G.common_neighbors(supply(t), t.supplier.where("s_suppkey % 20 = 0").select((F.col("s_suppkey") + 1000000).alias("id")))
 
 
 @query("graph_induced", f"with {C_SQL} select src, dst from c where src % 5 = 0 and dst % 5 = 0")
@@ -183,10 +179,9 @@ def graph_edge_decay(t):
     return e.select("src", "dst", F.round(w, 6).alias("weight"), (w >= 0.05).alias("active"))
 
 
-@query("graph_cycles3", f"""with {C_SQL}, s as (select distinct src % 97 as src, dst % 97 as dst from c where src % 97 <> dst % 97 and src < 500) select a.src as a, b.src as b, d.src as c from s a join s b on a.dst = b.src join s d on b.dst = d.src and d.dst = a.src where a.src < b.src and a.src < d.src and b.src <> d.src""")
+@query("graph_cycles3", f"""with {C_SQL}, s as (select src, dst from c) select a.src as a, b.src as b, d.src as c from s a join s b on a.dst = b.src join s d on b.dst = d.src and d.dst = a.src where a.src < b.src and a.src < d.src and b.src <> d.src""")
 def graph_cycles3(t):
-    e = together(t).where("src < 500").select((F.col("src") % 97).alias("src"), (F.col("dst") % 97).alias("dst"))
-    return G.cycles(e, 3).select(*[F.get("path", i).alias(c) for i, c in enumerate("abc")])
+    return G.cycles(together(t), 3).select(*[F.get("path", i).alias(c) for i, c in enumerate("abc")])
 
 
 @query("graph_h_index", """
@@ -252,22 +247,21 @@ def graph_cooccurrence(t):
 
 
 @query("graph_related_weighted", """
-with k as (select c_custkey as id, 'n' || c_nationkey as key, 1 as w from customer where c_custkey <= 200 union all select c_custkey, 's' || c_mktsegment, 2 from customer where c_custkey <= 200)
-select b.id, sum(a.w)::bigint as weight from k a join k b on a.key = b.key where a.id = 1 and b.id <> 1 group by 1""")
+with k as (select c_custkey as id, 'n' || c_nationkey as key, 1 as w from customer union all select c_custkey, 's' || c_mktsegment, 2 from customer)
+select a.id, b.id as other, sum(a.w)::bigint as weight from k a join k b on a.key = b.key where a.id % 20 = 0 and b.id <> a.id group by 1, 2""")
 def graph_related_weighted(t):
-    c = t.customer.where("c_custkey <= 200")
-    k = c.select(F.col("c_custkey").alias("id"), F.explode(F.array(
+    k = t.customer.select(F.col("c_custkey").alias("id"), F.explode(F.array(
         F.struct(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("key"), F.lit(1).alias("w")), F.struct(F.concat(F.lit("s"), "c_mktsegment").alias("key"), F.lit(2).alias("w")))).alias("x")).select("id", "x.*")
-    seed = k.where("id = 1").select("key", "w")
-    return k.drop("w").where("id <> 1").join(seed, "key").groupBy("id").agg(F.sum("w").alias("weight"))
+    seed = k.where("id % 20 = 0").select("id", "key", "w")
+    return k.select(F.col("id").alias("other"), "key").join(seed, "key").where("id <> other").groupBy("id", "other").agg(F.sum("w").alias("weight"))
 
 
-@query("graph_quantum_walk", f"""with {C_SQL}, e as (select src, dst from c where src < 200 and dst < 200), n as (select src as id from e union select dst from e), o as (select src, count(*) as k from e group by 1), w as (select e.src, e.dst, 1.0::double / k as s from e join o using (src)),
+@query("graph_quantum_walk", f"""with {C_SQL}, e as (select src, dst from c), n as (select src as id from e union select dst from e), o as (select src, count(*) as k from e group by 1), w as (select e.src, e.dst, 1.0::double / k as s from e join o using (src)),
 a0 as (select id, case when id = (select min(id) from n) then 1.0 else 0 end::double as a from n),
 a1 as (select id, 0.85::double * coalesce((select sum(a0.a * w.s) from a0 join w on w.src = a0.id where w.dst = n.id), 0) + 0.15::double * (select a from a0 where a0.id = n.id) as a from n)
 select id, round(a * a, 8) as score from a1""")
 def graph_quantum_walk(t):
-    e = together(t).where("src < 200 and dst < 200")
+    e = together(t)
     n = nodes_of(e)
     first = n.agg(F.min("id").alias("id"))
     return G.quantum_walk(n, e, first, rounds=1).select("id", F.round("score", 8).alias("score"))

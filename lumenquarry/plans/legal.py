@@ -10,14 +10,14 @@ from lumenquarry.plans.base import query
 
 
 @query("entity_link", """
-with m as (select p_partkey as m_id, p_brand, lower(p_name) as n, p_type as t, regexp_split_to_array(lower(p_name), '\\s+') as w from part where p_partkey % 10 = 0),
-c as (select p_partkey as c_id, p_brand, lower(p_name) as n, p_type as t, regexp_split_to_array(lower(p_name), '\\s+') as w from part where p_partkey % 10 <> 0),
+with m as (select p_partkey as m_id, p_brand, lower(p_name) as n, p_type as t, regexp_split_to_array(lower(p_name), '\\s+') as w from part where p_partkey % 20 = 0),
+c as (select p_partkey as c_id, p_brand, lower(p_name) as n, p_type as t, regexp_split_to_array(lower(p_name), '\\s+') as w from part),
 s as (select m_id, c_id, round(0.45 * case when m.n = c.n then 1 when contains(m.n, c.n) or contains(c.n, m.n) then 0.85 else 0.7 * (1 - levenshtein(m.n, c.n) / greatest(length(m.n), length(c.n), 1)) end
- + 0.2 * (m.t = c.t)::int + 0.2 * (m.n = c.n)::int + 0.1 * least(1, 0.5 + 0.1 * len(list_intersect(m.w, c.w))) + 0.05 * starts_with(c.n, substr(m.n, 1, 3))::int, 6)::double as score from m join c using (p_brand)),
+ + 0.2 * (m.t = c.t)::int + 0.2 * (m.n = c.n)::int + 0.1 * least(1, 0.5 + 0.1 * len(list_intersect(m.w, c.w))) + 0.05 * starts_with(c.n, substr(m.n, 1, 3))::int, 6)::double as score from m join c on m.p_brand = c.p_brand and m_id <> c_id),
 r as (select *, row_number() over (partition by m_id order by score desc, c_id) as rn from s where score >= 0.5) select m_id, c_id, score from r where rn = 1""")
 def entity_link(t):
     base = t.part.select(F.col("p_partkey").alias("id"), "p_brand", F.col("p_name").alias("name"), F.col("p_type").alias("type"), F.array_distinct(tokens(F.col("p_name"))).alias("tokens"))
-    return K.link(base.where("id % 10 = 0").withColumnRenamed("id", "m_id"), base.where("id % 10 <> 0").withColumnRenamed("id", "c_id"), "p_brand")
+    return K.link(base.where("id % 20 = 0").withColumnRenamed("id", "m_id"), base.withColumnRenamed("id", "c_id"), "p_brand", F.col("m_id") != F.col("c_id"))
 
 
 @query("canonical_ids", "select o_orderkey, case o_orderstatus when 'F' then 'law:' || o_orderkey when 'O' then 'case:' || extract(year from o_orderdate) || '/' || o_orderkey else 'entity:' || o_orderkey end as id from orders")
@@ -27,19 +27,19 @@ def canonical_ids(t):
 
 
 @query("applicable_rules", r"""
-with k as (select distinct item_id as rule_id, unnest(list_filter(regexp_split_to_array(lower(substr(text, 1, 40)), '\s+'), lambda x: x <> '')) as k from benchmark where item_id < 3), n as (select rule_id, count(*) as n from k group by 1),
-h as (select doc_id as case_id, rule_id, count(*) as h from documents join k on contains(lower(text), k) where doc_id < 300 group by 1, 2) select case_id, rule_id, round(h / n, 6) as score from h join n using (rule_id)""")
+with k as (select distinct item_id as rule_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) as k from benchmark), n as (select rule_id, count(*) as n from k group by 1),
+f as (select doc_id, kk.k from documents join (select distinct k from k) kk on contains(lower(text), kk.k)), h as (select doc_id as case_id, rule_id, count(*) as h from f join k using (k) group by 1, 2) select case_id, rule_id, round(h / n, 6) as score from h join n using (rule_id)""")
 def applicable_rules(t):
-    rules = t.benchmark.where("item_id < 3").select(F.col("item_id").alias("rule_id"), F.substring("text", 1, 40).alias("condition"))
-    return K.applicable_rules(rules, t.documents.where("doc_id < 300").select(F.col("doc_id").alias("case_id"), "text"))
+    rules = t.benchmark.select(F.col("item_id").alias("rule_id"), F.col("text").alias("condition"))
+    return K.applicable_rules(rules, t.documents.select(F.col("doc_id").alias("case_id"), "text"))
 
 
 @query("similar_precedents", r"""
-with c as (select doc_id as case_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) as t from documents), q as (select item_id as query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) as t from benchmark where item_id < 4),
+with c as (select doc_id as case_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) as t from documents), q as (select item_id as query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) as t from benchmark where item_id % 20 = 0),
 s as (select query_id, case_id, round(len(list_intersect(c.t, q.t)) / (len(c.t) + len(q.t) - len(list_intersect(c.t, q.t))), 6) as score from c, q where len(c.t) > 0), r as (select *, row_number() over (partition by query_id order by score desc, case_id) as rank from s where score > 0.05)
 select * from r where rank <= 5""")
 def similar_precedents(t):
-    asked = t.benchmark.where("item_id < 4").select(F.col("item_id").alias("query_id"), "text")
+    asked = t.benchmark.where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "text")
     return K.similar_precedents(t.documents.select(F.col("doc_id").alias("case_id"), "text"), asked, 0.05)
 
 
@@ -55,11 +55,11 @@ def dispute_severity(t):
 
 
 @query("query_rewrites", r"""
-with v as (select item_id as query_id, replace(text, 'tion', 'sion') as t from benchmark where item_id < 10), x as (select query_id, t as variant, 1.0 as c, 'correction' as k from v union all select query_id, regexp_replace(t, '\bthe\b', 'that', 'g'), 0.8, 'synonym' from v
+with v as (select item_id as query_id, replace(text, 'tion', 'sion') as t from benchmark), x as (select query_id, t as variant, 1.0 as c, 'correction' as k from v union all select query_id, regexp_replace(t, '\bthe\b', 'that', 'g'), 0.8, 'synonym' from v
  union all select query_id, regexp_replace(t, '\bthe\b', 'this', 'g'), 0.8, 'synonym' from v union all select query_id, 'what is ' || t, 0.7, 'template' from v),
 b as (select query_id, variant, max(c)::double as confidence, arg_max(k, c) as kind from x group by 1, 2) select *, row_number() over (partition by query_id order by confidence desc, variant) as rank from b""")
 def query_rewrites(t):
-    q = t.benchmark.where("item_id < 10").select(F.col("item_id").alias("query_id"), "text")
+    q = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
     return K.rewrites(q, [("tion", "sion")], {"the": ["that", "this"]})
 
 

@@ -116,9 +116,9 @@ def prediction_interval(t):
     return t.events.groupBy("event_type").agg(F.round(m - 1.96 * s, 4).alias("low"), F.round(m + 1.96 * s, 4).alias("high"))
 
 
-@query("noisy_or", "select l_suppkey, round(1 - product(1 - l_discount), 6) as p from lineitem where l_linenumber = 1 group by 1")
+@query("noisy_or", "select l_suppkey, round(1 - product(1 - l_discount / 100), 6) as p from lineitem group by 1")
 def noisy_or(t):
-    return t.lineitem.where("l_linenumber = 1").groupBy("l_suppkey").agg(F.round(Q.noisy_or(F.col("l_discount")), 6).alias("p"))
+    return t.lineitem.groupBy("l_suppkey").agg(F.round(Q.noisy_or(F.col("l_discount") / 100), 6).alias("p"))
 
 
 @query("paired_t_test", """
@@ -206,10 +206,10 @@ def entity_merge(t):
     return e.groupBy("norm", "label").agg(F.max("score").alias("score"), F.concat_ws("+", F.array_sort(F.collect_set("source"))).alias("sources"), F.count("*").alias("n"))
 
 
-@query("evidence_confidence", "select l_suppkey, round(least(1, avg(1 - l_discount) * (0.7 + 0.3 * least(count(*) / 5, 1))), 6) as confidence from lineitem where l_linenumber = 3 group by 1")
+@query("evidence_confidence", "select l_suppkey, round(least(1, avg(1 - l_discount) * (0.7 + 0.3 * least(count(*) / 5, 1))), 6) as confidence from lineitem group by 1")
 def evidence_confidence(t):
     c = F.avg(1 - F.col("l_discount")) * (0.7 + 0.3 * F.least(F.count("*") / 5, F.lit(1.0)))
-    return t.lineitem.where("l_linenumber = 3").groupBy("l_suppkey").agg(F.round(F.least(F.lit(1.0), c), 6).alias("confidence"))
+    return t.lineitem.groupBy("l_suppkey").agg(F.round(F.least(F.lit(1.0), c), 6).alias("confidence"))
 
 
 @query("sla_compliance", """

@@ -6,12 +6,12 @@ from pyspark.sql.window import Window
 from lumenquarry.operators import retrieval as R
 from lumenquarry.plans.base import query
 
-QUERIES = 5  # benchmark items with the lowest ids are the queries
-VECTORS = 20  # as are the lowest vectors
+# The queries: every row whose id is divisible by 20.
+QUERIES, VECTORS = "item_id % 20 = 0", "vec_id % 20 = 0"
 
 
 def asked(t):
-    return t.benchmark.where(F.col("item_id") < QUERIES).select(F.col("item_id").alias("query_id"), "text")
+    return t.benchmark.where(QUERIES).select(F.col("item_id").alias("query_id"), "text")
 
 
 def sparse(t, top=20):
@@ -22,8 +22,8 @@ def vectors(t):
     return t.embeddings.select("vec_id", "embedding")
 
 
-def vector_queries(t, n=VECTORS):
-    return t.embeddings.where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+def vector_queries(t):
+    return t.embeddings.where(VECTORS).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
 def dense(t, top=20):
@@ -35,7 +35,7 @@ toks as (select doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), l
 dl as (select doc_id, len(ts) as dl from toks),
 corpus as (select count(*) as n, avg(dl) as avgdl from dl),
 qt as (select query_id, term, count(*) as qtf from (select item_id as query_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) as term
-       from benchmark where item_id < 5) group by 1, 2),
+       from benchmark where item_id % 20 = 0) group by 1, 2),
 tf as (select doc_id, term, count(*) as tf from (select doc_id, unnest(ts) as term from toks) where term in (select term from qt) group by 1, 2),
 df as (select term, count(*) as df from tf group by 1),
 scored as (select query_id, tf.doc_id, round(sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) as score
@@ -44,7 +44,7 @@ sparse as (select * from (select *, row_number() over (partition by query_id ord
 
 COSINE = "list_dot_product(a.embedding::double[], b.embedding::double[]) / (sqrt(list_dot_product(a.embedding::double[], a.embedding::double[])) * sqrt(list_dot_product(b.embedding::double[], b.embedding::double[])))"
 DENSE_SQL = f"""
-pairs as (select a.vec_id as query_id, b.vec_id, round({COSINE}, 6) as score from embeddings a, embeddings b where a.vec_id < 20 and a.vec_id <> b.vec_id),
+pairs as (select a.vec_id as query_id, b.vec_id, round({COSINE}, 6) as score from embeddings a, embeddings b where a.vec_id % 20 = 0 and a.vec_id <> b.vec_id),
 dense as (select * from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from pairs) where rank <= 20)"""
 
 
@@ -67,7 +67,7 @@ def dense_search(t):
 
 
 @query("dense_filtered", f"""with p as (select a.vec_id as query_id, b.vec_id, round({COSINE}, 6) as score from embeddings a, embeddings b
- where a.vec_id < 20 and a.vec_id <> b.vec_id and b.label in (1, 3, 5)), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from p)
+ where a.vec_id % 20 = 0 and a.vec_id <> b.vec_id and b.label in (1, 3, 5)), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from p)
  select * from r where rank <= 5""")
 def dense_filtered(t):
     from lumenquarry.operators.filters import compile_filter
@@ -76,11 +76,12 @@ def dense_filtered(t):
 
 
 def both_lists(t):
-    d = dense(t).where("query_id < 5").withColumnRenamed("vec_id", "doc_id")
+    """The items and the vectors of the same id ask together."""
+    d = dense(t).join(asked(t).select("query_id"), "query_id", "left_semi").withColumnRenamed("vec_id", "doc_id")
     return R.ranked_lists(sparse=sparse(t), dense=d)
 
 
-LISTS_SQL = f"with {BM25_SQL}, {DENSE_SQL}, lists as (select query_id, doc_id, score, rank, 'sparse' as list from sparse union all select query_id, vec_id, score, rank, 'dense' from dense where query_id < 5)"
+LISTS_SQL = f"with {BM25_SQL}, {DENSE_SQL}, lists as (select query_id, doc_id, score, rank, 'sparse' as list from sparse union all select query_id, vec_id, score, rank, 'dense' from dense where query_id in (select item_id from benchmark))"
 
 
 @query("hybrid_rrf", f"{LISTS_SQL} select query_id, doc_id, round(sum(1.0 / (60 + rank)), 6) as score from lists group by 1, 2")
@@ -126,7 +127,7 @@ def dense_normalized(t):
 
 
 @query("jaccard_retrieval", r"""
-with q as (select item_id as query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) as a from benchmark where item_id < 5),
+with q as (select item_id as query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) as a from benchmark where item_id % 20 = 0),
 d as (select doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) as b from documents),
 p as (select query_id, doc_id, len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) as s from q, d),
 r as (select query_id, doc_id, round(s, 6) as score, row_number() over (partition by query_id order by round(s, 6) desc, doc_id) as rank from p where s > 0.1)
@@ -136,21 +137,21 @@ def jaccard_retrieval(t):
 
     q = asked(t).select("query_id", F.array_distinct(tokens(F.col("text"))).alias("a"))
     d = t.documents.select("doc_id", F.array_distinct(tokens(F.col("text"))).alias("b"))
-    pairs = d.join(F.broadcast(q)).select("query_id", "doc_id", jaccard(F.col("a"), F.col("b")).alias("s")).where("s > 0.1")
+    pairs = R.against_all(d, q, F.lit(True)).select("query_id", "doc_id", jaccard(F.col("a"), F.col("b")).alias("s")).where("s > 0.1")
     return R.top_k(pairs.select("query_id", "doc_id", F.round("s", 6).alias("score")), "query_id", "score", "doc_id", 5)
 
 
 @query("quantized_search", f"""
 with c as (select vec_id, embedding, list_transform(embedding, lambda v: case when v >= 0 then 1 else 0 end) as bits from embeddings),
 h as (select a.vec_id as query_id, b.vec_id, list_sum(list_transform(list_zip(a.bits, b.bits), lambda z: case when z[1] <> z[2] then 1 else 0 end)) as d,
-      round({COSINE}, 6) as score from c a, c b where a.vec_id < 20 and a.vec_id <> b.vec_id),
+      round({COSINE}, 6) as score from c a, c b where a.vec_id % 20 = 0 and a.vec_id <> b.vec_id),
 f as (select *, row_number() over (partition by query_id order by d, vec_id) as rn from h),
 r as (select query_id, vec_id, score, row_number() over (partition by query_id order by score desc, vec_id) as rank from f where rn <= 40)
 select * from r where rank <= 10""")
 def quantized_search(t):
     v = t.embeddings.select("vec_id", "embedding", R.quantized(F.col("embedding")).alias("code"))
-    q = v.where(F.col("vec_id") < VECTORS).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("code").alias("qcode"))
-    near = v.join(F.broadcast(q), F.col("query_id") != F.col("vec_id")).withColumn("d", R.hamming(F.col("code"), F.col("qcode")))
+    q = v.where(VECTORS).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("code").alias("qcode"))
+    near = R.against_all(v, q, F.col("query_id") != F.col("vec_id")).withColumn("d", R.hamming(F.col("code"), F.col("qcode")))
     first = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "vec_id"))
     near = near.withColumn("rn", first).where("rn <= 40")
     scored = near.select("query_id", "vec_id", F.round(R.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
@@ -169,7 +170,7 @@ def mmr_diversify(t):
 
 
 @query("retrieval_metrics", f"""with {DENSE_SQL},
-q as (select a.vec_id as query_id, b.vec_id as doc_id, 1 as rel from embeddings a join embeddings b on a.label = b.label where a.vec_id < 20 and a.vec_id <> b.vec_id),
+q as (select a.vec_id as query_id, b.vec_id as doc_id, 1 as rel from embeddings a join embeddings b on a.label = b.label where a.vec_id % 20 = 0 and a.vec_id <> b.vec_id),
 h as (select d.query_id, d.vec_id as doc_id, rank, coalesce(rel, 0) as rel from dense d left join q on d.query_id = q.query_id and d.vec_id = q.doc_id),
 f as (select *, sum(case when rel > 0 then 1 else 0 end) over (partition by query_id order by rank) as found, row_number() over (partition by query_id order by rel desc, rank) as ir from h),
 g as (select query_id, sum(case when rank <= 10 and rel > 0 then 1 else 0 end) as hits, sum(case when rank <= 10 then 1 else 0 end) as retrieved, min(case when rel > 0 then rank end) as first,
@@ -179,7 +180,7 @@ select query_id, round(coalesce(hits / relevant, 0), 6)::double as recall, round
  round(coalesce(ap / relevant, 0), 6)::double as average_precision, round(coalesce(dcg / nullif(ideal, 0), 0), 6)::double as ndcg, round(coalesce(dcg / nullif(own, 0), 0), 6)::double as ndcg_retrieved
 from i left join g using (query_id)""")
 def retrieval_metrics(t):
-    q = t.embeddings.where(F.col("vec_id") < VECTORS).select(F.col("vec_id").alias("query_id"), "label")
+    q = t.embeddings.where(VECTORS).select(F.col("vec_id").alias("query_id"), "label")
     qrels = q.join(t.embeddings.select(F.col("vec_id").alias("doc_id"), "label"), "label").where("query_id <> doc_id").select("query_id", "doc_id", F.lit(1).alias("rel"))
     return R.retrieval_metrics(dense(t).withColumnRenamed("vec_id", "doc_id"), qrels)
 
@@ -213,24 +214,23 @@ def policy_rerank(t):
 
 
 @query("similarity_edges", f"""
-with p as (select a.vec_id as src, b.vec_id as dst, round({COSINE}, 6) as sim from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id),
+with p as (select a.vec_id as src, b.vec_id as dst, round({COSINE}, 6) as sim from embeddings a join embeddings b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id),
 r as (select *, row_number() over (partition by src order by sim desc, dst) as rn from p)
 select src, dst, sim, case when sim >= 0.8 then 'SIMILAR' else 'RELATED' end as kind from r where rn <= 3 and sim >= 0.2""")
 def similarity_edges(t):
-    """Blocked by label, so that no pair outside a block is compared."""
-    a = t.embeddings.select(F.col("vec_id").alias("src"), F.col("embedding").alias("x"), "label")
-    b = t.embeddings.select(F.col("vec_id").alias("dst"), F.col("embedding").alias("y"), "label")
-    p = a.join(b, "label").where("src <> dst").select("src", "dst", F.round(R.cosine(F.col("x"), F.col("y")), 6).alias("sim"))
-    rn = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("sim"), "dst"))
-    return p.withColumn("rn", rn).where("rn <= 3 and sim >= 0.2").select("src", "dst", "sim", F.when(F.col("sim") >= 0.8, "SIMILAR").otherwise("RELATED").alias("kind"))
+    """Edges from every node of the query set to its nearest of all nodes."""
+    p = R.nearest(vectors(t), vector_queries(t), 3).where("score >= 0.2")
+    return p.select(F.col("query_id").alias("src"), F.col("vec_id").alias("dst"), F.col("score").alias("sim"), F.when(F.col("score") >= 0.8, "SIMILAR").otherwise("RELATED").alias("kind"))
 
 
 @query("embedding_quality", f"""
-with p as (select {COSINE} as sim from embeddings a, embeddings b where a.vec_id < 20 and b.vec_id < 20 and a.vec_id <> b.vec_id)
-select round(sum(round(sim, 6)) / 400, 5) as mean_sim, round(greatest(max(sim), 0), 6) as max_sim, round(least(min(sim), 0), 6) as min_sim from p""")
+with u as (select list_transform(embedding::double[], lambda v: v / sqrt(list_dot_product(embedding::double[], embedding::double[]))) as x from embeddings),
+s as (select i, sum(x[i]) as s from u, range(1, 65) r(i) group by 1), n as (select count(*) as n from u),
+p as (select {COSINE} as sim from embeddings a, embeddings b where a.vec_id % 20 = 0 and a.vec_id <> b.vec_id)
+select round((select (sum(s * s) - any_value(n)) / (any_value(n) * any_value(n)) from s, n), 6) as mean_sim, round(greatest(max(sim), 0), 6) as max_sim, round(least(min(sim), 0), 6) as min_sim from p""")
 def embedding_quality(t):
-    """All ordered pairs of a stated set of vectors; the diagonal counts as 0."""
-    q = vector_queries(t)
-    p = R.nearest(vectors(t).where(F.col("vec_id") < VECTORS), q, VECTORS, R.cosine(F.col("embedding"), F.col("q")))
-    n = q.count()
-    return p.agg(F.round(F.sum("score") / (n * n), 5).alias("mean_sim"), F.round(F.greatest(F.max("score"), F.lit(0.0)), 6).alias("max_sim"), F.round(F.least(F.min("score"), F.lit(0.0)), 6).alias("min_sim"))
+    """Mean cosine over all ordered pairs of the table (the diagonal counts as 0), from the sum of unit vectors; extremes of the query set against all."""
+    mean = R.mean_cosine(vectors(t), "embedding")
+    p = R.against_all(vectors(t), vector_queries(t), F.col("query_id") != F.col("vec_id")).select(R.cosine(F.col("embedding"), F.col("q")).alias("s"))
+    ends = p.agg(F.round(F.greatest(F.max("s"), F.lit(0.0)), 6).alias("max_sim"), F.round(F.least(F.min("s"), F.lit(0.0)), 6).alias("min_sim"))
+    return mean.select(F.round("mean", 6).alias("mean_sim")).join(F.broadcast(ends))  # one row each

@@ -9,30 +9,30 @@ from lumenquarry.plans.base import query
 def geo_facts(t):
     s = lambda c: F.col(c).cast("string")
     a = t.nation.select(F.lit("in_region").alias("predicate"), F.array(s("n_nationkey"), s("n_regionkey")).alias("args"))
-    b = t.customer.where("c_custkey <= 300").select(F.lit("lives"), F.array(s("c_custkey"), s("c_nationkey")))
-    c = t.orders.where("o_custkey <= 300").select(F.lit("ordered"), F.array(s("o_custkey"), s("o_orderkey")))
+    b = t.customer.select(F.lit("lives"), F.array(s("c_custkey"), s("c_nationkey")))
+    c = t.orders.select(F.lit("ordered"), F.array(s("o_custkey"), s("o_orderkey")))
     return a.unionAll(b).unionAll(c)
 
 
 @query("rules_join", """
-select c_custkey::varchar as c, n_regionkey::varchar as r from customer join nation on c_nationkey = n_nationkey where c_custkey <= 300""")
+select c_custkey::varchar as c, n_regionkey::varchar as r from customer join nation on c_nationkey = n_nationkey""")
 def rules_join(t):
     rules = [L.Rule.parse("resident(C, R) :- lives(C, N), in_region(N, R)")]
     return L.prove(geo_facts(t), rules, L.Atom.parse("resident(X, Y)")).select(F.col("X").alias("c"), F.col("Y").alias("r"))
 
 
 @query("rules_constant", """
-select distinct c_custkey::varchar as c from customer join nation on c_nationkey = n_nationkey join orders on o_custkey = c_custkey where c_custkey <= 300 and n_regionkey = 2""")
+select distinct c_custkey::varchar as c from customer join nation on c_nationkey = n_nationkey join orders on o_custkey = c_custkey where n_regionkey = 2""")
 def rules_constant(t):
     rules = [L.Rule.parse("resident(C, R) :- lives(C, N), in_region(N, R)"), L.Rule.parse("buyer(C) :- resident(C, 2), ordered(C, O)")]
     return L.prove(geo_facts(t), rules, L.Atom.parse("buyer(X)")).select(F.col("X").alias("c"))
 
 
 @query("rules_fixpoint", """
-with recursive e as (select distinct l_orderkey % 60 as a, l_partkey % 60 as b from lineitem where l_linenumber = 1 and l_orderkey % 40 = 3), p as (select a, b from e union select p.a, e.b from p join e on p.b = e.a)
+with recursive e as (select o_orderkey as a, o_orderkey // 8 as b from orders where o_orderkey > 7), p as (select a, b from e union select p.a, e.b from p join e on p.b = e.a)
 select a::varchar as a, b::varchar as b from p""")
 def rules_fixpoint(t):
-    rows = t.lineitem.where("l_linenumber = 1 and l_orderkey % 40 = 3").select((F.col("l_orderkey") % 60).cast("string").alias("a"), (F.col("l_partkey") % 60).cast("string").alias("b"))
+    rows = t.orders.where("o_orderkey > 7").select(F.col("o_orderkey").cast("string").alias("a"), F.floor(F.col("o_orderkey") / 8).cast("string").alias("b"))
     facts = rows.select(F.lit("edge").alias("predicate"), F.array("a", "b").alias("args"))
     rules = [L.Rule.parse("path(X, Y) :- edge(X, Y)"), L.Rule.parse("path(X, Z) :- path(X, Y), edge(Y, Z)")]
     return L.forward_chain(facts, rules).where("predicate = 'path'").select(F.get("args", 0).alias("a"), F.get("args", 1).alias("b"))
@@ -41,15 +41,15 @@ def rules_fixpoint(t):
 @query("rules_goal_bound", """
 with recursive r as (select 500::bigint as id union select id // 2 from r where id > 1) select id::varchar as ancestor from r where id < 500""")
 def rules_goal_bound(t):
-    rows = t.orders.where("o_orderkey between 2 and 500").select(F.lit("parent").alias("predicate"), F.array(F.col("o_orderkey").cast("string"), F.floor(F.col("o_orderkey") / 2).cast("string")).alias("args"))
+    rows = t.orders.where("o_orderkey > 1").select(F.lit("parent").alias("predicate"), F.array(F.col("o_orderkey").cast("string"), F.floor(F.col("o_orderkey") / 2).cast("string")).alias("args"))
     rules = [L.Rule.parse("anc(500, Y) :- parent(500, Y)"), L.Rule.parse("anc(500, Z) :- anc(500, Y), parent(Y, Z)")]
     return L.prove(rows, rules, L.Atom.parse("anc(500, A)")).select(F.col("A").alias("ancestor"))
 
 
 @query("rules_contradictions", """
-with f as (select distinct c_mktsegment as k, c_nationkey::varchar as v from customer where c_custkey <= 100) select 'home' as predicate, x.k || ',' || x.v as a, x.k || ',' || y.v as b from f x join f y on x.k = y.k and x.v < y.v""")
+with f as (select distinct c_mktsegment as k, c_nationkey::varchar as v from customer) select 'home' as predicate, x.k || ',' || x.v as a, x.k || ',' || y.v as b from f x join f y on x.k = y.k and x.v < y.v""")
 def rules_contradictions(t):
-    facts = t.customer.where("c_custkey <= 100").select(F.lit("home").alias("predicate"), F.array("c_mktsegment", F.col("c_nationkey").cast("string")).alias("args"))
+    facts = t.customer.select(F.lit("home").alias("predicate"), F.array("c_mktsegment", F.col("c_nationkey").cast("string")).alias("args"))
     return L.contradictions(facts, ["home"])
 
 
@@ -68,11 +68,11 @@ def intervals(t):
     return t.orders.join(ship, "o_orderkey").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("s"), "e")
 
 
-@query("interval_relations", f"""with {INTERVALS}, p as (select a.o_orderkey as a, b.o_orderkey as b, a.s as s1, a.e as e1, b.s as s2, b.e as e2 from i a join i b on a.o_custkey = b.o_custkey and a.o_orderkey < b.o_orderkey where a.o_custkey <= 200)
+@query("interval_relations", f"""with {INTERVALS}, p as (select a.o_orderkey as a, b.o_orderkey as b, a.s as s1, a.e as e1, b.s as s2, b.e as e2 from i a join i b on a.o_custkey = b.o_custkey and a.o_orderkey < b.o_orderkey)
 select a, b, case when s1=s2 and e1=e2 then 'equals' when e1=s2 then 'meets' when e2=s1 then 'met_by' when e1<s2 then 'before' when e2<s1 then 'after' when s1=s2 then case when e1<e2 then 'starts' else 'started_by' end
  when e1=e2 then case when s1>s2 then 'finishes' else 'finished_by' end when s1>s2 and e1<e2 then 'during' when s1<s2 and e1>e2 then 'contains' when s1<s2 then 'overlaps' else 'overlapped_by' end as relation from p""")
 def interval_relations(t):
-    i = intervals(t).where("o_custkey <= 200")
+    i = intervals(t)
     a, b = (i.select(F.col("o_orderkey").alias(k), "o_custkey", F.col("s").alias(f"s_{k}"), F.col("e").alias(f"e_{k}")) for k in "ab")
     return a.join(b, "o_custkey").where("a < b").select("a", "b", L.allen(F.col("s_a"), F.col("e_a"), F.col("s_b"), F.col("e_b")).alias("relation"))
 
@@ -82,9 +82,9 @@ def interval_valid_at(t):
     return L.valid_at(intervals(t), F.lit("1995-03-15").cast("date"), "s", "e").select("o_orderkey")
 
 
-@query("interval_timeline", f"with {INTERVALS} select o_orderkey, 'start' as event, s as at from i where o_custkey <= 100 union all select o_orderkey, 'end', e from i where o_custkey <= 100".replace(" as at ", ' as "at" '))
+@query("interval_timeline", f"with {INTERVALS} select o_orderkey, 'start' as event, s as at from i union all select o_orderkey, 'end', e from i".replace(" as at ", ' as "at" '))
 def interval_timeline(t):
-    return L.timeline(intervals(t).where("o_custkey <= 100"), "o_orderkey", "s", "e")
+    return L.timeline(intervals(t), "o_orderkey", "s", "e")
 
 
 @query("contradiction_resolution", """
@@ -98,11 +98,11 @@ def contradiction_resolution(t):
 
 
 @query("rule_probability", """
-with d as (select l_suppkey as atom, avg(1 - l_discount) as direct from lineitem where l_linenumber = 1 group by 1), r as (select l_suppkey as atom, l_returnflag as rule, product(l_discount + 0.5) as p from lineitem where l_linenumber = 7 and l_quantity > 45 group by 1, 2),
+with d as (select l_suppkey as atom, avg(1 - l_discount) as direct from lineitem where l_quantity < 26 group by 1), r as (select l_suppkey as atom, l_returnflag as rule, product(l_discount / 100 + 0.99) as p from lineitem where l_quantity >= 26 group by 1, 2),
 n as (select atom, 1 - product(1 - p) as by_rules from r group by 1) select atom, round(coalesce(direct, by_rules, 0.5), 6) as p from d full outer join n using (atom)""")
 def rule_probability(t):
-    facts = t.lineitem.where("l_linenumber = 1").select(F.col("l_suppkey").alias("atom"), (1 - F.col("l_discount")).alias("p"))
-    hits = t.lineitem.where("l_linenumber = 7 and l_quantity > 45").select(F.col("l_suppkey").alias("atom"), F.col("l_returnflag").alias("rule"), (F.col("l_discount") + 0.5).alias("p"))
+    facts = t.lineitem.where("l_quantity < 26").select(F.col("l_suppkey").alias("atom"), (1 - F.col("l_discount")).alias("p"))
+    hits = t.lineitem.where("l_quantity >= 26").select(F.col("l_suppkey").alias("atom"), F.col("l_returnflag").alias("rule"), (F.col("l_discount") / 100 + 0.99).alias("p"))
     return L.probability(facts, hits).select("atom", F.round("p", 6).alias("p"))
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumenquarry.operators.ordering import positions
 from lumenquarry.functions import hashing as H
 from lumenquarry.plans.base import query
 
@@ -53,9 +54,9 @@ def view_recent_jobs(t):
 
 @query("view_job_progress", """
 select o_orderkey, count(l_linenumber) as total, count(*) filter (where l_linestatus='F') as done, case when count(l_linenumber)=0 then 0 else round(100.0 * count(*) filter (where l_linestatus='F') / count(l_linenumber), 2) end::double as progress
-from orders left join lineitem on l_orderkey = o_orderkey where o_orderkey <= 2000 group by 1""")
+from orders left join lineitem on l_orderkey = o_orderkey group by 1""")
 def view_job_progress(t):
-    x = t.orders.where("o_orderkey <= 2000").join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    x = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     done, total = F.count_if(F.col("l_linestatus") == "F"), F.count("l_linenumber")
     return x.groupBy("o_orderkey").agg(total.alias("total"), done.alias("done"), F.coalesce(F.round(100.0 * F.try_divide(done, total), 2), F.lit(0.0)).alias("progress"))
 
@@ -131,10 +132,10 @@ def cdc_apply(t):
     return latest(t.events, ["user_id"], ["ts", "event_id"], F.col("event_type") == "error").select("user_id", "event_id", "event_type")
 
 
-@query("fair_share_order", "select o_orderkey, row_number() over (order by r, o_custkey, o_orderkey) as position from (select *, row_number() over (partition by o_custkey order by o_orderkey) as r from orders where o_custkey <= 50)")
+@query("fair_share_order", "select o_orderkey, row_number() over (order by r, o_custkey, o_orderkey) as position from (select *, row_number() over (partition by o_custkey order by o_orderkey) as r from orders)")
 def fair_share_order(t):
     r = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    return t.orders.where("o_custkey <= 50").withColumn("r", r).select("o_orderkey", F.row_number().over(Window.orderBy("r", "o_custkey", "o_orderkey")).cast("long").alias("position"))
+    return positions(t.orders.withColumn("r", r), ["r", "o_custkey", "o_orderkey"], "position").select("o_orderkey", "position")
 
 
 @query("priority_order", "select o_orderkey, row_number() over (partition by o_orderstatus order by o_orderpriority, o_orderdate, o_orderkey) as position from orders")
@@ -174,29 +175,29 @@ def authority_score(t):
 
 
 @query("temporal_conflicts", """
-with p as (select a.o_orderkey as a, b.o_orderkey as b, a.o_orderdate as x, b.o_orderdate as y from orders a join orders b on a.o_custkey = b.o_custkey and a.o_orderkey < b.o_orderkey where a.o_custkey <= 100)
+with p as (select a.o_orderkey as a, b.o_orderkey as b, a.o_orderdate as x, b.o_orderdate as y from orders a join orders b on a.o_custkey = b.o_custkey and a.o_orderkey < b.o_orderkey)
 select a, b, case when x > y then a when y > x then b end as winner from p""")
 def temporal_conflicts(t):
-    o = t.orders.where("o_custkey <= 100")
+    o = t.orders
     a, b = (o.select("o_custkey", F.col("o_orderkey").alias(k), F.col("o_orderdate").alias(f"d_{k}")) for k in "ab")
     return a.join(b, "o_custkey").where("a < b").select("a", "b", F.when(F.col("d_a") > F.col("d_b"), F.col("a")).when(F.col("d_b") > F.col("d_a"), F.col("b")).alias("winner"))
 
 
 @query("supersession_chain", """
-with recursive r as (select o_orderkey as start, o_orderkey as id, 0 as depth from orders where o_orderkey between 100 and 120 union all select start, id // 2, depth + 1 from r where id > 1)
+with recursive r as (select o_orderkey as start, o_orderkey as id, 0 as depth from orders where o_orderkey % 20 = 0 and o_orderkey > 1 union all select start, id // 2, depth + 1 from r where id > 1)
 select start, max(depth)::int as depth, arg_max(id, depth) as last from r group by 1""")
 def supersession_chain(t):
     from lumenquarry.operators.graph import paths
 
-    e = t.orders.where("o_orderkey between 2 and 120").select(F.col("o_orderkey").alias("src"), F.floor(F.col("o_orderkey") / 2).alias("dst"))
-    p = paths(e, t.orders.where("o_orderkey between 100 and 120").select(F.col("o_orderkey").alias("id")), 10)
+    e = t.orders.where("o_orderkey > 1").select(F.col("o_orderkey").alias("src"), F.floor(F.col("o_orderkey") / 2).alias("dst"))
+    p = paths(e, t.orders.where("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("id")), 64)
     return p.groupBy(F.get("path", 0).alias("start")).agg(F.max("hops").alias("depth"), F.max_by(F.element_at("path", -1), "hops").alias("last"))
 
 
 @query("audit_trail", """
-select o_orderkey, c_name, n_name, count(l_linenumber) as lines from orders left join customer on c_custkey = o_custkey left join nation on n_nationkey = c_nationkey left join lineitem on l_orderkey = o_orderkey where o_orderkey <= 1000 group by 1, 2, 3""")
+select o_orderkey, c_name, n_name, count(l_linenumber) as lines from orders left join customer on c_custkey = o_custkey left join nation on n_nationkey = c_nationkey left join lineitem on l_orderkey = o_orderkey group by 1, 2, 3""")
 def audit_trail(t):
-    x = t.orders.where("o_orderkey <= 1000").join(t.customer, F.col("c_custkey") == F.col("o_custkey"), "left").join(t.nation, F.col("n_nationkey") == F.col("c_nationkey"), "left").join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    x = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey"), "left").join(t.nation, F.col("n_nationkey") == F.col("c_nationkey"), "left").join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     return x.groupBy("o_orderkey", "c_name", "n_name").agg(F.count("l_linenumber").alias("lines"))
 
 
