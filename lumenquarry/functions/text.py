@@ -9,16 +9,16 @@ from pyspark.sql import functions as F
 REDACTIONS = [
     (r"\b\d{10}\b", "[NATIONAL_ID]"),
     (r"\b09\d{9}\b", "[MOBILE]"),
-    (r"\b0\d{2,3}-?\d{7,8}\b", "[PHONE]"),
-    (r"\b\d{4}/\d{1,2}/\d{1,2}\b", "[DATE]"),
-    (r"\b\d{4}-\d{1,2}-\d{1,2}\b", "[DATE]"),
+    (r"\b0\d{2,3}\d{7,8}\b", "[PHONE]"),
+    (r"\b\d{4}-\d{2}-\d{2}\b", "[DATE]"),
+    (r"\b\d{4}/\d{2}/\d{2}\b", "[DATE]"),
     (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", "[EMAIL]"),
     (r"\b\d{10}\b", "[POSTAL_CODE]"),
     (r"\b\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}\b", "[CARD_NUMBER]"),
     (r"\bIR\d{24}\b", "[IBAN]"),
 ]
 # Patterns whose matches are unwanted, in order.
-UNWANTED = [r"https?://\S+", r"www\.\S+", r"@\w+", r"#\w+", r"\S+@\S+", r"<[^>]+>"]
+UNWANTED = [r"https?://\S+", r"www\.\S+", r"@\w+", r"#\w+", r"\S+@\S+", r"<[^>]+>", r"(.)\1{3,}"]
 # Patterns and labels of the hashing scrubber.
 SCRUBS = [
     ("EMAIL", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"),
@@ -29,6 +29,25 @@ SCRUBS = [
 ]
 
 
+# Patterns that would try every start of a long run again, and forms with the same matches that don't: an address
+# takes a whole token, so it starts where the token does; a redacted one starts at the first word character of its run
+# (after at most 64 marks) or where the match before it ended.
+_LINEAR = {
+    r"\S+@\S+": r"(?<!\S)\S[^\s@]*+@\S++",
+    r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b": r"(?:\G|(?<=(?:^|[^A-Za-z0-9._%+-])[.%+-]{0,64}))\b[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b",
+}
+
+
+def _without(text: Column, pattern: str, label: str = "") -> Column:
+    """Every match of the pattern replaced by the label; texts that can't match are left alone."""
+    if pattern == r"<[^>]+>":  # no tag begins after the last ">", so that no start scans to the end in vain
+        tail = F.substring_index(text, ">", -1)
+        head = F.substring(text, F.lit(1), F.length(text) - F.length(tail))
+        return F.when(F.contains(text, F.lit(">")), F.concat(F.regexp_replace(head, pattern, label), tail)).otherwise(text)
+    done = F.regexp_replace(text, _LINEAR.get(pattern, pattern), label)
+    return F.when(F.contains(text, F.lit("@")), done).otherwise(text) if "@" in pattern else done
+
+
 def collapse_spaces(text: Column) -> Column:
     """Runs of white space as one space, ends trimmed."""
     return F.trim(F.regexp_replace(text, r"\s+", " "))
@@ -46,8 +65,8 @@ def clean(text: Column, urls: bool = True, emails: bool = True, specials: bool =
     if urls:
         out = F.regexp_replace(F.regexp_replace(out, r"https?://\S+", ""), r"www\.\S+", "")
     if emails:
-        out = F.regexp_replace(out, r"\S+@\S+", "")
-    out = F.regexp_replace(out, r"<[^>]+>", "")
+        out = _without(out, r"\S+@\S+")
+    out = _without(out, r"<[^>]+>")
     out = F.regexp_replace(out, r"(.)\1{3,}", "$1$1")
     out = F.regexp_replace(out, r"[\x00-\x1F\x7F-\u009F]", "")
     if specials:
@@ -55,20 +74,22 @@ def clean(text: Column, urls: bool = True, emails: bool = True, specials: bool =
     return collapse_spaces(out)
 
 
-def without_unwanted(text: Column, runs: bool = True) -> Column:
-    """Text without urls, mentions, hashtags, addresses, tags and, with `runs`, runs of one character over three."""
+def without_unwanted(text: Column) -> Column:
+    """Text without urls, mentions, hashtags, addresses, tags and runs of one character over three."""
     for pattern in UNWANTED:
-        text = F.regexp_replace(text, pattern, "")
-    if runs:
-        text = F.regexp_replace(text, r"(.)\1{3,}", "")
+        text = _without(text, pattern)
     return collapse_spaces(text)
 
 
 def redact(text: Column) -> Column:
-    """The ordered redactions, each over what the one before it left."""
+    """The ordered redactions, each over what the one before it left.
+
+    All kinds but addresses need four digits in a row, so other texts skip them.
+    """
+    out = text
     for pattern, label in REDACTIONS:
-        text = F.regexp_replace(text, pattern, label)
-    return text
+        out = _without(out, pattern, label)
+    return F.when(text.rlike(r"\d{4}"), out).otherwise(_without(text, REDACTIONS[5][0], REDACTIONS[5][1]))
 
 
 def scrubbed_values(text: Column) -> Column:
@@ -77,7 +98,7 @@ def scrubbed_values(text: Column) -> Column:
 
     def of(kind: str, pattern: str) -> Column:
         label = lambda v: F.concat(F.lit(f"[{kind}_"), F.substring(F.sha2(v, 256), 1, 8), F.lit("]"))
-        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        found = F.regexp_extract_all(text, F.lit(_LINEAR.get(pattern, pattern)), F.lit(0))
         return F.transform(found, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), label(v).alias("label")))
 
     return F.concat(*[of(kind, pattern) for kind, pattern in SCRUBS])
@@ -96,7 +117,7 @@ def is_safe(text: Column) -> Column:
     """True where no scrubbing pattern matches."""
     out = F.lit(True)
     for _, pattern in SCRUBS:
-        out = out & ~text.rlike(pattern)
+        out = out & ~text.rlike(_LINEAR.get(pattern, pattern))
     return out
 
 

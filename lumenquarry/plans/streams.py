@@ -46,3 +46,12 @@ def stream_profiles(t):
 @query("stream_dedup", "select count(distinct event_id) as n from events")
 def stream_dedup(t):
     return _run(t, lambda e: S.deduplicated(e, "event_id", "60 days").select("event_id"), "append").agg(F.count("*").alias("n"))
+
+
+@query("stream_sessions", """
+with o as (select *, lag(ts) over (partition by user_id order by ts) as before from events), s as (select *, sum(case when before is null or ts > before + interval 6 hours then 1 else 0 end) over (partition by user_id order by ts rows unbounded preceding) as k from o)
+select min(ts) as start, max(ts) + interval 6 hours as "end", user_id, count(*) as n, round(sum(value), 4) as total, round(max(value), 6) as top from s group by user_id, k""")
+def stream_sessions(t):
+    df = _run(t, lambda e: S.sessions(e, "6 hours", "60 days", "user_id", "value"), "complete")
+    ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return df.select(ntz("start"), ntz("end"), "user_id", "n", F.round("total", 4).alias("total"), F.round("top", 6).alias("top"))

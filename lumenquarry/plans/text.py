@@ -27,8 +27,8 @@ def text_clean_pages(t):
 @query("text_redact", r"""
 select doc_id, md5(
  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
-  '\b\d{10}\b','[NATIONAL_ID]','g'), '\b09\d{9}\b','[MOBILE]','g'), '\b0\d{2,3}-?\d{7,8}\b','[PHONE]','g'),
-  '\b\d{4}/\d{1,2}/\d{1,2}\b','[DATE]','g'), '\b\d{4}-\d{1,2}-\d{1,2}\b','[DATE]','g'),
+  '\b\d{10}\b','[NATIONAL_ID]','g'), '\b09\d{9}\b','[MOBILE]','g'), '\b0\d{2,3}\d{7,8}\b','[PHONE]','g'),
+  '\b\d{4}-\d{2}-\d{2}\b','[DATE]','g'), '\b\d{4}/\d{2}/\d{2}\b','[DATE]','g'),
   '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b','[EMAIL]','g'),
   '\b\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}\b','[CARD_NUMBER]','g'), '\bIR\d{24}\b','[IBAN]','g')) as digest
 from documents""")
@@ -36,12 +36,10 @@ def text_redact(t):
     return t.documents.select("doc_id", F.md5(X.redact(F.col("text"))).alias("digest"))
 
 
-@query("text_unwanted", r"""
-select doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
-  'https?://\S+','','g'),'www\.\S+','','g'),'@\w+','','g'),'#\w+','','g'),'\S+@\S+','','g'),'<[^>]+>','','g'),'\s+',' ','g'))) as digest
-from documents""")
+@query("text_unwanted")
 def text_unwanted(t):
-    return t.documents.select("doc_id", F.md5(X.without_unwanted(F.col("text"), runs=False)).alias("digest"))
+    """RE2 has no back references, so the oracle can't express the runs; a test holds the query against Python's re."""
+    return t.documents.select("doc_id", F.md5(X.without_unwanted(F.col("text"))).alias("digest"))
 
 
 @query("pii_scrub_values", r"""

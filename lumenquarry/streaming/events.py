@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 
 
 def event_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
-    """Parquet files of a folder as a stream; `ts` becomes a timestamp with zone, which watermarks need."""
+    """Parquet files of a folder as a stream; `ts` becomes a timestamp with zone, which watermarks need.
+
+    Files come in order of their modification times, `files_per_trigger` a batch. Each batch moves the watermark, so
+    rows that a later file brings from before it are dropped by the windows: a replay of old files needs a wide
+    watermark, more files a batch, or files written in order of time.
+    """
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 

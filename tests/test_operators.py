@@ -3,6 +3,8 @@
 import hashlib
 import json
 import random
+import re
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -60,13 +62,31 @@ def test_change_stream(spark, tmp_path):
 
 def test_session_stream(spark, tmp_path):
     rows = [(1, "u", f"2024-01-01 00:{m:02d}:00", 1.0) for m in (0, 5, 30, 33)] + [(2, "w", "2024-01-03 00:00:00", 2.0)]
-    e = spark.createDataFrame(rows, "event_id long, user string, t string, value double").select("event_id", "user", F.col("t").cast("timestamp_ntz").alias("ts"), "value")
+    event = lambda rows: spark.createDataFrame(rows, "event_id long, user string, t string, value double").select("event_id", "user", F.col("t").cast("timestamp_ntz").alias("ts"), "value").coalesce(1)
+    e = event(rows)
     e.write.parquet(str(tmp_path / "in"))
     stream = S.event_stream(spark, str(tmp_path / "in"), e.schema)
     got = S.collected(S.sessions(stream, "10 minutes", "1 hour", "user", "value"), "sess", "append", str(tmp_path / "c"))
     assert sorted((r.user, r.n) for r in got.collect()) == [("u", 2), ("u", 2)]  # the last session is still open
 
 
+def test_late_rows_are_dropped(spark, tmp_path):
+    """A file that comes after the watermark has passed its rows adds nothing; within the watermark it does."""
+    import os
+
+    schema = "event_id long, user string, ts timestamp_ntz, value double"
+    days = [("2024-01-01 00:00:00", 1), ("2024-01-03 00:00:00", 2), ("2024-01-03 00:10:00", 3), ("2024-01-01 00:01:00", 4), ("2024-01-02 23:30:00", 5), ("2024-01-09 00:00:00", 6)]
+    for i, (ts, n) in enumerate(days):
+        spark.createDataFrame([(n, "u", ts, 1.0)], "event_id long, user string, t string, value double").selectExpr("event_id", "user", "cast(t as timestamp_ntz) as ts", "value").coalesce(1).write.parquet(str(tmp_path / f"w{i}"))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        part = next((tmp_path / f"w{i}").glob("part-*"))
+        os.utime(part, (1_700_000_000 + i, 1_700_000_000 + i))
+        part.rename(tmp_path / "in" / f"{i}.parquet")
+    stream = S.event_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema)
+    got = S.collected(S.tumbling(stream, "1 day", "1 hour", "user", "value"), "late", "append", str(tmp_path / "c"))
+    assert sorted((str(r.start.date()), r.n) for r in got.collect()) == [("2024-01-01", 1), ("2024-01-02", 1), ("2024-01-03", 2)]
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 6)), min_size=1, max_size=12))
 def test_fixpoint_equals_naive(spark, pairs):
@@ -140,6 +160,28 @@ def test_text_functions(spark):
     df = spark.createDataFrame([("see http://a.b/c aaaaaa <b>x</b> me@x.org  end",)], "t string")
     row = df.select(text.clean(F.col("t")).alias("c"), text.without_unwanted(F.col("t")).alias("u"), text.scrub(F.col("t")).alias("s"), text.truncated(F.col("t"), 10).alias("k")).first()
     assert row.c == "see aa x end" and row.u == "see x me.org end" and "me@x.org" not in row.s and row.k == "see htt..."
+    rng = random.Random(4)
+    made = ["".join(rng.choice("aB1.@%-_ <>#/x\n") for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    made += ["a@b.co.x@y.org", ".a@b.co", "..%x@y.zz|", "@@a a@ @a@b a@b@", "<<a>>b<c", "1234567890 09123456789 2024-01-02 2024/01/02 2024/1/2 021-1234567 02112345678", "IR" + "1" * 24, "1234 5678-9012 3456"]
+
+    def python_redact(t):
+        for pattern, label in text.REDACTIONS:
+            t = re.sub(pattern, label, t, flags=re.ASCII)
+        return t
+
+    def python_unwanted(t):
+        for pattern in text.UNWANTED:
+            t = re.sub(pattern, "", t, flags=re.ASCII)
+        return re.sub(r"\s+", " ", t, flags=re.ASCII).strip(" ")
+
+    rows = spark.createDataFrame([(t,) for t in made], "t string").select("t", text.redact(F.col("t")).alias("r"), text.without_unwanted(F.col("t")).alias("u")).collect()
+    for r in rows:
+        assert (r.r, r.u) == (python_redact(r.t), python_unwanted(r.t)), r.t
+    long = spark.createDataFrame([(x * 200_000,) for x in ("a", "a.", "<", "<a", "1")] + [("a" * 200_000 + " x@y.org",), ("a." * 100_000 + " x@y.org",)], "t string").cache()
+    long.count()
+    began = time.perf_counter()
+    long.select(*[F.length(f(F.col("t"))) for f in (text.redact, text.without_unwanted, text.clean, text.scrub)]).collect()
+    assert time.perf_counter() - began < 20
     n = random.Random(0).randint(900, 1100)
     parts = text.chunks(spark.createDataFrame([(1, "x" * n), (2, ""), (3, "y" * 500)], "doc_id int, text string")).collect()
     assert max(r.end for r in parts if r.doc_id == 1) == n and [r.chunk for r in parts if r.doc_id == 3] == [0]
