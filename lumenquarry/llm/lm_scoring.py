@@ -21,16 +21,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenquarry.llm.common import cut, small_batches, text_of
+from lumenquarry.llm.common import cut, ship_package, text_of
 
 #: Levels for a doubling of the count.
 STEPS = 2
 #: Bits of the filter for each entry, and probes of an entry.
 BITS_PER_ENTRY, PROBES = 12, 4
 #: Bytes of text whose sequences one part of the filter takes.
-PART_BYTES = 1 << 24
+PART_BYTES = 1 << 23
 #: Tokens and documents of a chunk; a longer document is a chunk of its own.
-CHUNK_TOKENS, CHUNK_DOCS = 1 << 19, 1 << 15
+CHUNK_TOKENS, CHUNK_DOCS = 1 << 20, 1 << 15
 #: Most bytes of text whose model is broadcast. A token has two bytes or more with its space, and a sequence of count
 #: c at most 1.5 c levels, so the filter has at most 1.5 * BITS_PER_ENTRY bits a byte (36 MB).
 BROADCAST_BYTES = 1 << 24
@@ -38,7 +38,7 @@ BROADCAST_BYTES = 1 << 24
 WEIGHT = 0.7
 ADD = 0.1
 
-NAMES = ["id", "held_out", "n_tokens"]
+NAMES, PACKED = ["id", "held_out", "n_tokens"], ["one", "count", "ranks"]
 
 _END = b"\n"  # white space, so never a token
 _END_HASH = np.uint64(xxhash.xxh3_64_intdigest(_END))
@@ -108,7 +108,7 @@ class LogFrequencyFilter:
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
         """Level after level until a probe misses."""
-        level, alive, step = np.zeros(len(hashes), np.uint8), np.arange(len(hashes)), 0
+        level, alive, step = np.zeros(len(hashes), np.int64), np.arange(len(hashes)), 0
         while len(alive):
             step += 1
             hit = np.ones(len(alive), bool)
@@ -120,60 +120,79 @@ class LogFrequencyFilter:
 
 
 def _squeezed(x: np.ndarray) -> bytes:
-    """Whole numbers by byte position, without the positions that are all zero, so that they compress well."""
+    """Whole numbers, compressed: by byte position, without the positions that are all zero."""
     width = (int(x.max(initial=0)).bit_length() + 7) // 8 or 1
-    return bytes([width]) + x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    planes = x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return bytes([width]) + len(x).to_bytes(7, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
 def _spread(b: bytes) -> np.ndarray:
-    out = np.zeros(((len(b) - 1) // b[0], 8), np.uint8)
-    out[:, : b[0]] = np.frombuffer(b, np.uint8, offset=1).reshape(b[0], -1).T
+    width, n = b[0], int.from_bytes(b[1:8], "little")
+    out = np.zeros((n, 8), np.uint8)
+    planes = pa.decompress(b[8:], decompressed_size=width * n, codec="zstd", asbytes=True)
+    out[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, n).T
     return out.view("<u8").ravel()
 
 
-def _gaps(sorted_hashes: np.ndarray) -> bytes:
-    return _squeezed(np.diff(sorted_hashes, prepend=sorted_hashes[:1])) + sorted_hashes[:1].tobytes()
+def _gaps(sorted_hashes: np.ndarray, unused: int = 0) -> bytes:
+    """Sorted hashes whose lowest `unused` bits are 0, as their differences."""
+    h = sorted_hashes >> np.uint64(unused)
+    return h[:1].tobytes() + _squeezed(np.diff(h, prepend=h[:1])) if len(h) else b""
 
 
-def _hashes(b: bytes) -> np.ndarray:
-    return _spread(b[:-8]).cumsum(dtype=np.uint64) + np.frombuffer(b[-8:], np.uint64) if len(b) > 8 else np.empty(0, np.uint64)
+def _hashes(b: bytes, unused: int = 0) -> np.ndarray:
+    return (_spread(b[8:]).cumsum(dtype=np.uint64) + np.frombuffer(b[:8], np.uint64)) << np.uint64(unused) if b else np.empty(0, np.uint64)
+
+
+def unused_bits(size: int) -> int:
+    """Low bits that hashes of pairs do without: 20 more than the bits of the corpus's size in bytes are kept.
+
+    So two of its pairs meet with the same small chance (2**-20 for a pair, at most) in a corpus of any size.
+    """
+    return max(0, 64 - 20 - max(28, int(size).bit_length()))
 
 
 class Chunk:
-    """Documents in a row: the sorted distinct hashes of their tokens, and where each token is among them."""
+    """Documents in a row: the sorted distinct hashes of their tokens, and where each token is among them.
+
+    Packed, a token is its rank by frequency; the counts tell which hash has a rank.
+    """
 
-    def __init__(self, one: bytes, at: bytes, n_tokens: list[int]):
+    def __init__(self, one: bytes, count: bytes, ranks: bytes, n_tokens: list[int]):
         self.n = np.array(n_tokens, np.int64)
         self.starts = np.cumsum(self.n) - self.n
-        places = pa.decompress(at, decompressed_size=4 * int(self.n.sum()), codec="zstd", asbytes=True)
-        self.one, self.at = _hashes(one), np.frombuffer(places, np.uint32).astype(np.int64)
+        self.one = _hashes(one)
+        self.at = np.argsort(-_spread(count).astype(np.int64), kind="stable")[_spread(ranks).astype(np.int64)]
 
     @staticmethod
-    def packed(hs: list[np.ndarray]) -> tuple[bytes, bytes]:
-        one, at = np.unique(np.concatenate(hs), return_inverse=True)
-        return _gaps(one), pa.compress(at.astype(np.uint32).tobytes(), "zstd", asbytes=True)
+    def packed(hs: list[np.ndarray]) -> tuple[bytes, bytes, bytes]:
+        one, at, count = np.unique(np.concatenate(hs), return_inverse=True, return_counts=True)
+        rank = np.empty(len(one), np.int64)
+        rank[np.argsort(-count, kind="stable")] = np.arange(len(one))
+        return _gaps(one), _squeezed(count), _squeezed(rank[at])
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(self, unused: int) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct hashes of the pairs, and where each token's is among them."""
-        return np.unique(pair_hashes(self.one[self.at], self.starts), return_inverse=True)
+        h = pair_hashes(self.one[self.at], self.starts) >> np.uint64(unused) << np.uint64(unused)
+        return np.unique(h, return_inverse=True)
 
     def scored(self, total: int, kinds: int, exact: np.ndarray, one_level: np.ndarray, at_pair: np.ndarray, pair_level: np.ndarray):
         """n_known, base_score and score of each document, from what was looked up for its tokens and pairs."""
         floor = total + ADD * (kinds + 1)
         base = np.log10(exact + ADD) - np.log10(floor)
-        near = count_of(one_level.astype(np.int64))
+        near = count_of(one_level)
         context = np.empty(len(self.at), np.float64)
         context[1:] = near[self.at[:-1]]
         context[self.starts] = near[np.searchsorted(self.one, _END_HASH)]
         single = ((near + ADD) / floor)[self.at]
-        ratio = np.minimum(1.0, count_of(pair_level.astype(np.int64))[at_pair] / np.maximum(context, 1.0))
+        ratio = np.minimum(1.0, count_of(pair_level)[at_pair] / np.maximum(context, 1.0))
         p = np.where(context > 0, WEIGHT * ratio + (1 - WEIGHT) * single, single)
         of = lambda x: np.add.reduceat(x, self.starts)
         return of((exact > 0)[self.at].astype(np.int64)), of(base[self.at]), of(np.log10(p))
 
 
 def _chunks(rows: DataFrame, kind: str) -> DataFrame:
-    """Rows (chunk, docs, one, at): whole documents, about CHUNK_TOKENS tokens together."""
+    """Rows (chunk, docs, one, count, ranks): whole documents, about CHUNK_TOKENS tokens together."""
 
     def run(batches):
         held: tuple[list, list, list] = ([], [], [])
@@ -182,11 +201,11 @@ def _chunks(rows: DataFrame, kind: str) -> DataFrame:
         def flush():
             n = pa.array([len(h) for h in held[2]], pa.int64())
             docs = pa.StructArray.from_arrays([pa.concat_arrays(held[0]), pa.concat_arrays(held[1]), n], NAMES)
-            one, at = Chunk.packed(held[2])
+            packed = [pa.array([b], pa.binary()) for b in Chunk.packed(held[2])]
             for x in held:
                 x.clear()
-            arrays = [pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs), pa.array([one], pa.binary()), pa.array([at], pa.binary())]
-            return pa.RecordBatch.from_arrays(arrays, ["docs", "one", "at"])
+            listed = pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs)
+            return pa.RecordBatch.from_arrays([listed, *packed], ["docs", *PACKED])
 
         for batch in batches:
             for i, text in enumerate(batch.column(2).to_pylist()):
@@ -201,37 +220,39 @@ def _chunks(rows: DataFrame, kind: str) -> DataFrame:
         if held[2]:
             yield flush()
 
-    out = rows.mapInArrow(run, f"docs array<struct<id:{kind},held_out:boolean,n_tokens:bigint>>, one binary, at binary")
+    out = rows.mapInArrow(run, f"docs array<struct<id:{kind},held_out:boolean,n_tokens:bigint>>, one binary, count binary, ranks binary")
     return cut(out.withColumn("chunk", F.monotonically_increasing_id()))
 
 
-def _sent(chunks: DataFrame, parts: int) -> DataFrame:
+def _sent(chunks: DataFrame, parts: int, unused: int) -> DataFrame:
     """Rows (part, chunk, one, one_count, two, two_count): a chunk's distinct sequences of a part, with their training counts."""
 
     def run(batches):
         for batch in batches:
-            for chunk, n, held_out, one, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                c = Chunk(one, at, n)
+            for i in range(batch.num_rows):
+                chunk, n, held_out, *packed = (c[i].as_py() for c in batch.columns)
+                c = Chunk(*packed, n)
                 learn = np.repeat(~np.array(held_out), c.n)
-                two, at_two = c.pairs()
+                two, at_two = c.pairs(unused)
                 by_part = []
-                for h, places in ((c.one, c.at), (two, at_two)):
+                for h, places, spare in ((c.one, c.at, 0), (two, at_two, unused)):
                     count = np.bincount(places[learn], minlength=len(h))
                     begin = np.searchsorted(part_of(h, parts), np.arange(parts + 1))
-                    by_part += [[f(x[b:e]) for b, e in zip(begin, begin[1:], strict=False)] for f, x in ((_gaps, h), (_squeezed, count))]
+                    ranges = [slice(b, e) for b, e in zip(begin, begin[1:], strict=False)]
+                    by_part += [[_gaps(h[x], spare) for x in ranges], [_squeezed(count[x]) for x in ranges]]
                 arrays = [pa.array(range(parts), pa.int64()), pa.array([chunk] * parts, pa.int64()), *(pa.array(x, pa.binary()) for x in by_part)]
                 yield pa.RecordBatch.from_arrays(arrays, ["part", "chunk", "one", "one_count", "two", "two_count"])
 
-    told = chunks.select("chunk", "docs.n_tokens", "docs.held_out", "one", "at")
+    told = chunks.select("chunk", "docs.n_tokens", "docs.held_out", *PACKED)
     return told.mapInArrow(run, "part long, chunk long, one binary, one_count binary, two binary, two_count binary")
 
 
-def _summed(sent: pa.Table, h: str, c: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _summed(sent: pa.Table, h: str, c: str, unused: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct sequences, their training counts, where each sent one is among them, and how many each chunk sent."""
-    lists = [_hashes(b) for b in sent.column(h).to_pylist()]
+    lists = [_hashes(b, unused) for b in sent.column(h).to_pylist()]
     n = np.array([len(x) for x in lists])
     one, at = np.unique(np.concatenate(lists), return_inverse=True)
-    counts = np.concatenate([_spread(b)[:k] for b, k in zip(sent.column(c).to_pylist(), n, strict=True)])
+    counts = np.concatenate([_spread(b) for b in sent.column(c).to_pylist()])
     return one, np.bincount(at, counts, len(one)).astype(np.int64), at, n
 
 
@@ -239,12 +260,12 @@ def _part_filter(one: np.ndarray, c1: np.ndarray, two: np.ndarray, c2: np.ndarra
     return LogFrequencyFilter.filled(np.concatenate([one[c1 > 0], two[c2 > 0]]), np.concatenate([c1[c1 > 0], c2[c2 > 0]]), bits)
 
 
-def _answers(sent: DataFrame, bits_per_entry: int) -> DataFrame:
+def _answers(sent: DataFrame, bits_per_entry: int, unused: int) -> DataFrame:
     """Rows (chunk, part, kinds, one_count, one_level, two_level) in the order sent; kinds: training tokens, once a part."""
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        one, c1, at1, n1 = _summed(t, "one", "one_count")
-        two, c2, at2, n2 = _summed(t, "two", "two_count")
+        one, c1, at1, n1 = _summed(t, "one", "one_count", 0)
+        two, c2, at2, n2 = _summed(t, "two", "two_count", unused)
         lm = _part_filter(one, c1, two, c2, bits_per_entry)
         split = lambda x, n: np.split(x, np.cumsum(n)[:-1])
         kinds = np.zeros(len(t), np.int64)
@@ -252,7 +273,7 @@ def _answers(sent: DataFrame, bits_per_entry: int) -> DataFrame:
         columns = [
             t.column("chunk").combine_chunks(), t.column("part").combine_chunks(), pa.array(kinds),
             pa.array([_squeezed(x) for x in split(c1[at1], n1)], pa.binary()),
-            *(pa.array([x.tobytes() for x in split(lm.levels(h)[at], n)], pa.binary()) for h, at, n in ((one, at1, n1), (two, at2, n2))),
+            *(pa.array([_squeezed(x) for x in split(lm.levels(h)[at], n)], pa.binary()) for h, at, n in ((one, at1, n1), (two, at2, n2))),
         ]
         return pa.Table.from_arrays(columns, ["chunk", "part", "kinds", "one_count", "one_level", "two_level"])
 
@@ -262,10 +283,10 @@ def _answers(sent: DataFrame, bits_per_entry: int) -> DataFrame:
 class Model:
     """All parts of a filter and the exact counts of tokens, for a corpus small enough to broadcast."""
 
-    def __init__(self, sent: DataFrame, parts: int, bits_per_entry: int):
+    def __init__(self, sent: DataFrame, parts: int, bits_per_entry: int, unused: int):
         def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-            one, c1, _, _ = _summed(t, "one", "one_count")
-            two, c2, _, _ = _summed(t, "two", "two_count")
+            one, c1, _, _ = _summed(t, "one", "one_count", 0)
+            two, c2, _, _ = _summed(t, "two", "two_count", unused)
             bits = _part_filter(one, c1, two, c2, bits_per_entry).bits.tobytes()
             values = [[key[0].as_py()], [bits], [_gaps(one[c1 > 0])], [_squeezed(c1[c1 > 0])]]
             return pa.table(dict(zip(("part", "bits", "one", "count"), values, strict=True)))
@@ -276,7 +297,7 @@ class Model:
         self.parts = parts
         self.filters = {k: LogFrequencyFilter(np.frombuffer(bytes(r["bits"]), np.uint8)) for k, r in rows.items()}
         self.one = np.concatenate([np.empty(0, np.uint64), *[_hashes(bytes(r["one"])) for r in order]])
-        self.count = np.concatenate([np.empty(0, np.uint64), *[_spread(bytes(r["count"]))[: len(_hashes(bytes(r["one"])))] for r in order]]).astype(np.int64)
+        self.count = np.concatenate([np.empty(0, np.uint64), *[_spread(bytes(r["count"])) for r in order]]).astype(np.int64)
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
         """Of sorted hashes."""
@@ -302,44 +323,42 @@ def score_documents(
     set gives c = N = V = 0; an empty table gives an empty result. More bits_per_entry make fewer false positives. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    ship_package(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(True)).alias("held_out"), text_of(text_col).cast("binary").alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
-    parts = max(1, -(-size // PART_BYTES))
+    parts, unused = max(1, -(-size // PART_BYTES)), unused_bits(size)
     kind = docs.schema[id_col].dataType.simpleString()
     chunks = _chunks(rows, kind)
-    sent = _sent(chunks, parts)
+    sent = _sent(chunks, parts, unused)
     learnt = F.aggregate(F.filter("docs", lambda d: ~d["held_out"]), F.lit(0).cast("long"), lambda n, d: n + d["n_tokens"])
     total = chunks.agg(F.coalesce(F.sum(learnt), F.lit(0))).first()[0]
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     names = [*NAMES, "n_known", "base_score", "score"]
 
     if size <= BROADCAST_BYTES:
-        told = spark.sparkContext.broadcast(Model(sent, parts, bits_per_entry))
+        told = spark.sparkContext.broadcast(Model(sent, parts, bits_per_entry, unused))
 
         def run(batches):
             lm = told.value
             for batch in batches:
                 for i in range(batch.num_rows):
                     rows = batch.column(0).slice(i, 1).flatten()
-                    c = Chunk(batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), rows.field("n_tokens").to_pylist())
-                    two, at = c.pairs()
+                    c = Chunk(*(batch.column(k)[i].as_py() for k in (1, 2, 3)), rows.field("n_tokens").to_pylist())
+                    two, at = c.pairs(unused)
                     found = c.scored(total, len(lm.one), lm.exact(c.one), lm.levels(c.one), at, lm.levels(two))
                     yield pa.RecordBatch.from_arrays([*rows.flatten(), *map(pa.array, found)], names)
 
-        scored = chunks.select("docs", "one", "at").mapInArrow(run, schema)
+        scored = chunks.select("docs", *PACKED).mapInArrow(run, schema)
     else:
-        answers = cut(_answers(sent, bits_per_entry))
+        answers = cut(_answers(sent, bits_per_entry, unused))
         kinds = answers.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
 
         def by_chunk(packed: pa.Table, got: pa.Table) -> pa.Table:
             rows = packed.column("docs").combine_chunks().flatten()
-            c = Chunk(packed.column("one")[0].as_py(), packed.column("at")[0].as_py(), rows.field("n_tokens").to_pylist())
+            c = Chunk(*(packed.column(k)[0].as_py() for k in PACKED), rows.field("n_tokens").to_pylist())
             order = np.argsort(got.column("part").to_numpy())  # parts are ranges of the sorted hashes
-            joined = lambda name, f: np.concatenate([f(b) for b in got.column(name).take(pa.array(order)).to_pylist()])
-            of_bytes = lambda b: np.frombuffer(b, np.uint8)
-            exact = joined("one_count", _spread).astype(np.int64)
-            found = c.scored(total, kinds, exact, joined("one_level", of_bytes), c.pairs()[1], joined("two_level", of_bytes))
+            joined = lambda name: np.concatenate([_spread(b) for b in got.column(name).take(pa.array(order)).to_pylist()]).astype(np.int64)
+            found = c.scored(total, kinds, joined("one_count"), joined("one_level"), c.pairs(unused)[1], joined("two_level"))
             return pa.Table.from_arrays([*rows.flatten(), *map(pa.array, found)], names)
 
         scored = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(by_chunk, schema)
