@@ -1,4 +1,4 @@
-"""Helpers shared by the operators: checkpoints, Arrow batch size, null texts, distributed ranks."""
+"""Helpers shared by the operators: checkpoints, Arrow batches, free column names, null texts, distributed ranks."""
 
 from __future__ import annotations
 
@@ -53,12 +53,19 @@ def ship_package(spark: SparkSession) -> None:
     sc._lumenquarry_shipped = True
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Prepare Arrow functions: the package on the workers, and few rows a batch, so that very long texts fit."""
-    ship_package(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def in_slices(batches, rows: int = 512):
+    """The batches in slices of few rows, so that what is made of them stays small; Spark bounds a batch's bytes itself."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """The name, with underscores before it until no frame has a column of that name in any case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def blocks_for(rows: int, least: int = 16, target: int = BLOCK_ROWS) -> int:

@@ -22,11 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenquarry.llm import hyperminhash as hmh
-from lumenquarry.llm.common import cut, small_batches, text_of
+from lumenquarry.llm.common import cut, fresh, in_slices, ship_package, text_of
 from lumenquarry.llm.components import components
 
 #: Members of one side of a block that is compared in one task.
-BLOCK = 512
+BLOCK = 256
+#: Members that are verified against one end of their links in one task.
+STAR = 512
 #: Ids that are broadcast to pick rows out of the documents (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -42,10 +44,10 @@ def _row_key(id_col: str, text_col: str) -> Column:
 
 def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """Rows (id, row_key, n, node, regs): set size, 64-bit digest of the set, registers; no words: null node."""
-    small_batches(docs.sparkSession)
+    ship_package(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             n, nodes, regs = [], [], []
             for text in batch.column(2).to_pylist():
                 s = hmh.shingle_set(text, width)
@@ -68,9 +70,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col:
     rows = rows.join(_checked_broadcast(wanted), "row_key").select("node", "text")
 
     def run(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             hashes = [hmh.shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary())], ["node", "hashes"])
+            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary())], ["node", "hashes"])
+            of_node = [xxhash.xxh3_64_intdigest(h) - 2**63 == k for h, k in zip(hashes, batch.column(0).to_pylist(), strict=True)]
+            yield out.filter(pa.array(of_node, pa.bool_()))  # another row whose key is the same has another set
 
     return rows.mapInArrow(run, "node long, hashes binary").dropDuplicates(["node"])
 
@@ -90,21 +94,27 @@ def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, threshold:
             ok = (hmh.estimate((x == y).mean(axis=1), n, m) >= least) & (100 * np.minimum(n, m) >= threshold * np.maximum(n, m))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok))
 
-    def confirmed(batches):
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(bool(_enough(common, len(x), len(y), threshold)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    def confirmed(key: tuple[pa.Scalar, ...], heads: pa.Table, members: pa.Table) -> pa.Table:
+        ok = []
+        if len(heads) and len(members):
+            y = np.frombuffer(heads.column("hashes")[0].as_py(), np.uint64)
+            for k in members.column("hashes"):
+                x = np.frombuffer(k.as_py(), np.uint64)
+                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                ok.append(bool(_enough(np.count_nonzero(y[at] == x), len(x), len(y), threshold)))
+        return members.select(["a", "b"]).filter(pa.array(ok, pa.bool_())) if ok else members.select(["a", "b"]).slice(0, 0)
 
     side = classes.select("node", "regs", "n")
     a, b = (side.select(F.col("node").alias(c), F.col("regs").alias(f"regs_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
     pairs = pairs.join(a, "a").join(b, "b").select("a", "b", "regs_a", "regs_b", "n_a", "n_b").mapInArrow(estimated, "a long, b long")
-    a, b = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"hashes_{c}")) for c in "ab")
-    pairs = pairs.join(a, "a").join(b, "b").select("a", "b", "hashes_a", "hashes_b")
-    return pairs.mapInArrow(confirmed, "a long, b long")
+    # a head's set goes to each STAR of its members, not to each pair
+    pairs = cut(pairs)
+    stars = cut(pairs.groupBy("b").agg(F.ceil(F.count("*") / STAR).cast("int").alias("stars")))
+    members = pairs.join(stars, "b").withColumn("star", F.pmod(F.xxhash64("a"), F.col("stars")).cast("int"))
+    members = members.select("a", "b", "star").join(sets.withColumnRenamed("node", "a"), "a")
+    heads = stars.select("b", F.explode(F.sequence(F.lit(0), F.col("stars") - 1)).alias("star")).join(sets.withColumnRenamed("node", "b"), "b")
+    heads = heads.select(F.col("b").alias("head"), F.col("star").alias("head_star"), F.col("hashes").alias("hashes"))  # new columns, told apart from the members'
+    return heads.groupBy("head", "head_star").cogroup(members.groupBy("b", "star")).applyInArrow(confirmed, "a long, b long")
 
 
 def _label_links(members: DataFrame, classes: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -117,7 +127,7 @@ def _label_links(members: DataFrame, classes: DataFrame, sets: DataFrame, thresh
         F.max_by("label", F.struct("n", "label")).alias("most"), F.sum("n").alias("m"), F.max("n").alias("n_most"), F.count("*").alias("labels")
     )
     kinds = kinds.where("labels > 1 and m > 2").withColumn("few", F.col("m") - F.col("n_most"))
-    kinds = kinds.select("bucket", "most", F.ceil(F.col("m") / BLOCK).cast("int").alias("all_blocks"), F.ceil(F.col("few") / BLOCK).cast("int").alias("few_blocks"))
+    kinds = cut(kinds.select("bucket", "most", F.ceil(F.col("m") / BLOCK).cast("int").alias("all_blocks"), F.ceil(F.col("few") / BLOCK).cast("int").alias("few_blocks")))
     rows = members.join(kinds, "bucket").withColumn("is_few", F.col("label") != F.col("most"))
     one = (F.col("all_blocks") == 1) & (F.col("few_blocks") == 1)
     h = F.xxhash64("node", F.lit(7))
@@ -128,25 +138,35 @@ def _label_links(members: DataFrame, classes: DataFrame, sets: DataFrame, thresh
     both = F.array(F.struct(F.lit(0).alias("f"), F.lit(0).alias("o"), F.when(F.col("is_few"), 3).otherwise(1).alias("role")))
     places = F.when(one, both).otherwise(F.concat(as_all, F.when(F.col("is_few"), as_few).otherwise(none)))
     rows = rows.select("bucket", "node", "label", F.explode(places).alias("p")).select("bucket", "node", "label", "p.*")
-    rows = rows.join(classes.select("node", "regs"), "node").join(sets, "node")
+    rows = rows.join(classes.select("node", "regs", "n"), "node")
     least = hmh.floor_estimate(threshold / 100)
 
-    def run(t: pa.Table) -> pa.Table:
-        role, node, label = (t.column(c).to_numpy() for c in ("role", "node", "label"))
+    def likely(t: pa.Table):
+        """For each member of role 2, members of role 1 with another label whose estimate passes."""
+        role, label, size = (t.column(c).to_numpy() for c in ("role", "label", "n"))
         regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(-1, hmh.K)
-        sets = [np.frombuffer(b, np.uint64) for b in t.column("hashes").to_pylist()]
-        size = np.array([len(s) for s in sets])
         other = np.flatnonzero(role & 1)
-        values, ids = np.unique(np.concatenate(sets), return_inverse=True)
-        first = np.concatenate([[0], np.cumsum(size)])
-        mark = np.zeros(len(values), bool)
-        out = []
         for i in np.flatnonzero(role & 2):
             j = other[label[other] != label[i]]
             j = j[100 * np.minimum(size[j], size[i]) >= threshold * np.maximum(size[j], size[i])]
             j = j[hmh.estimate((regs[j] == regs[i]).mean(axis=1), size[j], np.full(len(j), size[i])) >= least]
-            if not len(j):
-                continue
+            if len(j):
+                yield i, j
+
+    def taking_part(t: pa.Table) -> pa.Table:
+        used = np.zeros(len(t), bool)
+        for i, j in likely(t):
+            used[i] = used[j] = True
+        return t.filter(pa.array(used))
+
+    def run(t: pa.Table) -> pa.Table:
+        node, label, size = (t.column(c).to_numpy() for c in ("node", "label", "n"))
+        sets = [np.frombuffer(b, np.uint64) for b in t.column("hashes").to_pylist()]
+        values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        first = np.concatenate([[0], np.cumsum(size)])
+        mark = np.zeros(len(values), bool)
+        out = []
+        for i, j in likely(t):
             own = ids[first[i] : first[i + 1]]
             mark[own] = True
             common = np.array([np.count_nonzero(mark[ids[first[k] : first[k + 1]]]) for k in j])
@@ -157,7 +177,11 @@ def _label_links(members: DataFrame, classes: DataFrame, sets: DataFrame, thresh
         a, b = zip(*out, strict=True) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.select("bucket", "f", "o", "node", "label", "role", "regs", "hashes").groupBy("bucket", "f", "o").applyInArrow(run, "a long, b long")
+    # sets in full go only to members with an estimate that passes
+    rows = rows.select("bucket", "f", "o", "node", "label", "role", "regs", "n")
+    fields = "bucket long, f int, o int, node long, label long, role int, regs binary, n long"
+    rows = cut(rows.groupBy("bucket", "f", "o").applyInArrow(taking_part, fields)).join(sets, "node")
+    return rows.groupBy("bucket", "f", "o").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,7 +203,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, id_col
         F.sequence(F.lit(0), F.lit(hmh.BANDS - 1)), lambda i: F.xxhash64(i, F.substring("regs", i * size + 1, F.lit(size)))
     )
     bands = classes.select("node", F.explode(bands).alias("bucket"))
-    buckets = bands.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("m")).where("m > 1")
+    buckets = cut(bands.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("m")).where("m > 1"))
     members = cut(bands.join(buckets, "bucket"))
     wanted = members.select("node").distinct().join(classes, "node").select("row_key", "node")
     sets = cut(_sets(docs, cut(wanted), width, id_col, text_col))
@@ -206,8 +230,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, id_col
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents, all columns, with one of each component: that of the smallest id. Options: near_duplicates()."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    gone = cut(found.where("not kept").select(F.col("row_key").alias("__key")))
-    key = _row_key(id_col, text_col)
-    return docs.join(_checked_broadcast(gone), key == F.col("__key"), "left_anti")
+    """The documents, all columns, with one of each component: that of the smallest id. Options: near_duplicates().
+
+    Rows that repeat id and text stay or go together; texts without words stay. No column name clashes.
+    """
+    found = near_duplicates(docs.select(id_col, text_col), id_col=id_col, text_col=text_col, **options)
+    key, row = fresh("__key", docs), fresh("__row", docs)
+    gone = cut(found.where("not kept").select(F.col("row_key").alias(key), F.col(id_col).alias(row)).distinct())
+    same = (_row_key(id_col, text_col) == F.col(key)) & F.col(id_col).eqNullSafe(F.col(row))
+    return docs.join(_checked_broadcast(gone), same, "left_anti")

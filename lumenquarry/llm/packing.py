@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenquarry.llm.common import blocks_for, cut, small_batches, text_of, with_offsets
+from lumenquarry.llm.common import blocks_for, cut, in_slices, ship_package, text_of, with_offsets
 
 CAPACITY = 2048
 #: Pairs of groups that the local search remembers as settled (about 100 bytes each); it forgets them beyond that.
@@ -183,7 +183,7 @@ class Plan:
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """Rows (id, piece, start, length, ids_crc32); tokens stay in the worker."""
-    small_batches(docs.sparkSession)
+    ship_package(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -191,7 +191,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id
 
         table, end = WordTable(tokenizer), np.array([end_id], "<u4").tobytes()
         size = 4 * capacity
-        for batch in batches:
+        for batch in in_slices(batches):
             ids, out = batch.column(0), ([], [], [], [], [])
             for row, text in enumerate(batch.column(1).to_pylist()):
                 packed = table.encode(text) + end

@@ -19,13 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenquarry.llm.boosting import BoostedTrees, Isotonic
-from lumenquarry.llm.common import cut, small_batches, text_of
+from lumenquarry.llm.common import cut, in_slices, ship_package, text_of
 
 #: Labelled rows that the model is fitted on, at most (about, as a seeded share of all).
 SAMPLE_ROWS = 12_000
-#: Entries of the learned lexicon, at most.
-LEXICON_SIZE = 20_000
-#: Toxic rows that must hold an entry, and how much commoner it must be there (log of the ratio).
+#: Toxic rows that must hold an entry of the lexicon, and how much commoner it must be there (log of the ratio). The
+#: bounded sample bounds the lexicon; no entry that qualifies is left out.
 LEXICON_ROWS, LEXICON_ODDS = 3, 1.5
 PREFIXES = (4, 5, 6, 8)
 
@@ -115,30 +114,30 @@ class Model:
 def _lexicon(counted: DataFrame, toxic: Column, rows: Column, n_toxic: int, n_clean: int) -> dict[str, float]:
     odds = F.log((toxic + 0.3) / (n_toxic + 1)) - F.log((rows - toxic + 0.3) / (n_clean + 1))
     kept = counted.where(toxic >= LEXICON_ROWS).withColumn("odds", odds).where(F.col("odds") >= LEXICON_ODDS)
-    top = kept.orderBy((F.col("odds") * F.sqrt(toxic)).desc(), "u").limit(LEXICON_SIZE)
-    return {r["u"]: r["odds"] for r in top.select("u", "odds").collect()}
+    return {r["u"]: r["odds"] for r in kept.select("u", "odds").collect()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on labelled rows where held_out is false: a seeded sample of about SAMPLE_ROWS at most.
 
-    The driver gets lexicons and the features of the sample, no texts; words are counted where they are. Rows
+    Of docs only the id and the text are read, of labels the id and toxic, whatever other columns are called. A
+    document that is there twice counts twice; a label that is there twice is toxic if one says so. The driver gets lexicons and the features of the sample, no texts; words are counted where they are. Rows
     with a null id or label are left out. Without labelled rows of both kinds the score is a constant.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    known = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & ~held_out)
+    ship_package(spark)
+    known = labels.where(~held_out).select(id_col, "toxic").where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull())
     known = known.groupBy(id_col).agg((F.max("toxic") > 0).cast("int").alias("label"))
     n = known.count()
     share = min(1.0, SAMPLE_ROWS / n) if n else 1.0
     draw = lambda seed, c: F.crc32(F.concat(F.lit(f"{seed}:"), F.col(c).cast("string")).cast("binary")) / float(2**32)
-    sample = known.where(draw("sample", id_col) < share).select(F.col(id_col).alias("__id"), "label")
-    rows = docs.join(F.broadcast(sample), F.col(id_col) == F.col("__id"))  # at most about SAMPLE_ROWS ids and labels
-    rows = rows.select(F.col("__id").cast("string").alias("id"), "label", text_of(text_col).alias("text"))
+    sample = known.where(draw("sample", id_col) < share).select(F.col(id_col).alias("id"), "label")
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    rows = rows.join(F.broadcast(sample), "id").select(F.col("id").cast("string").alias("id"), "label", "text")  # at most about SAMPLE_ROWS labels
     rows = cut(rows.withColumn("half", (draw("half", "id") < 0.5).cast("int")))
 
     def split(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             held = [sorted({u for w in set(_WORDS.findall(t.lower())) for u in units(w)}) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held, pa.list_(pa.string()))], ["label", "half", "units"])
 
@@ -156,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc
     told = spark.sparkContext.broadcast([Lexicon(x) for x in apart])
 
     def measure(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             x = [features(t, told.value[h]) for t, h in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(x, pa.list_(pa.float64()))], ["id", "label", "half", "x"])
 
@@ -172,11 +171,11 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, score (0 to 1). A null text scores as an empty one; repeated rows score alike."""
-    small_batches(docs.sparkSession)
+    ship_package(docs.sparkSession)
     told = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(told.value.scores(batch.column(1).to_pylist()))], ["id", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
@@ -185,12 +184,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The documents, all columns, whose score is below the threshold."""
-    small_batches(docs.sparkSession)
+    """The documents, all columns, whose score is below the threshold. A null text is judged as an empty one; repeated
+    rows all stay or all go; an empty table stays empty."""
+    ship_package(docs.sparkSession)
     told = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(told.value.scores(texts.tolist()))
+        return pd.Series(np.concatenate([np.empty(0), *[told.value.scores(texts[at : at + 512].tolist()) for at in range(0, len(texts), 512)]]))
 
     return docs.where(scored(text_of(text_col)) < threshold)

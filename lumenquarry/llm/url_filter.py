@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenquarry.llm.common import cut, small_batches
+from lumenquarry.llm.common import cut, in_slices, ship_package
 
 #: Words and classifier tokens that are broadcast, at most: the commonest. The rest are looked up by a join.
 WORDS, TOKENS = 200_000, 200_000
@@ -66,7 +66,7 @@ def word_counts(pages: DataFrame, html_col: str) -> DataFrame:
 
     def run(batches):
         held: Counter = Counter()
-        for batch in batches:
+        for batch in in_slices(batches):
             for html in batch.column(0).to_pylist():
                 held.update(_LETTERS.findall(_TAGS.sub(b" ", html).lower()))
             if len(held) > 300_000:
@@ -174,7 +174,7 @@ def _with_rare(rows: DataFrame, asked, columns: list[str], rare: DataFrame, key:
     """Add an array `name` of (key, *values) from rare: those that asked(...) lists for a row's columns."""
 
     def run(batches):
-        for batch in batches:
+        for batch in in_slices(batches, 1000):
             lists = [asked(*x) for x in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)]
             at = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array([w for x in lists for w in x], pa.string())], ["row", key])
@@ -195,7 +195,7 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     the classifier's to judge; a null html has no words. Repeated rows are judged alike. Empty table: empty result.
     """
     spark = pages.sparkSession
-    small_batches(spark, 1000)
+    ship_package(spark)
     counts = cut(word_counts(pages, html_col))
     n_words, total = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     common = list(counts.orderBy(F.desc("c"), "word").limit(WORDS).toLocalIterator())
@@ -217,7 +217,7 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
         rows = cut(_with_rare(rows, asked, ["host", "path"], rare, "word", ["c"], "words"))
 
     def split(batches):
-        for batch in batches:
+        for batch in in_slices(batches, 1000):
             hosts, paths, words = (batch.column(i).to_pylist() for i in (1, 2, 3))
             tokens = [told.value.tokens(h, p, _dict(w)) for h, p, w in zip(hosts, paths, words, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.list_(pa.string()))], ["label", "tokens"])
@@ -244,7 +244,7 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
         rows = _with_rare(rows, unseen, ["host", "path", "words", "by_rule"], _beyond(seen, common, "n", "t"), "t", ["n", "b"], "seen")
 
     def decide(batches):
-        for batch in batches:
+        for batch in in_slices(batches, 1000):
             hosts, paths, told_by_rule, words, odds = (batch.column(i).to_pylist() for i in (1, 2, 4, 5, 6))
             more = [{x["t"]: model.value.log_odds(x["n"] - x["b"], x["b"]) for x in s or ()} for s in odds]
             verdict = [
