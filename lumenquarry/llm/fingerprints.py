@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenquarry.llm.common import text_of
+from lumenquarry.llm.common import cut, text_of
 
 #: A leaf: up to this many characters and the sentence marks after them. Everything belongs to some leaf.
 LEAF = r"[^.!?]{1,40}[.!?]*|[.!?]+"
@@ -76,30 +76,36 @@ def changed_branches(a: Column, b: Column) -> Column:
     return F.flatten(F.transform(indexes(F.greatest(F.size(x), F.size(y))), in_section))
 
 
-def _block_of(docs: DataFrame, id_col: str) -> tuple[Column, int]:
-    """A non-decreasing map of ids to blocks of about NEIGHBOURS rows, and how many blocks; null ids come first.
+def _below(bounds: Column, x: Column) -> Column:
+    """How many of sorted bounds aren't beyond x: coarse steps of 32 first."""
+    n = F.size(bounds)
+    steps = F.size(F.filter(F.sequence(F.lit(0), F.floor((n - 1) / 32).cast("int")), lambda i: F.get(bounds, i * 32) <= x))
+    fine = F.slice(bounds, F.greatest(steps - 1, F.lit(0)) * 32 + 1, 32)
+    return F.when((n == 0) | (steps == 0), 0).otherwise((steps - 1) * 32 + F.size(F.filter(fine, lambda b: b <= x)))
 
-    Boundaries are quantiles of the ids (a sketch of bounded size), found in two steps of 32; beyond
-    BOUNDARIES blocks each interval is cut evenly.
+
+def _blocked(docs: DataFrame, id_col: str) -> tuple[DataFrame, int]:
+    """docs with __block, a non-decreasing number of the id, about NEIGHBOURS rows each, and how many blocks at most.
+
+    Boundaries are quantiles of the ids in two levels of at most BOUNDARIES each (sketches of bounded size, the second
+    one for each interval of the first), so blocks follow the ids' distribution up to BOUNDARIES**2 blocks. Null ids
+    come first, in a block of their own.
     """
     n = docs.count()
-    count = max(1, min(BOUNDARIES, n // NEIGHBOURS))
-    inner = max(1, n // (count * NEIGHBOURS))
-    points = [k / count for k in range(1, count)]
-    at = docs.agg(F.percentile_approx(id_col, points, 10 * BOUNDARIES).alias("q")).first()["q"] if points else []
-    at = sorted({int(x) for x in at or []})
     x = F.col(id_col)
-    coarse = [at[i : i + 32] for i in range(0, len(at), 32)]
-    if not coarse:
-        return F.coalesce(F.when(x.isNotNull(), 0), F.lit(-1)).cast("long"), 2
-    which = F.size(F.filter(F.array(*[F.lit(c[0]) for c in coarse]), lambda b: b <= x))  # coarse steps not beyond x
-    fine = F.get(F.array(*[F.array(*map(F.lit, c)) for c in coarse]), which - 1)
-    block = F.when(which > 0, (which - 1) * 32 + F.size(F.filter(fine, lambda b: b <= x))).otherwise(0)
-    if inner > 1:
-        low, high = F.get(F.array(*map(F.lit, at)), block - 1), F.get(F.array(*map(F.lit, at)), block)
-        step = F.floor((x - low) / (high - low) * inner)
-        block = block * inner + F.coalesce(F.greatest(F.lit(0), F.least(F.lit(inner - 1), step)), F.lit(0))
-    return F.coalesce(F.when(x.isNotNull(), block), F.lit(-1)).cast("long"), (len(at) + 1) * inner + 1
+    quantiles = lambda k: F.percentile_approx(id_col, [i / k for i in range(1, k)], 10 * BOUNDARIES)
+    count = max(1, min(BOUNDARIES, n // NEIGHBOURS))
+    inner = min(BOUNDARIES, -(-n // (count * NEIGHBOURS))) if count == BOUNDARIES else 1
+    at = docs.agg(quantiles(count).alias("q")).first()["q"] if count > 1 else []
+    coarse = _below(F.array(*map(F.lit, sorted(set(at or [])))) if at else F.array().cast("array<long>"), x) if at else F.lit(0)
+    rows = docs.withColumn("__block", F.when(x.isNull(), -1).otherwise(coarse).cast("long"))
+    if inner == 1:
+        return rows, count + 1
+    ids = docs.select(id_col).withColumn("__block", F.when(x.isNull(), -1).otherwise(coarse).cast("long"))
+    fine = cut(ids.where("__block >= 0").groupBy("__block").agg(F.array_distinct(quantiles(inner)).alias("__fine")))
+    rows = rows.join(F.broadcast(fine), "__block", "left")  # at most BOUNDARIES rows of BOUNDARIES numbers
+    block = F.when(x.isNull(), -1).otherwise(F.col("__block") * inner + _below(F.col("__fine"), x)).cast("long")
+    return rows.withColumn("__block", block).drop("__fine"), count * inner + 1
 
 
 def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id") -> DataFrame:
@@ -109,14 +115,15 @@ def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id") -> Da
     before it, so each block is ordered for itself and the table is shuffled once. Rows of equal id follow each
     other in the order of `columns`; null ids come first.
     """
-    rows = docs.select(id_col, *columns)
-    block, blocks = _block_of(docs, id_col)
-    rows = rows.withColumn("__block", block)
-    firsts = docs.select(id_col).withColumn("__block", block).groupBy("__block").agg(F.min(id_col).alias("__first"))
-    w = Window.orderBy("__block")
-    firsts = firsts.select(
-        "__block", "__first",
-        F.coalesce(F.lag("__block").over(w), F.max("__block").over(Window.partitionBy())).alias("__before"),
+    rows, blocks = _blocked(docs.select(id_col, *columns), id_col)
+    firsts = cut(rows.select(id_col, "__block").groupBy("__block").agg(F.min(id_col).alias("__first")))
+    # the block before: in a run of BOUNDARIES block numbers, else the last of the run before it, else the last of all
+    firsts = firsts.withColumn("__run", F.floor(F.col("__block") / BOUNDARIES))
+    runs = firsts.groupBy("__run").agg(F.max("__block").alias("__last"))
+    every = Window.orderBy("__run")
+    runs = runs.select("__run", F.coalesce(F.lag("__last").over(every), F.max("__last").over(Window.partitionBy())).alias("__back"))
+    firsts = firsts.join(runs, "__run").select(
+        "__block", "__first", F.coalesce(F.lag("__block").over(Window.partitionBy("__run").orderBy("__block")), F.col("__back")).alias("__before")
     )
     # a row of 24 bytes for each block; beyond the bound Spark picks the join
     rows = rows.join(F.broadcast(firsts) if blocks <= BROADCAST_BLOCKS else firsts, "__block")
@@ -134,7 +141,7 @@ def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id") -> Da
 def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the
+    Ids are whole numbers. The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the
     next document's. A null text is empty. A single document is its own next. Empty table: empty result.
     """
     rows = docs.select(F.col(id_col), text_of(text_col).alias("text"))

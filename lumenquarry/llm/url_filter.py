@@ -26,6 +26,7 @@ LONGEST_WORD = 24
 SKETCH_BITS = 1 << 24
 
 _TAGS = re.compile(rb"<(?:script|style)\b.*?</(?:script|style)>|<[^>]*>", re.S | re.I)
+_TAG = re.compile(rb"<[^>]*>")
 _LETTERS = re.compile(rb"[a-z]{2,%d}" % LONGEST_WORD)
 _PIECES = re.compile(r"[a-z]+|[0-9]+|[^\W\d_]+")
 
@@ -61,6 +62,18 @@ def matching_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     return out
 
 
+def visible(html: bytes) -> bytes:
+    """The html without scripts, styles and tags, in lower case.
+
+    Scripts are looked for up to the last end of one, tags up to the last ">", so no start is followed to the end in vain.
+    """
+    low = html.lower()
+    cut_at = max(low.rfind(b"</script>") + 9, low.rfind(b"</style>") + 8)
+    cut_at = cut_at if cut_at > 8 else 0
+    last = max(cut_at, low.rfind(b">") + 1)
+    return _TAGS.sub(b" ", low[:cut_at]) + _TAG.sub(b" ", low[cut_at:last]) + low[last:]
+
+
 def word_counts(pages: DataFrame, html_col: str) -> DataFrame:
     """Rows (word, c) over the visible texts of all pages."""
 
@@ -68,7 +81,7 @@ def word_counts(pages: DataFrame, html_col: str) -> DataFrame:
         held: Counter = Counter()
         for batch in in_slices(batches):
             for html in batch.column(0).to_pylist():
-                held.update(_LETTERS.findall(_TAGS.sub(b" ", html).lower()))
+                held.update(_LETTERS.findall(visible(html)))
             if len(held) > 300_000:
                 yield _rows(held)
                 held.clear()

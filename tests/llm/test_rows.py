@@ -1,6 +1,7 @@
 """Exact dedup, sharding, mixing, packing and fingerprints against plain Python, with odd rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -10,9 +11,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenquarry.llm import exact_dedup, fingerprints, mixing, packing, sharding, wordbpe
+from lumenquarry.llm import exact_dedup, fingerprints, mixing, packing, q_exact, q_mix, q_pack, q_print, q_shard, sharding, wordbpe
 from lumenquarry.llm.q_pack import tokenizer_path
 
+SF = "/root/testdata/sf0.001"
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, row string"
 
 
@@ -72,6 +75,67 @@ def test_sharding(spark):
     assert 0.09 < moved < 0.13
 
 
+def owner(key, weights, seed="shard"):
+    """Weighted rendezvous: the shard of the greatest -weight / ln(u), u from 52 bits of an md5."""
+    def score(i):
+        digest = hashlib.md5(f"{seed}:{i}:{'null' if key is None else key}".encode()).hexdigest()
+        return -weights[i] / math.log(int(digest[:13], 16) / 2**52 + 2**-54)
+
+    return max(range(len(weights)), key=lambda i: (score(i), -i))
+
+
+def test_shard_query_equals_plain(spark):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    slots = defaultdict(list)
+    got = q_shard.query(spark, SF).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        data = docs[r.doc_id].encode()
+        assert (r.size, r.text_crc32, r.law) == (len(data) + 1, zlib.crc32(data), "key")
+        assert (r.shard, r.grown_shard) == (owner(r.doc_id, [1.0] * 8), owner(r.doc_id, [1.0] * 9))
+        slots[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    rows, odd = odd_docs(spark, 8)
+    weights = [1.0, 2.5, 0.5]
+    assert all(r.shard == owner(r.doc_id, weights) for r in sharding.shard_documents(odd, weights).collect())
+
+
+def test_pack_query_equals_plain(spark):
+    from tokenizers import Tokenizer
+
+    tok, want = Tokenizer.from_file(tokenizer_path()), Counter()
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        ids = np.array([*tok.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4")
+        for k, at in enumerate(range(0, len(ids), 2048)):
+            want[r.doc_id, k, at, len(ids[at : at + 2048]), zlib.crc32(ids[at : at + 2048].tobytes())] += 1
+    got = q_pack.query(spark, SF).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    fills = defaultdict(list)
+    for r in got:
+        fills[r.sequence_id].append((r.offset, r.length))
+    for places in fills.values():
+        ends = np.cumsum([n for _, n in sorted(places)])
+        assert ends[-1] <= 2048 and [o for o, _ in sorted(places)] == [0, *ends[:-1]]
+    assert len(fills) <= -(-sum(r.length for r in got) // 2048) + 1
+
+
+@pytest.mark.parametrize("module", [q_exact, q_mix])
+def test_sql_queries(spark, module):
+    """Queries with SQL equal it row by row."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from read_parquet('{SF}/documents.parquet')")
+    df = module.query(spark, SF)
+    columns = sorted(df.columns)
+    want = con.sql(module.SQL)
+    plain = lambda v: repr(round(v, 6)) if isinstance(v, float) else str(v)
+    names = want.columns
+    assert sorted(names) == columns
+    rows = sorted(tuple(plain(r[names.index(c)]) for c in columns) for r in want.fetchall())
+    assert sorted(tuple(plain(r[c]) for c in columns) for r in df.collect()) == rows
+
+
 def fill(sizes, weights, share, epochs):
     """Water-filling by rounds, as the method tells it."""
     total, target, fixed = share * sum(sizes), [0.0] * len(sizes), set()
@@ -161,6 +225,39 @@ def test_word_table_equals_tokenizer():
         assert table.encode(t.encode()) == np.array(table.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def plain_print(text):
+    """Fingerprint of a text: root over sections, paragraphs and leaves, then a short hash of each leaf."""
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    tree = [[[sha(x) for x in re.findall(fingerprints.LEAF, p)] for p in s.split("\n")] for s in text.split("\n\n")]
+    root = sha("".join(sha("".join(sha("".join(p)) for p in s)) for s in tree))
+    return root + ":" + "/".join(";".join(",".join(x[: fingerprints.SHORT] for x in p) for p in s) for s in tree)
+
+
+def plain_likeness(a, b):
+    if a.split(":")[0] == b.split(":")[0]:
+        return 1.0
+    x, y = ({k for k in re.split("[,;/]", f.split(":")[1]) if k} for f in (a, b))
+    return 2 * len(x & y) / (len(x) + len(y)) if x or y else 0.0
+
+
+@pytest.mark.parametrize(("neighbours", "boundaries"), [(20, 1024), (4, 3)])
+def test_fingerprint_query_equals_plain(spark, monkeypatch, neighbours, boundaries):
+    monkeypatch.setattr(fingerprints, "NEIGHBOURS", neighbours)
+    monkeypatch.setattr(fingerprints, "BOUNDARIES", boundaries)
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    ids = sorted(docs)
+    got = {r.doc_id: r for r in q_print.query(spark, SF).collect()}
+    assert sorted(got) == ids
+    for k, i in enumerate(ids):
+        text, following, r = docs[i], docs[ids[(k + 1) % len(ids)]], got[i]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + following[:half]
+        prints = [plain_print(x) for x in (text, edited, following)]
+        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert [r.fingerprint, r.edited_fingerprint] == prints[:2]
+        assert abs(r.near_edited - plain_likeness(*prints[:2])) < 1e-9 and abs(r.near_next - plain_likeness(prints[0], prints[2])) < 1e-9
+
+
 def test_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "NEIGHBOURS", 20)
     rows, docs = odd_docs(spark, 4)
