@@ -193,3 +193,123 @@ def graph_facts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     props = nodes.select("id", F.explode("properties").alias("k", "v")).select(name("k").alias("predicate"), F.array(s("id"), s("v")).alias("args"))
     rel = edges.select(name("type").alias("predicate"), F.array(s("src"), s("dst")).alias("args"))
     return types.unionAll(props).unionAll(rel).distinct()
+
+
+def _text(atom: Atom) -> Column:
+    args = [F.col(x) if is_variable(x) else F.lit(x) for x in atom.terms]
+    return F.concat(F.lit(f"{atom.predicate}("), F.concat_ws(", ", *args), F.lit(")"))
+
+
+def derivations(facts: DataFrame, rules: list[Rule], rounds: int = 50) -> DataFrame:
+    """Rows (predicate, args, round, rule, premises) of every derived fact: how it first came about.
+
+    rule is the number of the rule; of several derivations in that round the smallest (rule, premises) is kept.
+    """
+    known = cut(facts.select("predicate", "args").distinct())
+    delta, out = known, None
+    for r in range(1, rounds + 1):
+        made = []
+        for k, rule in enumerate(rules):
+            for at in range(len(rule.body)):
+                joined = None
+                for i, atom in enumerate(rule.body):
+                    b = _bindings(delta if i == at else known, atom)
+                    keys = [c for c in b.columns if joined is not None and c in joined.columns]
+                    joined = b if joined is None else (joined.join(b, keys) if keys else joined.join(b))
+                args = [F.col(x) if is_variable(x) else F.lit(x) for x in rule.head.terms]
+                made.append(joined.select(
+                    F.lit(rule.head.predicate).alias("predicate"), F.array(*args).cast("array<string>").alias("args"),
+                    F.struct(F.lit(k).alias("rule"), F.array(*map(_text, rule.body)).alias("premises")).alias("why"),
+                ))
+        new = reduce(DataFrame.unionAll, made).groupBy("predicate", "args").agg(F.min("why").alias("why")).join(known, ["predicate", "args"], "left_anti")
+        new = cut(new.select("predicate", "args", F.lit(r).alias("round"), "why.rule", "why.premises"))
+        if new.isEmpty():
+            return out if out is not None else new
+        out = new if out is None else out.unionByName(new)
+        delta = new.select("predicate", "args")
+        known = cut(known.unionByName(delta))
+    raise RuntimeError(f"no fixpoint after {rounds} rounds")
+
+
+def explained(derived: DataFrame, goals: DataFrame, depth: int = 50) -> DataFrame:
+    """Rows (goal, step, line): the proof of each goal (predicate, args) as text, from the goal to the given facts."""
+    name = F.concat("predicate", F.lit("("), F.concat_ws(", ", "args"), F.lit(")"))
+    how = cut(derived.select(name.alias("fact"), "rule", "premises"))
+    front = cut(goals.select(name.alias("goal")).distinct().withColumn("fact", F.col("goal")))
+    out, seen = None, front
+    for step in range(depth):
+        used = cut(front.join(how, "fact"))
+        if used.isEmpty():
+            break
+        line = F.concat("fact", F.lit(" by rule "), F.col("rule").cast("string"), F.lit(" from "), F.concat_ws(" and ", "premises"))
+        lines = used.select("goal", F.lit(step).alias("step"), line.alias("line"))
+        out = lines if out is None else out.unionByName(lines)
+        front = cut(used.select("goal", F.explode("premises").alias("fact")).distinct().join(seen, ["goal", "fact"], "left_anti"))
+        seen = cut(seen.unionByName(front))
+    return out if out is not None else front.select("goal", F.lit(0).alias("step"), F.lit("").alias("line")).limit(0)
+
+
+Term = str | tuple  # a variable or constant, or (name, argument, ...)
+
+
+def parse_term(text: str) -> Term:
+    """A term such as f(X, g(a)): nested tuples of a name and its arguments."""
+    pos = 0
+    pieces = re.findall(r"[A-Za-z0-9_]+|[(),]", text)
+
+    def term() -> Term:
+        nonlocal pos
+        if pos >= len(pieces) or pieces[pos] in "(),":
+            raise ValueError(f"not a term: {text!r}")
+        name = pieces[pos]
+        pos += 1
+        if pos < len(pieces) and pieces[pos] == "(":
+            args = []
+            while pieces[pos] != ")":
+                pos += 1
+                args.append(term())
+                if pos >= len(pieces) or pieces[pos] not in ",)":
+                    raise ValueError(f"not a term: {text!r}")
+            pos += 1
+            return (name, *args)
+        return name
+
+    out = term()
+    if pos != len(pieces):
+        raise ValueError(f"not a term: {text!r}")
+    return out
+
+
+def unify(a: Term, b: Term) -> dict[str, Term] | None:
+    """The most general substitution that makes two terms equal, function terms included; None if there is none."""
+    bound: dict[str, Term] = {}
+
+    def of(t: Term) -> Term:
+        while isinstance(t, str) and t in bound:
+            t = bound[t]
+        return t
+
+    def holds(var: str, t: Term) -> bool:
+        t = of(t)
+        return t == var if isinstance(t, str) else any(holds(var, x) for x in t[1:])
+
+    def full(t: Term) -> Term:
+        t = of(t)
+        return t if isinstance(t, str) else (t[0], *map(full, t[1:]))
+
+    todo = [(a, b)]
+    while todo:
+        x, y = map(of, todo.pop())
+        if x == y:
+            continue
+        if not (isinstance(x, str) and is_variable(x)):
+            x, y = y, x
+        if isinstance(x, str) and is_variable(x):
+            if holds(x, y):
+                return None
+            bound[x] = y
+        elif isinstance(x, tuple) and isinstance(y, tuple) and x[0] == y[0] and len(x) == len(y):
+            todo += zip(x[1:], y[1:], strict=True)
+        else:
+            return None
+    return {v: full(v) for v in bound}

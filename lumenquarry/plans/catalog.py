@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lumenquarry.plans.base import QUERIES, SQL
 
-AREAS = ("text", "retrieval", "quality", "timeseries", "graph", "rules", "sqlviews", "streams", "legal", "models", "catalogs")
+AREAS = ("text", "retrieval", "quality", "timeseries", "graph", "rules", "sqlviews", "streams", "legal", "models", "catalogs", "knowledge")
 
 for area in AREAS:
     import_module(f"lumenquarry.plans.{area}")
