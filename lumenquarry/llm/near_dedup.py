@@ -216,7 +216,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, id_col
     if not more.isEmpty():
         labels = components(links.unionAll(more))
     labelled = classes.select("node", "id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lowest = labelled.groupBy("component").agg(F.min("id").alias("component_id"))
+    lowest = cut(labelled.groupBy("component").agg(F.min("id").alias("component_id")))  # a plain side, so that a large component can be split
     answer = labelled.select("node", "component").join(lowest, "component").select("node", "component_id")
     rows = have.select("id", "row_key", "n", "node").join(answer, "node").drop("node")
     rows = rows.unionByName(sk.where("node is null").select("id", "row_key", "n", F.col("id").alias("component_id")))
