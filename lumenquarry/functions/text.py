@@ -136,6 +136,11 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"\s+", -1), "")
 
 
+def is_persian(text: Column) -> Column:
+    """True where more than half of the characters are of the Arabic block."""
+    return F.length(F.regexp_replace(text, r"[^\u0600-\u06FF]", "")) > 0.5 * F.length(text)
+
+
 def truncated(text: Column, most: int = 1000, suffix: str = "...") -> Column:
     """Text of at most `most` characters, the suffix included."""
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - len(suffix)), F.lit(suffix))).otherwise(text)

@@ -108,26 +108,5 @@ def rewrites(queries: DataFrame, corrections: list[tuple[str, str]], synonyms: d
     return best.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top)
 
 
-def greedy_dedup(rows: DataFrame, group: str, order: str, vector: str, threshold: float) -> DataFrame:
-    """Within bounded groups, keep a row unless an earlier kept one has cosine above the threshold; order is explicit."""
-    import numpy as np
-    import pandas as pd
-
-    schema = rows.select(group, order).schema
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        x = np.array(pdf[vector].tolist(), float)
-        size = np.linalg.norm(x, axis=1, keepdims=True)
-        x = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
-        kept: list[int] = []
-        for i in range(len(x)):
-            if not kept or (x[kept] @ x[i]).max() <= threshold:
-                kept.append(i)
-        return pdf.iloc[kept][[group, order]]
-
-    return rows.select(group, order, vector).groupBy(group).applyInPandas(run, schema)
-
-
 def text_similarity(a: Column, b: Column) -> Column:
     return jaccard(F.array_distinct(tokens(a)), F.array_distinct(tokens(b)))

@@ -135,7 +135,8 @@ def semantic_boundaries(parts: DataFrame, key: str, order: str, vector: str, spr
 def augmented(docs: DataFrame, synonyms: dict[str, str], ratio: float, seed: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Texts with about `ratio` of their known words swapped: a word is taken by a hash of (seed, id, place), so reruns agree."""
     table = F.create_map(*[F.lit(x) for kv in synonyms.items() for x in kv])
-    draw = lambda i: F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), i), F.lit(1000)) < int(1000 * ratio)
+    digest = lambda i: F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string"), i.cast("string")))
+    draw = lambda i: F.conv(F.substring(digest(i), 1, 8), 16, 10).cast("long") < int(2**32 * ratio)
     words = F.transform(F.split(F.col(text_col), " ", -1), lambda w, i: F.when(draw(i), F.coalesce(F.try_element_at(table, w), w)).otherwise(w))
     return docs.select(id_col, F.concat_ws(" ", words).alias(text_col))
 

@@ -107,13 +107,22 @@ def graph_k_hop(t):
     return G.k_hop(e, t.part.where("p_partkey = 1").select(F.col("p_partkey").alias("id"), F.lit(1.0).alias("score")), 2, 25).select("id", "hop", F.round("score", 6).alias("score"))
 
 
-@query("graph_pagerank")
+def pagerank_sql(jump: str, rounds: int = 20) -> str:
+    """Power iteration round by round; `jump` is the teleport share of a node n."""
+    out = f"""with {N_SQL}, o as (select src, count(*) as c from u group by 1), w as (select u.src, u.dst, 1.0::double / c as share from u join o using (src)),
+b as materialized (select id, ({jump})::double as jump from n), r0 as materialized (select id, jump as rank from b)"""
+    for k in range(rounds):
+        out += f""", r{k + 1} as materialized (select b.id, 0.15::double * jump + 0.85::double * coalesce(sum(p.rank * w.share), 0) as rank from b left join w on w.dst = b.id left join r{k} p on p.id = w.src group by b.id, b.jump)"""
+    return out + f" select id, round(rank, 8) as rank from r{rounds}"
+
+
+@query("graph_pagerank", pagerank_sql("1.0 / (select count(*) from n)"))
 def graph_pagerank(t):
     e = G.both_ways(supply(t))
     return G.pagerank(nodes_of(e), e).select("id", F.round("rank", 8).alias("rank"))
 
 
-@query("graph_pagerank_personal")
+@query("graph_pagerank_personal", pagerank_sql("case when id = 1000001 then 1.0 else 0.0 end"))
 def graph_pagerank_personal(t):
     e = G.both_ways(supply(t))
     return G.pagerank(nodes_of(e), e, seeds=e.where("src = 1000001").select(F.col("src").alias("id")).distinct()).select("id", F.round("rank", 8).alias("rank"))

@@ -105,7 +105,11 @@ def semantic_threshold(t):
 
 @query("greedy_semantic_dedup")
 def greedy_semantic_dedup(t):
-    return K.greedy_dedup(t.embeddings, "label", "vec_id", "embedding", 0.5)
+    """Over all vectors, in order of id: a row goes when an earlier kept one has a cosine above a half."""
+    from lumenquarry.operators.knowledge import greedy_kept, similar_vector_pairs
+
+    pairs = similar_vector_pairs(t.embeddings, "vec_id", "embedding", 0.5)
+    return greedy_kept(t.embeddings.select(F.col("vec_id").alias("id")), pairs).withColumnRenamed("id", "vec_id")
 
 
 @query("groundedness", r"""

@@ -49,9 +49,10 @@ def semantic_chunks(t):
     return M.semantic_boundaries(t.embeddings, "label", "vec_id", "embedding")
 
 
-@query("augmentation")
+@query("augmentation", """
+select doc_id, array_to_string(list_transform(string_split(text, ' '), lambda w, i: case when cast('0x' || substr(md5('aug:' || doc_id || ':' || (i - 1)), 1, 8) as bigint) < 1288490188 then case w when 'the' then 'that' when 'of' then 'from' when 'and' then 'plus' else w end else w end), ' ') as text from documents""")
 def augmentation(t):
-    return M.augmented(t.documents.where("lang = 'en'"), {"the": "that", "of": "from", "and": "plus"}, 0.3, "aug")
+    return M.augmented(t.documents, {"the": "that", "of": "from", "and": "plus"}, 0.3, "aug")
 
 
 @query("two_stage_rerank", """

@@ -169,7 +169,10 @@ def causal_matching(t):
     return m.select("t_id", "c_id", F.round("gap", 4).alias("gap"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("bootstrap_interval")
+@query("bootstrap_interval", """
+with u as (select draw, value, cast(('0x' || substr(md5('boot:' || draw || ':' || event_id), 1, 12)) as bigint) / 281474976710656.0 as u from events, range(50) r(draw)),
+m as (select draw, value, (select count(*) from (values (0.36787944117144233), (0.7357588823428847), (0.9196986029286058), (0.9810118431238462), (0.9963401531726563), (0.9994058151824183), (0.9999167588507119)) c(x) where u >= x) as k from u),
+d as (select draw, sum(k * value) / sum(k) as mean from m group by 1) select round(quantile_cont(mean, 0.025), 6) as low, round(quantile_cont(mean, 0.975), 6) as high from d""")
 def bootstrap_interval(t):
     b = Q.seeded_bootstrap(t.events, "event_id", "value", 50, "boot")
     return b.agg(F.round(F.percentile("mean", 0.025), 6).alias("low"), F.round(F.percentile("mean", 0.975), 6).alias("high"))

@@ -158,10 +158,10 @@ def quantized_search(t):
     return R.top_k(scored, "query_id", "score", "vec_id", 10)
 
 
-@query("embedding_quantize", "select vec_id, cast(list_sum(list_transform(embedding, lambda v, i: case when v >= 0 and i < 64 then (1::hugeint << (i - 1)) else 0 end)) as bigint) as low_bits from embeddings")
+@query("embedding_quantize", "select vec_id, cast(list_sum(list_transform(embedding, lambda v, i: case when v >= 0 and i < 64 then (1::hugeint << (i - 1)) else 0 end)) as bigint) as low_bits, embedding[64] >= 0 as high_bit from embeddings")
 def embedding_quantize(t):
     code = F.get(R.quantized(F.col("embedding")), 0)
-    return t.embeddings.select("vec_id", code.bitwiseAND(F.lit(2**63 - 1)).alias("low_bits"))
+    return t.embeddings.select("vec_id", code.bitwiseAND(F.lit(2**63 - 1)).alias("low_bits"), (code < 0).alias("high_bit"))
 
 
 @query("mmr_diversify")

@@ -73,14 +73,15 @@ def text_stats(t):
                     F.size(F.array_distinct("ws")).cast("long").alias("unique_words"), F.round(total / F.size("ws"), 6).alias("avg_word_length"))
 
 
-@query("text_sentences", r"""
-with s as (select doc_id, unnest(regexp_extract_all(trim(text), '[^.!?]*[.!?]+')) as x from documents) select doc_id, count(*) as n from s group by doc_id""")
+SPLIT_SQL = r"""s as (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?؟])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') as p from documents)"""
+
+
+@query("text_sentences", f"with {SPLIT_SQL} select doc_id, len(p)::bigint as n from s where len(p) > 0")
 def text_sentences(t):
-    marks = F.regexp_extract_all("text", F.lit("[.!?]++"), F.lit(0))
-    return t.documents.select("doc_id", F.explode(marks)).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return t.documents.select("doc_id", F.size(X.sentences(F.col("text"))).cast("long").alias("n")).where("n > 0")
 
 
-@query("text_sentence_split")
+@query("text_sentence_split", f"with {SPLIT_SQL} select doc_id, (generate_subscripts(p, 1) - 1)::int as pos, unnest(p) as sentence from s")
 def text_sentence_split(t):
     return t.documents.select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("pos", "sentence"))
 
@@ -92,18 +93,20 @@ def text_truncate(t):
 
 @query("text_keywords", r"""
 with w as (select doc_id, unnest(regexp_extract_all(text, '[a-zA-Z]{3,}')) as word, generate_subscripts(regexp_extract_all(text, '[a-zA-Z]{3,}'),1) as pos
-           from documents where lang = 'en'),
+           from documents),
 c as (select doc_id, word, count(*) as n, min(pos) as f from w group by 1,2),
 r as (select doc_id, word, n, cast(row_number() over (partition by doc_id order by n desc, f) as int) as rank from c)
 select * from r where rank <= 10""")
 def text_keywords(t):
-    seen = t.documents.where("lang = 'en'").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[a-zA-Z]{3,}"), F.lit(0))).alias("at", "word"))
+    seen = t.documents.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[a-zA-Z]{3,}"), F.lit(0))).alias("at", "word"))
     counted = seen.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("at").alias("f"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "f"))
     return counted.withColumn("rank", rank).where("rank <= 10").drop("f")
 
 
-@query("text_keywords_any")
+@query("text_keywords_any", r"""
+with w as (select doc_id, regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+') as ws from documents), x as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as pos from w),
+c as (select doc_id, word, count(*) as n, min(pos) as f from x where length(word) >= 3 group by 1, 2), r as (select doc_id, word, n, cast(row_number() over (partition by doc_id order by n desc, f) as int) as rank from c) select * from r where rank <= 10""")
 def text_keywords_any(t):
     return X.keywords(t.documents)
 
@@ -115,11 +118,15 @@ def text_chunks(t):
     return X.chunks(t.documents)
 
 
-@query("text_is_latin", r"""
-select doc_id, round(length(regexp_replace(text,'[^a-zA-Z]','','g'))/nullif(length(regexp_replace(text,'\s','','g')),0),6) as share from documents""")
-def text_is_latin(t):
-    part = F.length(F.regexp_replace("text", "[^a-zA-Z]", "")) / F.nullif(F.length(F.regexp_replace("text", r"\s", "")), F.lit(0))
-    return t.documents.select("doc_id", F.round(part, 6).alias("share"))
+PERSIAN_SQL = "(repeat('سلام ', (doc_id % 150)::int) || left(text, 2000))"
+
+
+@query("text_is_persian", rf"""
+select doc_id, length(regexp_replace({PERSIAN_SQL}, '[^\x{{0600}}-\x{{06FF}}]', '', 'g')) > 0.5 * length({PERSIAN_SQL}) as persian from documents""")
+def text_is_persian(t):
+    """Of texts with some Persian words put before them, as the tables have none."""
+    mixed = F.concat(F.repeat(F.lit("سلام "), (F.col("doc_id") % 150).cast("int")), F.substring("text", 1, 2000))
+    return t.documents.select("doc_id", X.is_persian(mixed).alias("persian"))
 
 
 @query("text_case_numbers", r"""
@@ -156,9 +163,12 @@ def text_groundedness(t):
     return q.select("conv_id", "turn", F.round(part, 6).alias("faithfulness"), F.round(1 - part, 6).alias("hallucination"))
 
 
-@query("text_ngram_overlap")
+@query("text_ngram_overlap", """
+with q as (select conv_id, turn, lower(text) as a, lead(lower(text)) over (partition by conv_id order by turn, text) as b from conversations),
+g as (select conv_id, turn, list_distinct(list_transform(range(1, greatest(length(a) - 1, 1)), lambda i: substr(a, i, 3))) as x, list_distinct(list_transform(range(1, greatest(length(b) - 1, 1)), lambda i: substr(b, i, 3))) as y from q where b is not null)
+select conv_id, turn, round(coalesce(len(list_intersect(x, y)) / nullif(len(x) + len(y) - len(list_intersect(x, y)), 0), 0), 6)::double as overlap from g""")
 def text_ngram_overlap(t):
-    w = Window.partitionBy("conv_id").orderBy("turn")
+    w = Window.partitionBy("conv_id").orderBy("turn", "text")
     q = t.conversations.select("conv_id", "turn", F.lower("text").alias("a"), F.lead(F.lower("text")).over(w).alias("b")).where("b is not null")
     return q.select("conv_id", "turn", F.round(X.jaccard(X.char_ngrams(F.col("a")), X.char_ngrams(F.col("b"))), 6).alias("overlap"))
 

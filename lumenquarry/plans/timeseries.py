@@ -49,7 +49,9 @@ def degradation(t):
     return S.degradation(t.events, "user_id", ORDER, "value")
 
 
-@query("trend")
+@query("trend", """
+with s as (select event_type, value, epoch_us(ts) / 1e6 as s from events), g as (select event_type, regr_slope(value, s - 1.7e9) as slope, arg_min(value, (s, value)) as v0, arg_max(value, (s, value)) as v1, min(s) as s0, max(s) as s1 from s group by 1)
+select event_type, round(slope * 1e6, 4) as slope_per_million_s, round(case when v0 <> 0 and s1 > s0 then 100 * (v1 - v0) / v0 / (s1 - s0) end * 1e6, 4) as rate_per_million_s from g""")
 def trend(t):
     return S.trend(t.events, "event_type", "ts", "value")
 
