@@ -4,25 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lumenquarry.operators.graph import cut
+from lumenquarry.operators.ordering import places
 
 
 def merkle_levels(leaves: DataFrame, value: str, group: str) -> list[DataFrame]:
     """Levels from the leaves up, each (group, pos, hash); the last has one row per group.
 
-    Leaves are ranked by hash once; a level halves positions, so each level is one aggregate of half the rows.
+    Leaves are ranked by hash once, in sorted ranges with offsets, so no task sees a whole group; a level halves
+    positions, so each level is one aggregate of half the rows.
     """
     h = leaves.select(group, F.sha2(F.col(value).cast("string"), 256).alias("hash"))
-    pos = F.row_number().over(Window.partitionBy(group).orderBy("hash")) - 1
-    levels = [cut(h.select(group, pos.alias("pos"), "hash"))]
+    h = places(h, group, ["hash"], "pos")
+    levels = [cut(h.select(group, (F.col("pos") - 1).alias("pos"), "hash"))]
     while levels[-1].where("pos > 0").limit(1).count():
         left, right = F.max(F.when(F.col("pos") % 2 == 0, F.col("hash"))), F.max(F.when(F.col("pos") % 2 == 1, F.col("hash")))
         up = levels[-1].groupBy(group, F.floor(F.col("pos") / 2).alias("pos")).agg(left.alias("l"), right.alias("r"), F.count("*").alias("n"))
-        alone = F.max("pos").over(Window.partitionBy(group)) == 0
         whole = F.sha2(F.concat("l", F.coalesce("r", "l")), 256)
-        up = up.withColumn("alone", alone & (F.col("n") == 1) & F.col("r").isNull())
         first = levels[-1].groupBy(group).agg(F.count("*").alias("size"))
         up = up.join(first, group).select(group, "pos", F.when(F.col("size") == 1, F.col("l")).otherwise(whole).alias("hash"))
         levels.append(cut(up))

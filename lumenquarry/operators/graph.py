@@ -182,7 +182,9 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def capped(edges: DataFrame, most: int) -> DataFrame:
     """Adds active: false beyond the `most` heaviest edges of a source; ties by target."""
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst"))
-    return edges.withColumn("active", rank <= most)
+    best = edges.select("src", "dst", "weight").withColumn("__r", rank).where(F.col("__r") <= most)  # limited before the shuffle
+    last = best.groupBy("src").agg(F.max(F.struct(-F.col("weight"), "dst")).alias("__last"))
+    return edges.join(last, "src").withColumn("active", F.struct(-F.col("weight"), "dst") <= F.col("__last")).drop("__last")
 
 
 def decayed(weight: Column, age_days: Column, half_life: float) -> Column:
@@ -202,9 +204,10 @@ def cycles(edges: DataFrame, length: int) -> DataFrame:
 
 
 def h_index(citations: DataFrame, by: str, count: str) -> DataFrame:
-    """Per key: the largest h with h rows of at least h citations."""
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(count)))
-    return citations.withColumn("r", rank).groupBy(by).agg(F.max(F.when(F.col(count) >= F.col("r"), F.col("r")).otherwise(0)).alias("h"))
+    """Per key: the largest h with h rows of at least h citations; rows are counted by value first, so few are ordered."""
+    per = citations.groupBy(by, F.col(count).alias("v")).agg(F.count("*").alias("n"))
+    above = F.sum("n").over(Window.partitionBy(by).orderBy(F.desc("v")))
+    return per.withColumn("above", above).groupBy(by).agg(F.max(F.least("v", "above")).cast("int").alias("h"))
 
 
 def lineage(records: DataFrame, start: DataFrame, depth: int = 10, forward: bool = False) -> DataFrame:

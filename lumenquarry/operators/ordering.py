@@ -42,19 +42,25 @@ def running_sums(df: DataFrame, order: list[str], columns: list[str]) -> DataFra
     return rows.drop("__part", "__at", *[f"__{c}" for c in columns])
 
 
+def places(df: DataFrame, by: str, order: list[str], name: str) -> DataFrame:
+    """Adds the place of each row in its key's order, from 1; no task sees a whole key."""
+    rows = positions(df, [by, *order], "__place")
+    first = cut(rows.groupBy(F.col(by).alias("__by")).agg(F.min("__place").alias("__first")))
+    rows = rows.join(first, F.col(by).eqNullSafe(F.col("__by")))
+    return rows.withColumn(name, F.col("__place") - F.col("__first") + 1).drop("__place", "__by", "__first")
+
+
 def blocks_of_series(df: DataFrame, by: str, order: list[str], overlap: int) -> DataFrame:
     """Rows of each key's series in blocks: adds __block, and __copy for the `overlap` rows that a block repeats of the one before.
 
     A window partitioned by (by, __block) sees up to `overlap` earlier rows of every row that isn't a copy, so a hot
     key is many tasks. The caller drops the copies.
     """
-    rows = positions(df, [by, *order], "__n")
-    first = rows.groupBy(by).agg(F.min("__n").alias("__first"))
-    rows = rows.join(first, rows[by].eqNullSafe(first[by])).drop(first[by])
+    rows = places(df, by, order, "__n")
     size = max(BLOCK_ROWS, 2 * overlap)
-    n = F.col("__n") - F.col("__first")
+    n = F.col("__n") - 1
     block = F.floor(n / size)
-    places = F.array(F.struct(block.alias("b"), F.lit(False).alias("c")))
+    own = F.array(F.struct(block.alias("b"), F.lit(False).alias("c")))
     copied = F.array(F.struct(block.alias("b"), F.lit(False).alias("c")), F.struct((block + 1).alias("b"), F.lit(True).alias("c")))
-    rows = rows.withColumn("__p", F.explode(F.when(n % size >= size - overlap, copied).otherwise(places)))
+    rows = rows.withColumn("__p", F.explode(F.when(n % size >= size - overlap, copied).otherwise(own)))
     return rows.select(*df.columns, F.col("__p.b").alias("__block"), F.col("__p.c").alias("__copy"))

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumenquarry.operators.graph import cut
+from lumenquarry.operators.ordering import running_sums
+
 
 def completeness(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row per column: share of values that are neither null, NaN nor empty; over 5 % missing is an issue."""
@@ -39,25 +42,26 @@ def outliers(df: DataFrame, column: str, by: str) -> DataFrame:
     """Per group: rows, rows outside the fences."""
     f = fences(df, column, [by])
     out = (F.col(column) < F.col("low")) | (F.col(column) > F.col("high"))
-    return df.join(F.broadcast(f), by).groupBy(by).agg(F.count("*").alias("n"), F.sum(out.cast("long")).alias("outliers"))
+    return df.join(f, by).groupBy(by).agg(F.count("*").alias("n"), F.sum(out.cast("long")).alias("outliers"))
 
 
 def ks_statistic(df: DataFrame, column: str, is_reference: Column) -> DataFrame:
-    """Kolmogorov-Smirnov distance of two samples in one frame: counts per value, then one running sum over distinct values."""
+    """Kolmogorov-Smirnov distance of two samples in one frame: counts per value, then running sums over ranges of values."""
     per = df.groupBy(F.col(column).alias("x")).agg(F.sum(is_reference.cast("long")).alias("r"), F.sum((~is_reference).cast("long")).alias("c"))
-    w = Window.orderBy("x")
-    all_ = Window.partitionBy()
-    gap = F.abs(F.sum("r").over(w) / F.sum("r").over(all_) - F.sum("c").over(w) / F.sum("c").over(all_))
-    return per.select(gap.alias("gap")).agg(F.round(F.max("gap"), 6).alias("ks"))
+    per = running_sums(per, ["x"], ["r", "c"])
+    total = F.broadcast(per.agg(F.max("sum_r").alias("all_r"), F.max("sum_c").alias("all_c")))  # one row
+    gap = F.abs(F.col("sum_r") / F.col("all_r") - F.col("sum_c") / F.col("all_c"))
+    return per.join(total).agg(F.round(F.max(gap), 6).alias("ks"))
 
 
 def chi_square(df: DataFrame, column: str, is_reference: Column) -> DataFrame:
     """Chi-square of the current counts against the reference's shares, aligned by category."""
     per = df.groupBy(F.col(column).alias("x")).agg(F.sum(is_reference.cast("long")).alias("r"), F.sum((~is_reference).cast("long")).alias("c"))
-    all_ = Window.partitionBy()
-    expected = F.col("r") * F.sum("c").over(all_) / F.sum("r").over(all_)
+    per = cut(per)
+    total = F.broadcast(per.agg(F.sum("r").alias("all_r"), F.sum("c").alias("all_c")))  # one row
+    expected = F.col("r") * F.col("all_c") / F.col("all_r")
     part = F.when(expected > 0, (F.col("c") - expected) * (F.col("c") - expected) / expected)
-    return per.select(part.alias("p")).agg(F.round(F.sum("p"), 4).alias("chi2"), F.count("*").alias("categories"))
+    return per.join(total).select(part.alias("p")).agg(F.round(F.sum("p"), 4).alias("chi2"), F.count("*").alias("categories"))
 
 
 def group_rates(df: DataFrame, group: str, prediction: str, label: str) -> DataFrame:
@@ -125,8 +129,8 @@ def signed_rank(df: DataFrame, d: Column) -> DataFrame:
     Ranks come from counts per distinct absolute value, so the running sum is over distinct values only.
     """
     per = df.select(F.abs(d).alias("x"), F.signum(d).alias("s")).where("x <> 0").groupBy("x").agg(F.count("*").alias("n"), F.sum((F.col("s") > 0).cast("long")).alias("pos"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rank = before + (F.col("n") + 1) / 2
+    per = running_sums(per, ["x"], ["n"])
+    rank = F.col("sum_n") - F.col("n") + (F.col("n") + 1) / 2
     per = per.select((rank * F.col("pos")).alias("wp"), (rank * (F.col("n") - F.col("pos"))).alias("wn"))
     return per.agg(F.round(F.sum("wp"), 2).alias("w_plus"), F.round(F.sum("wn"), 2).alias("w_minus"))
 

@@ -230,12 +230,17 @@ def citation_text(t):
 
 
 @query("dataset_hash", r"""
-select lang, sha256(string_agg(md5(doc_id || ':' || text), '' order by doc_id)) as digest, count(*) as n from documents group by lang""")
+with a as (select lang, doc_id // 4096 as b, sha256(string_agg(md5(doc_id || ':' || text), '' order by doc_id)) as h, count(*) as n from documents group by 1, 2),
+c as (select lang, b // 4096 as s, sha256(string_agg(h, '' order by b)) as h, sum(n) as n from a group by 1, 2) select lang, sha256(string_agg(h, '' order by s)) as digest, sum(n)::bigint as n from c group by 1""")
 def dataset_hash(t):
+    """A hash of hashes in two levels of 4096 ids each, so that no task holds a language's lines."""
     line = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("text")))
-    parts = F.array_sort(F.collect_list(F.struct("doc_id", line.alias("h"))))
-    rows = t.documents.groupBy("lang").agg(parts.alias("p"), F.count("*").alias("n"))
-    return rows.select("lang", F.sha2(F.concat_ws("", F.transform("p", lambda x: x["h"])), 256).alias("digest"), "n")
+    rows = t.documents.select("lang", F.col("doc_id").alias("k"), line.alias("h"), F.lit(1).alias("n"))
+    for group in (F.floor(F.col("k") / 4096), F.floor(F.col("k") / 4096), F.lit(0)):
+        parts = F.array_sort(F.collect_list(F.struct("k", "h")))
+        rows = rows.groupBy("lang", group.alias("up")).agg(parts.alias("p"), F.sum("n").alias("n"))
+        rows = rows.select("lang", F.col("up").alias("k"), F.sha2(F.concat_ws("", F.transform("p", lambda x: x["h"])), 256).alias("h"), "n")
+    return rows.select("lang", F.col("h").alias("digest"), "n")
 
 
 @query("dataset_versions_diff", """
