@@ -33,7 +33,7 @@ def entity_statistics(entities: DataFrame, label: str = "label", source: str = "
 def reference_edges(docs: DataFrame, lists: dict[str, Column], id_col: str) -> DataFrame:
     """Edges (src, dst, kind) from arrays of referenced ids, once each, to ids that exist; none to itself."""
     def named(kind: str, ids: Column) -> Column:
-        return F.transform(F.coalesce(ids, F.array().cast("array<long>")), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("dst")))
+        return F.transform(F.coalesce(ids, F.slice(ids, 1, 0), F.array()), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("dst")))
 
     refs = F.concat(*[named(k, c) for k, c in lists.items()])
     rows = docs.select(F.col(id_col).alias("src"), F.explode(refs).alias("r")).select("src", "r.dst", "r.kind").where("src <> dst").distinct()

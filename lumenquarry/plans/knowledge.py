@@ -350,3 +350,96 @@ def temperature_model(t):
     rows = t.labels.select("doc_id", ((F.col("quality") - 0.5) * 4 + (F.col("doc_id") % 7 - 3) / 3).alias("logit"), F.col("quality").alias("label"))
     heat = M.fit_temperature(rows)
     return rows.select("doc_id", F.round(1 / (1 + F.exp(-F.col("logit") / heat)), 6).alias("p"))
+
+
+@query("service_levels", """
+select event_type, count(*) as n, round(count(*) / (greatest(date_diff('second', min(ts), max(ts)), 1) / 60.0), 6)::double as per_minute, round(quantile_cont(value, 0.95), 6) as p95, round(quantile_cont(value, 0.99), 6) as p99,
+ round(avg(case when value > 90 then 1.0 else 0 end), 6)::double as error_rate, round(1 - avg(case when value > 90 then 1.0 else 0 end), 6)::double as availability from events group by 1""")
+def service_levels(t):
+    """Rate, tail latencies, share of errors and availability of each kind of event."""
+    sec = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / 1_000_000)
+    span = F.greatest(sec(F.max("ts")) - sec(F.min("ts")), F.lit(1)) / 60.0
+    bad = F.avg(F.when(F.col("value") > 90, 1.0).otherwise(0.0))
+    return t.events.groupBy("event_type").agg(
+        F.count("*").alias("n"), F.round(F.count("*") / span, 6).alias("per_minute"), F.round(F.percentile("value", 0.95), 6).alias("p95"),
+        F.round(F.percentile("value", 0.99), 6).alias("p99"), F.round(bad, 6).alias("error_rate"), F.round(1 - bad, 6).alias("availability"),
+    )
+
+
+@query("backup_health", """
+with m as (select max(ts) as now_ from events) select event_type, max(ts) as last, date_diff('day', max(ts)::date, any_value(now_)::date) as age_days, case when date_diff('day', max(ts)::date, any_value(now_)::date) <= 1 then 'ok' when date_diff('day', max(ts)::date, any_value(now_)::date) <= 7 then 'late' else 'missing' end as health
+from events, m where value >= 20 group by 1""")
+def backup_health(t):
+    """Age of the last good run of each kind against the newest event."""
+    now = F.broadcast(t.events.agg(F.max("ts").alias("now")))  # one row
+    x = t.events.where("value >= 20").groupBy("event_type").agg(F.max("ts").alias("last")).join(now)
+    age = F.datediff(F.col("now").cast("date"), F.col("last").cast("date")).cast("long")
+    return x.select("event_type", "last", age.alias("age_days"), F.when(age <= 1, "ok").when(age <= 7, "late").otherwise("missing").alias("health"))
+
+
+@query("court_histogram", "select o_orderpriority as court, extract(year from o_orderdate)::int as year, count(*) as n, round(avg(o_totalprice), 2) as mean from orders group by 1, 2")
+def court_histogram(t):
+    return t.orders.groupBy(F.col("o_orderpriority").alias("court"), F.year("o_orderdate").alias("year")).agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 2).alias("mean"))
+
+
+@query("timeline_span", "select o_custkey, min(o_orderdate) as first, max(o_orderdate) as last, date_diff('day', min(o_orderdate)::date, max(o_orderdate)::date) as days, count(*) as events from orders group by 1")
+def timeline_span(t):
+    days = F.datediff(F.max("o_orderdate").cast("date"), F.min("o_orderdate").cast("date")).cast("long")
+    return t.orders.groupBy("o_custkey").agg(F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last"), days.alias("days"), F.count("*").alias("events"))
+
+
+@query("hard_queries", f"""with {DENSE_SQL}, h as (select d.query_id, count(*) filter (where a.label = b.label) as hits, count(*) as n, max(score) as best from dense d join embeddings a on a.vec_id = d.query_id join embeddings b on b.vec_id = d.vec_id where d.rank <= 10 group by 1)
+select query_id, round(hits / n, 6) as precision, best from h where hits / n < 0.2 or best < 0.3 order by precision, query_id limit 20""")
+def hard_queries(t):
+    """The twenty worst of the query set: few hits of their own label, or nothing near."""
+    own = t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("label").alias("a"))
+    other = t.embeddings.select("vec_id", F.col("label").alias("b"))
+    x = dense(t).where("rank <= 10").join(own, "query_id").join(other, "vec_id")
+    h = x.groupBy("query_id").agg((F.count_if(F.col("a") == F.col("b")) / F.count("*")).alias("p"), F.max("score").alias("best")).where("p < 0.2 or best < 0.3")
+    return h.select("query_id", F.round("p", 6).alias("precision"), "best").orderBy("precision", "query_id").limit(20)
+
+
+@query("dangling_edges", """
+select 'lineitem.part' as edge, count(*) as n from lineitem where l_partkey not in (select p_partkey from part) union all select 'lineitem.supplier', count(*) from lineitem where l_suppkey not in (select s_suppkey from supplier)
+union all select 'orders.customer', count(*) from orders where o_custkey not in (select c_custkey from customer) union all select 'lineitem.order', count(*) from lineitem where l_orderkey not in (select o_orderkey from orders)""")
+def dangling_edges(t):
+    """Edges whose end doesn't exist, for each kind."""
+    gone = lambda name, e, n: e.join(n, "id", "left_anti").agg(F.lit(name).alias("edge"), F.count("*").alias("n"))
+    k = lambda df, c: df.select(F.col(c).alias("id"))
+    x = gone("lineitem.part", k(t.lineitem, "l_partkey"), k(t.part, "p_partkey")).unionAll(gone("lineitem.supplier", k(t.lineitem, "l_suppkey"), k(t.supplier, "s_suppkey")))
+    return x.unionAll(gone("orders.customer", k(t.orders, "o_custkey"), k(t.customer, "c_custkey"))).unionAll(gone("lineitem.order", k(t.lineitem, "l_orderkey"), k(t.orders, "o_orderkey")))
+
+
+@query("required_properties", " union all ".join(f"select '{a}.{c}' as property, count(*) as n, count(*) filter (where {c} is null or trim({c}::varchar) = '') as missing from {a}" for a, c in (("part", "p_name"), ("part", "p_brand"), ("documents", "text"), ("documents", "source"), ("pages", "url"), ("events", "props"))))
+def required_properties(t):
+    """Rows without a required property."""
+    def one(a, c):
+        empty = F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")
+        return getattr(t, a).agg(F.lit(f"{a}.{c}").alias("property"), F.count("*").alias("n"), F.count_if(empty).alias("missing"))
+
+    rows = [one(*x) for x in (("part", "p_name"), ("part", "p_brand"), ("documents", "text"), ("documents", "source"), ("pages", "url"), ("events", "props"))]
+    return rows[0].unionAll(rows[1]).unionAll(rows[2]).unionAll(rows[3]).unionAll(rows[4]).unionAll(rows[5])
+
+
+@query("group_rates", """
+with p as (select d.source as g, l.toxic as y, (length(d.text) % 3 = 0)::int as p from labels l join documents d using (doc_id))
+select g, count(*) as n, round(avg(p), 6) as positive_rate, round(avg(case when y = 1 then p end), 6) as true_positive_rate, round(avg(case when y = 0 then p end), 6) as false_positive_rate, round(avg(y), 6) as base_rate from p group by 1""")
+def group_rates(t):
+    """A bias report: each group's size, rates of positive predictions and of the label."""
+    p = t.labels.join(t.documents, "doc_id").select(F.col("source").alias("g"), F.col("toxic").alias("y"), (F.length("text") % 3 == 0).cast("int").alias("p"))
+    r = lambda c: F.round(F.avg(c), 6)
+    return p.groupBy("g").agg(
+        F.count("*").alias("n"), r("p").alias("positive_rate"), r(F.when(F.col("y") == 1, F.col("p"))).alias("true_positive_rate"),
+        r(F.when(F.col("y") == 0, F.col("p"))).alias("false_positive_rate"), r("y").alias("base_rate"),
+    )
+
+
+@query("conformal_intervals", """
+with e as (select abs(l_extendedprice - l_quantity * 1500) as e from lineitem where l_orderkey % 2 = 0), q as (select quantile_cont(e, 0.9) as w from e)
+select l_orderkey, l_linenumber, round(greatest(0, l_quantity * 1500 - w), 4)::double as low, round(l_quantity * 1500 + w, 4)::double as high from lineitem, q where l_orderkey % 2 = 1""")
+def conformal_intervals(t):
+    """Intervals of one half of the orders from the residuals of the other half, which calibrates them."""
+    guess = F.col("l_quantity") * 1500
+    w = t.lineitem.where("l_orderkey % 2 = 0").agg(F.percentile(F.abs(F.col("l_extendedprice") - guess), 0.9).alias("w"))
+    x = t.lineitem.where("l_orderkey % 2 = 1").join(F.broadcast(w))  # one row
+    return x.select("l_orderkey", "l_linenumber", F.round(F.greatest(F.lit(0.0), guess - F.col("w")), 4).alias("low"), F.round(guess + F.col("w"), 4).alias("high"))

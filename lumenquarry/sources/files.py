@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,11 +38,80 @@ def normalize_documents(raw: DataFrame) -> DataFrame:
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (path, kind, text): whole files, dispatched by extension; kinds without a parser are left to a hook."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    """Rows (path, kind, text): whole files, dispatched by extension; the text of .docx files is taken from their XML.
+
+    kind is text, html, docx, pdf, image or unknown. Kinds without a parser here (pdf, image, unknown) and broken .docx
+    files have a null text, never their bytes.
+    """
+    files = spark.read.format("binaryFile").load(path)
     ext = F.lower(F.regexp_extract("path", r"\.(\w+)$", 1))
-    kind = F.when(ext.isin("txt", "md", "log"), "text").when(ext.isin("html", "htm"), "html").when(ext.isin("pdf", "docx", "png", "jpg"), "binary").otherwise("unknown")
-    return files.select("path", kind.alias("kind"), "text")
+    kind = F.when(ext.isin("txt", "md", "log"), "text").when(ext.isin("html", "htm"), "html").when(ext == "docx", "docx")
+    kind = kind.when(ext == "pdf", "pdf").when(ext.isin("png", "jpg", "jpeg", "tif", "tiff"), "image").otherwise("unknown")
+    files = files.select("path", kind.alias("kind"), "content")
+    plain = files.where("kind <> 'docx'").select("path", "kind", F.when(F.col("kind").isin("text", "html"), F.decode("content", "UTF-8")).alias("text"))
+    return plain.unionByName(files.where("kind = 'docx'").mapInPandas(_docx_texts, "path string, kind string, text string"))
+
+
+def _docx_texts(batches):
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    space = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    for pdf in batches:
+        texts = []
+        for content in pdf["content"]:
+            try:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    root = ElementTree.fromstring(z.read("word/document.xml"))
+                texts.append("\n".join("".join(t.text or "" for t in p.iter(f"{space}t")) for p in root.iter(f"{space}p")))
+            except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+                texts.append(None)
+        yield pdf[["path", "kind"]].assign(text=texts)
+
+
+def load_checked(load: Callable[[], DataFrame], valid: Callable[[DataFrame], bool] | None = None, attempts: int = 3, wait: float = 0.1, skip: bool = False) -> DataFrame | None:
+    """What `load` gives, if it can be read and is valid; tried again after wait, 2 wait, ... seconds, then raised, or None with skip."""
+    for k in range(1, attempts + 1):
+        try:
+            df = load()
+            df.take(1)
+            if valid is not None and not valid(df):
+                raise ValueError("the loaded rows aren't valid")
+            return df
+        except Exception:
+            if k < attempts:
+                time.sleep(wait * k)
+            elif not skip:
+                raise
+    return None
+
+
+def load_files(spark: SparkSession, paths: list[str], **options) -> tuple[DataFrame | None, list[str]]:
+    """The documents of several files and the paths that failed; options: those of load_checked()."""
+    loaded = {p: load_checked(lambda p=p: read_documents(spark, p), **{"skip": True, **options}) for p in paths}
+    good = [df.withColumn("source_path", F.lit(p)) for p, df in loaded.items() if df is not None]
+    return (reduce(DataFrame.unionByName, good) if good else None), [p for p, df in loaded.items() if df is None]
+
+
+def byte_chunks(spark: SparkSession, path: str, size: int) -> DataFrame:
+    """Rows (path, chunk, bytes) of files cut into pieces of `size` bytes, the last one shorter."""
+    files = spark.read.format("binaryFile").load(path).where("length > 0")
+    rows = files.select("path", "content", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / size).cast("int"))).alias("chunk"))
+    return rows.select("path", "chunk", F.substring("content", F.col("chunk") * size + 1, F.lit(size)).alias("bytes"))
+
+
+def graph_from_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, label, text) and edges (src, dst, kind) of JSON lines with id, label, text, citations, references.
+
+    Edges lead to ids that exist; lines without an id are left out.
+    """
+    from lumenquarry.operators.knowledge import reference_edges
+
+    schema = "id string, label string, text string, citations array<string>, references array<string>"
+    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path).where("id is not null")
+    edges = reference_edges(rows, {"cites": F.col("citations"), "refers": F.col("references")}, "id")
+    return rows.select("id", "label", "text").dropDuplicates(["id"]), edges
 
 
 def stream_lines(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:

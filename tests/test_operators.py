@@ -185,3 +185,31 @@ def test_text_functions(spark):
     n = random.Random(0).randint(900, 1100)
     parts = text.chunks(spark.createDataFrame([(1, "x" * n), (2, ""), (3, "y" * 500)], "doc_id int, text string")).collect()
     assert max(r.end for r in parts if r.doc_id == 1) == n and [r.chunk for r in parts if r.doc_id == 3] == [0]
+
+
+def test_files_by_kind(spark, tmp_path):
+    """Word files are parsed, files without a parser have no text, loads are tried again, bytes come in chunks."""
+    import zipfile
+
+    d = tmp_path / "f"
+    d.mkdir()
+    (d / "a.txt").write_text("plain ü")
+    (d / "b.pdf").write_bytes(b"%PDF\xff")
+    (d / "c.docx").write_bytes(b"not a zip")
+    with zipfile.ZipFile(d / "d.docx", "w") as z:
+        ns = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{ns}"><w:body><w:p><w:r><w:t>One </w:t></w:r><w:r><w:t>two</w:t></w:r></w:p><w:p><w:r><w:t>Three</w:t></w:r></w:p></w:body></w:document>')
+    got = {r.path.rsplit("/", 1)[-1]: (r.kind, r.text) for r in files.read_texts(spark, str(d)).collect()}
+    assert got == {"a.txt": ("text", "plain ü"), "b.pdf": ("pdf", None), "c.docx": ("docx", None), "d.docx": ("docx", "One two\nThree")}
+    parts = files.byte_chunks(spark, str(d / "c.docx"), 4).orderBy("chunk").collect()
+    assert [bytes(r.bytes) for r in parts] == [b"not ", b"a zi", b"p"]
+    tries = []
+    with pytest.raises(ValueError):
+        files.load_checked(lambda: tries.append(1) or spark.range(3), lambda df: False, attempts=2, wait=0.01)
+    assert len(tries) == 2 and files.load_checked(lambda: spark.range(3), lambda df: False, attempts=1, skip=True) is None
+    (tmp_path / "x.jsonl").write_text('{"id": "1", "text": "x"}\n')
+    df, failed = files.load_files(spark, [str(tmp_path / "x.jsonl"), str(tmp_path / "none.jsonl")], wait=0.01)
+    assert df.count() == 1 and failed == [str(tmp_path / "none.jsonl")]
+    (tmp_path / "g.jsonl").write_text('{"id": "1", "citations": ["2", "9"], "references": ["1"]}\n{"id": "2", "references": ["1", "1"]}\n')
+    nodes, edges = files.graph_from_jsonl(spark, str(tmp_path / "g.jsonl"))
+    assert nodes.count() == 2 and {tuple(r) for r in edges.collect()} == {("1", "2", "cites"), ("2", "1", "refers")}
