@@ -15,7 +15,9 @@ from pyspark.sql.window import Window
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that one ordered block of a distributed rank or prefix sum aims at.
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 1024
+#: Blocks whose totals one task puts in order.
+RUN = 4096
 
 
 def text_of(name: str = "text") -> Column:
@@ -91,10 +93,15 @@ def with_offsets(
 ) -> DataFrame:
     """Add `name`: the sum of `amount` over all earlier blocks of the row's group.
 
-    One row per (group, block) is aggregated first, so the ordered window sees only block totals. totals_from:
-    a cheaper frame of the same rows to aggregate.
+    One row per (group, block) is aggregated first, so the ordered windows see only block totals, RUN of them in one
+    task, and the totals of such runs. totals_from: a cheaper frame of the same rows to aggregate.
     """
     sums = (df if totals_from is None else totals_from).groupBy(*group, block).agg(F.sum(amount).alias("__sum"))
-    before = Window.partitionBy(*group).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*group, block, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias(name))
+    sums = sums.withColumn("__run", F.floor(F.col(block) / RUN))
+    earlier = lambda keys, by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    runs = sums.groupBy(*group, "__run").agg(F.sum("__sum").alias("__sum"))
+    runs = runs.select(*group, "__run", so_far("__sum", earlier(group, "__run")).alias("__base"))
+    sums = sums.withColumn("__in", so_far("__sum", earlier([*group, "__run"], block)))
+    sums = sums.join(runs, [*group, "__run"]).select(*group, block, (F.col("__base") + F.col("__in")).alias(name))
     return df.join(sums, [*group, block])

@@ -55,7 +55,9 @@ def test_exact(spark, keep):
     assert exact_dedup.exact_duplicates(docs.limit(0), keep).count() == 0
 
 
-def test_sharding(spark):
+@pytest.mark.parametrize("run", [4096, 3])
+def test_sharding(spark, monkeypatch, run):
+    monkeypatch.setattr("lumenquarry.llm.common.RUN", run)
     rows, docs = odd_docs(spark, 1, 400)
     got = sharding.shard_documents(docs, [1.0, 1.0, 2.0, 1.0]).collect()
     assert len(got) == len(rows)
@@ -153,7 +155,9 @@ def fill(sizes, weights, share, epochs):
             return target
 
 
-def test_mixing(spark):
+@pytest.mark.parametrize("run", [4096, 3])
+def test_mixing(spark, monkeypatch, run):
+    monkeypatch.setattr("lumenquarry.llm.common.RUN", run)
     rows, docs = odd_docs(spark, 2)
     count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     sources = sorted({r[3] for r in rows}, key=lambda s: (s is None, s or ""))
