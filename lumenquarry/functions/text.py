@@ -182,3 +182,19 @@ def keywords(docs: DataFrame, top: int = 10, least: int = 3, id_col: str = "doc_
     counted = seen.groupBy(id_col, "word").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("n"), "first"))
     return counted.withColumn("rank", rank).where(F.col("rank") <= top).drop("first")
+
+
+def anchored_chunks(rows: DataFrame, word: str, id_col: str = "doc_id", chunk: str = "chunk", content: str = "content") -> DataFrame:
+    """Chunks (id, chunk, content) of which one that ends in the word, and so before its number, is joined with the next.
+
+    The text that neighbours share is there twice. A document's chunks are ordered together.
+    """
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy(id_col).orderBy(chunk)
+    split = F.col(content).rlike(rf"\b{word}\s*$")
+    first = F.coalesce(F.lag(split).over(w), F.lit(False))
+    runs = rows.withColumn("__run", F.sum((~first).cast("int")).over(w))
+    parts = F.array_sort(F.collect_list(F.struct(F.col(chunk).alias("c"), F.col(content).alias("t"))))  # neighbours of one document
+    joined = runs.groupBy(id_col, "__run").agg(parts.alias("p"))
+    return joined.select(id_col, F.get("p", 0)["c"].alias(chunk), F.concat_ws("", F.transform("p", lambda x: x["t"])).alias(content))

@@ -225,3 +225,53 @@ def quantum_walk(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, alpha: fl
         got = e.join(s, F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col("a") * F.col("share")).alias("g"))
         s = cut(s.join(got, F.col("id") == F.col("dst"), "left").select("id", (alpha * F.coalesce("g", F.lit(0.0)) + (1 - alpha) * F.col("a")).alias("a")))
     return s.select("id", (F.col("a") * F.col("a")).alias("score"))
+
+
+def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row, modularity: of communities (id, label) in an undirected graph."""
+    e = both_ways(edges)
+    a, b = (labels.select(F.col("id").alias(c), F.col("label").alias(f"l_{c}")) for c in ("src", "dst"))
+    told = e.join(a, "src").join(b, "dst")
+    per = told.groupBy(F.col("l_src").alias("label")).agg(F.count("*").alias("total"), F.sum((F.col("l_src") == F.col("l_dst")).cast("long")).alias("inside"))
+    return per.agg((F.sum("inside") / F.sum("total") - F.sum(F.col("total") * F.col("total")) / (F.sum("total") * F.sum("total"))).alias("modularity"))
+
+
+def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 20) -> DataFrame:
+    """Rows (id, label): the local moving phase of Louvain, all nodes at once.
+
+    Each round every node looks at the communities around it and may move to the one that raises modularity most; in
+    even rounds only to smaller labels, in odd ones only to larger, so that neighbours don't swap. It ends after two
+    rounds without a move. Ties: the smaller label.
+    """
+    e = cut(both_ways(edges))
+    degree = cut(e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("k")))
+    twice = degree.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
+    state = cut(nodes.select("id", F.col("id").alias("label")).join(degree, "id", "left").fillna(0, ["k"]))
+    still = 0
+    for r in range(rounds):
+        total = state.groupBy("label").agg(F.sum("k").alias("total"))
+        links = e.join(state.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.count("*").alias("shared"))
+        mine = state.select("id", F.col("label").alias("own"), "k")
+        options = links.join(total, "label").join(mine, "id")
+        rest = F.col("total") - F.when(F.col("label") == F.col("own"), F.col("k")).otherwise(0)
+        options = options.withColumn("gain", F.col("shared") - F.col("k") * rest / twice)
+        stay = options.where("label = own").select("id", F.col("gain").alias("stay"))
+        way = (F.col("label") < F.col("own")) if r % 2 == 0 else (F.col("label") > F.col("own"))
+        best = options.where(way).groupBy("id").agg(F.max(F.struct("gain", -F.col("label"))).alias("b"))
+        alone = state.join(total, "label").select("id", (-F.col("k") * (F.col("total") - F.col("k")) / max(twice, 1)).alias("alone"))
+        moves = best.join(alone, "id").join(stay, "id", "left").where(F.col("b.gain") > F.coalesce("stay", "alone") + 1e-9)
+        moves = cut(moves.select("id", (-F.col("b.col2")).alias("to")))
+        if moves.isEmpty():
+            still += 1
+            if still == 2:
+                break
+            continue
+        still = 0
+        state = cut(state.join(moves, "id", "left").select("id", F.coalesce("to", "label").alias("label"), "k"))
+    return state.select("id", "label")
+
+
+def weighted_hubs(edges: DataFrame, top: int) -> DataFrame:
+    """Rows (id, degree, strength) of the nodes with the greatest sum of weights of edges (src, dst, weight) at them."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id"), "weight")
+    return ends.groupBy("id").agg(F.count("*").alias("degree"), F.round(F.sum("weight"), 6).alias("strength")).orderBy(F.desc("strength"), "id").limit(top)

@@ -207,3 +207,23 @@ def retrieval_metrics(runs: DataFrame, qrels: DataFrame, k: int = 10) -> DataFra
         F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("reciprocal_rank"), safe("ap", "relevant").alias("average_precision"),
         safe("dcg", "ideal").alias("ndcg"), safe("dcg", "own_ideal").alias("ndcg_retrieved"),
     )
+
+
+def search(mode: str, sparse: DataFrame | None = None, dense: DataFrame | None = None, how: str = "weighted", top: int = 10, weights: dict[str, float] | None = None, rerank: Column | None = None) -> DataFrame:
+    """Rows (query_id, doc_id, score, rank) of ranked lists: dense, sparse or hybrid, fused by `how`, then rescored by `rerank`.
+
+    dense alone is divided by its best score and kept within 0 and 1; sparse alone keeps its scores.
+    """
+    if mode == "hybrid":
+        scored = fuse(ranked_lists(sparse=sparse, dense=dense), how, weights=weights or {"dense": 0.7, "sparse": 0.3})
+    elif mode == "dense":
+        best = F.max("score").over(Window.partitionBy("query_id"))
+        share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score") / best))
+        scored = dense.select("query_id", "doc_id", F.round(share, 6).alias("score"))
+    elif mode == "sparse":
+        scored = sparse.select("query_id", "doc_id", "score")
+    else:
+        raise ValueError(mode)
+    if rerank is not None:
+        scored = scored.withColumn("score", rerank)
+    return top_k(scored, "query_id", "score", "doc_id", top)

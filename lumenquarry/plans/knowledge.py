@@ -443,3 +443,49 @@ def conformal_intervals(t):
     w = t.lineitem.where("l_orderkey % 2 = 0").agg(F.percentile(F.abs(F.col("l_extendedprice") - guess), 0.9).alias("w"))
     x = t.lineitem.where("l_orderkey % 2 = 1").join(F.broadcast(w))  # one row
     return x.select("l_orderkey", "l_linenumber", F.round(F.greatest(F.lit(0.0), guess - F.col("w")), 4).alias("low"), F.round(guess + F.col("w"), 4).alias("high"))
+
+
+CHUNK_SQL = """c as (select doc_id, text, length(text) as n, unnest(range(0, cast(greatest(ceil((length(text)-500)/450.0),0) as bigint)+1)) as chunk from documents where length(text)>0),
+d as (select doc_id, cast(chunk as int) as chunk, substr(text, chunk*450+1, 500) as content from c)"""
+
+
+@query("anchored_chunks", rf"""with {CHUNK_SQL}, f as (select *, coalesce(lag(regexp_matches(content, '\bthe\s*$')) over (partition by doc_id order by chunk), false) as joined from d),
+r as (select *, sum((not joined)::int) over (partition by doc_id order by chunk) as run from f) select doc_id, min(chunk) as chunk, string_agg(content, '' order by chunk) as content from r group by doc_id, run""")
+def anchored_chunks(t):
+    from lumenquarry.functions.text import anchored_chunks, chunks
+
+    return anchored_chunks(chunks(t.documents).select("doc_id", "chunk", "content"), "the")
+
+
+@query("search_modes", f"""with {BM25_SQL}, {DENSE_SQL}, d as (select query_id, vec_id as doc_id, score from dense where query_id in (select item_id from benchmark)),
+l as (select query_id, doc_id, score, 'sparse' as list from sparse union all select query_id, doc_id, score, 'dense' from d), n as (select *, score / max(score) over (partition by query_id, list) as s from l),
+m as (select 'sparse' as mode, query_id, doc_id, score from sparse union all select 'dense', query_id, doc_id, round(least(1, greatest(0, score / max(score) over (partition by query_id))), 6) from d
+ union all select 'hybrid', query_id, doc_id, round(sum(case when list = 'dense' then 0.7 else 0.3 end * s), 6) from n group by 2, 3),
+r as (select *, row_number() over (partition by mode, query_id order by score desc, doc_id) as rank from m) select * from r where rank <= 10""")
+def search_modes(t):
+    s, d = G.cut(sparse(t)), G.cut(dense(t).join(asked(t).select("query_id"), "query_id", "left_semi").withColumnRenamed("vec_id", "doc_id"))
+    rows = [R.search(m, s, d).withColumn("mode", F.lit(m)) for m in ("sparse", "dense", "hybrid")]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query("graph_communities")
+def graph_communities(t):
+    """Communities of parts sold one after the other."""
+    e = together(t)
+    return G.communities(nodes_of(e), e, 8)
+
+
+@query("graph_modularity", f"""with {C_SQL}, u as (select src, dst from c union select dst, src from c), p as (select src % 10 as label, count(*) as total, sum((src % 10 = dst % 10)::int) as inside from u group by 1)
+select round(sum(inside) / sum(total) - sum(total * total) / (sum(total) * sum(total)), 8)::double as modularity from p""")
+def graph_modularity(t):
+    """Of the last digit as the community, so that the value can be recomputed anywhere."""
+    e = together(t)
+    return G.modularity(e, nodes_of(e).withColumn("label", F.col("id") % 10)).select(F.round("modularity", 8).alias("modularity"))
+
+
+@query("graph_weighted_hubs", """
+with e as (select l_suppkey + 1000000 as src, l_partkey as dst, sum(l_quantity) as w from lineitem group by 1, 2), x as (select src as id, w from e union all select dst, w from e)
+select id, count(*) as degree, round(sum(w), 6) as strength from x group by 1 order by strength desc, id limit 20""")
+def graph_weighted_hubs(t):
+    e = t.lineitem.groupBy((F.col("l_suppkey") + 1000000).alias("src"), F.col("l_partkey").alias("dst")).agg(F.sum("l_quantity").alias("weight"))
+    return G.weighted_hubs(e, 20)

@@ -284,3 +284,20 @@ def test_weights_and_scores(spark):
     assert {r.k: r.h for r in graph.h_index(h, "k", "n").collect()} == {"a": 3, "b": 1, "c": 1}
     ks = quality.ks_statistic(spark.createDataFrame([(x, x < 5) for x in range(10)], "x long, r boolean"), "x", F.col("r"))
     assert ks.first()[0] == 1.0
+
+
+def test_communities(spark):
+    """Two cliques with a bridge are two communities; moving raises modularity over single nodes and label propagation."""
+    clique = lambda a: [(a + i, a + j) for i in range(6) for j in range(i)]
+    edges = spark.createDataFrame([*clique(0), *clique(10), (0, 10)], "src long, dst long")
+    nodes = spark.createDataFrame([(i,) for i in [*range(6), *range(10, 16), 99]], "id long")
+    got = {r.id: r.label for r in graph.communities(nodes, edges).collect()}
+    assert got[99] == 99 and len({got[i] for i in range(6)}) == 1 == len({got[i] for i in range(10, 16)}) and got[1] != got[11]
+    both = graph.both_ways(edges).collect()
+    q = graph.modularity(edges, graph.communities(nodes, edges)).first()[0]
+    label = got
+    inside = sum(label[r.src] == label[r.dst] for r in both) / len(both)
+    share = Counter(label[r.src] for r in both)
+    assert math.isclose(q, inside - sum((n / len(both)) ** 2 for n in share.values()))
+    e = queries()["graph_communities"](spark, SF)
+    assert e.count() == 200
