@@ -28,7 +28,7 @@ from lumenquarry.llm.components import components
 #: Members of one side of a block that is compared in one task.
 BLOCK = 256
 #: Members that are verified against one end of their links in one task.
-STAR = 512
+STAR = 128
 #: Ids that are broadcast to pick rows out of the documents (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
