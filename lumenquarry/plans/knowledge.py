@@ -229,7 +229,13 @@ def semantic_matches(t):
 ANTONYMS = [("more", "less"), ("new", "old"), ("first", "last"), ("up", "down")]
 
 
-@query("opposed_turns")
+BARE = lambda c: f"list_filter({c}, lambda w: not list_contains({NEG_SQL}, w))"
+JACCARD = lambda a, b: f"coalesce(len(list_intersect({a}, {b})) / nullif(len({a}) + len({b}) - len(list_intersect({a}, {b})), 0), 0)"
+PAIRS_SQL = " or ".join(f"(list_contains({x}, '{p}') and list_contains({y}, '{q}'))" for p, q in ANTONYMS for x, y in (("x", "y"), ("y", "x")))
+
+
+@query("opposed_turns", f"""with {TURN_SQL}, c as (select conv_id, turn, {CANON('x')} as x, {CANON('y')} as y from s)
+select conv_id, turn, {PAIRS_SQL} or (list_has_any(x, {NEG_SQL}) <> list_has_any(y, {NEG_SQL}) and {JACCARD(BARE('x'), BARE('y'))} >= 0.5) as opposed from c""")
 def opposed_turns(t):
     return turns(t).select("conv_id", "turn", K.opposed(F.col("text"), F.col("next"), ANTONYMS, SYNONYMS).alias("opposed"))
 
