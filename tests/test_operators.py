@@ -213,3 +213,14 @@ def test_files_by_kind(spark, tmp_path):
     (tmp_path / "g.jsonl").write_text('{"id": "1", "citations": ["2", "9"], "references": ["1"]}\n{"id": "2", "references": ["1", "1"]}\n')
     nodes, edges = files.graph_from_jsonl(spark, str(tmp_path / "g.jsonl"))
     assert nodes.count() == 2 and {tuple(r) for r in edges.collect()} == {("1", "2", "cites"), ("2", "1", "refers")}
+
+
+def test_collected_stream_is_not_held_by_the_driver(spark, tmp_path):
+    """Rows of a stream lie in files, in complete mode those of the last batch, in append mode those of every batch."""
+    e = spark.sql("select id as event_id, concat('u', id) as user, timestamp_ntz'2024-01-01 00:00:00' as ts, 1.0d as value from range(4)")
+    e.repartition(2, "event_id").write.parquet(str(tmp_path / "in"))
+    stream = S.event_stream(spark, str(tmp_path / "in"), e.schema)
+    sessions = S.collected(S.sessions(stream, "10 minutes", "1 hour", "user", "value"), "whole", "complete", str(tmp_path / "c"))
+    ids = S.collected(stream.select("event_id"), "ids", "append", str(tmp_path / "d"))
+    assert sorted(r.user for r in sessions.collect()) == ["u0", "u1", "u2", "u3"] and sorted(r.event_id for r in ids.collect()) == [0, 1, 2, 3]
+    assert sessions.inputFiles() and ids.inputFiles() and not spark.catalog.tableExists("whole")
