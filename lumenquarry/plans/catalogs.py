@@ -7,18 +7,16 @@ from lumenquarry.operators import graph as G
 from lumenquarry.operators import retrieval as R
 from lumenquarry.plans.base import query
 from lumenquarry.plans.graph import nodes_of, supply
-from lumenquarry.plans.retrieval import DENSE_SQL, VECTORS, dense, vector_queries, vectors
+from lumenquarry.plans.retrieval import DENSE_SQL, dense, label_judgements, vector_queries, vectors
 
 
 @query("metrics_aggregate", f"""with {DENSE_SQL}, q as (select a.vec_id as query_id, count(*) as rel from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id where a.vec_id % 20 = 0 group by 1),
 h as (select d.query_id, count(*) as hits from dense d join embeddings a on a.vec_id = d.query_id join embeddings b on b.vec_id = d.vec_id and a.label = b.label where d.rank <= 10 group by 1),
 m as (select coalesce(hits, 0) / rel as recall from q left join h using (query_id)) select round(avg(recall), 6) as mean_recall, round(stddev_pop(recall), 6) as std_recall, count(*) filter (where recall > 0) as with_results from m""")
 def metrics_aggregate(t):
-    q = t.embeddings.where(VECTORS).select(F.col("vec_id").alias("query_id"), "label")
-    qrels = q.join(t.embeddings.select(F.col("vec_id").alias("doc_id"), "label"), "label").where("query_id <> doc_id").select("query_id", "doc_id", F.lit(1).alias("rel"))
-    runs = dense(t).withColumnRenamed("vec_id", "doc_id").where("rank <= 10")
-    hits = runs.join(qrels, ["query_id", "doc_id"]).groupBy("query_id").agg(F.count("*").alias("hits"))
-    m = qrels.groupBy("query_id").agg(F.count("*").alias("n")).join(hits, "query_id", "left").select((F.coalesce("hits", F.lit(0)) / F.col("n")).alias("r"))
+    runs, relevant = label_judgements(t, dense(t).where("rank <= 10"))
+    hits = runs.where("rel > 0").groupBy("query_id").agg(F.count("*").alias("hits"))
+    m = relevant.join(hits, "query_id", "left").select((F.coalesce("hits", F.lit(0)) / F.col("n")).alias("r"))
     return m.agg(F.round(F.avg("r"), 6).alias("mean_recall"), F.round(F.stddev_pop("r"), 6).alias("std_recall"), F.count_if(F.col("r") > 0).alias("with_results"))
 
 
@@ -116,7 +114,7 @@ with c as (select a.vec_id as query_id, b.vec_id, round(list_dot_product(a.embed
  from embeddings a, embeddings b where a.vec_id % 20 = 0 and b.vec_id < a.vec_id), r as (select query_id, vec_id, score, row_number() over (partition by query_id order by score desc, vec_id) as rank from c) select * from r where rank <= 10""")
 def vector_precedents(t):
     """Earlier vectors only."""
-    return R.nearest(vectors(t), vector_queries(t), 10, among=F.col("vec_id") < F.col("query_id"))
+    return R.nearest(vectors(t), vector_queries(t), 10, earlier=True)
 
 
 @query("ab_test", """
