@@ -10,6 +10,7 @@ from lumenquarry.plans.base import QUERIES
 SF = "/root/testdata/sf0.001"
 BY_BLOCKS = [
     "dense_search",
+    "dense_normalized",
 ]
 
 
