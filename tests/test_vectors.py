@@ -11,6 +11,7 @@ SF = "/root/testdata/sf0.001"
 BY_BLOCKS = [
     "dense_search",
     "dense_normalized",
+    "embedding_quality",
 ]
 
 
