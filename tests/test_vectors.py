@@ -12,6 +12,7 @@ BY_BLOCKS = [
     "dense_search",
     "dense_normalized",
     "embedding_quality",
+    "hard_queries",
 ]
 
 
