@@ -13,6 +13,7 @@ BY_BLOCKS = [
     "dense_normalized",
     "embedding_quality",
     "hard_queries",
+    "hybrid_borda",
 ]
 
 
