@@ -14,6 +14,7 @@ BY_BLOCKS = [
     "embedding_quality",
     "hard_queries",
     "hybrid_borda",
+    "hybrid_combsum",
 ]
 
 
