@@ -15,6 +15,7 @@ BY_BLOCKS = [
     "hard_queries",
     "hybrid_borda",
     "hybrid_combsum",
+    "hybrid_max",
 ]
 
 
