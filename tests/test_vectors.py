@@ -16,6 +16,7 @@ BY_BLOCKS = [
     "hybrid_borda",
     "hybrid_combsum",
     "hybrid_max",
+    "hybrid_rrf",
 ]
 
 
