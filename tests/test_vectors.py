@@ -17,6 +17,7 @@ BY_BLOCKS = [
     "hybrid_combsum",
     "hybrid_max",
     "hybrid_rrf",
+    "hybrid_rrf_normalized",
 ]
 
 
