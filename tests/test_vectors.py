@@ -18,6 +18,7 @@ BY_BLOCKS = [
     "hybrid_max",
     "hybrid_rrf",
     "hybrid_rrf_normalized",
+    "hybrid_three_ways",
 ]
 
 
