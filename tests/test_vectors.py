@@ -19,6 +19,7 @@ BY_BLOCKS = [
     "hybrid_rrf",
     "hybrid_rrf_normalized",
     "hybrid_three_ways",
+    "hybrid_weighted",
 ]
 
 
