@@ -20,6 +20,7 @@ BY_BLOCKS = [
     "hybrid_rrf_normalized",
     "hybrid_three_ways",
     "hybrid_weighted",
+    "metrics_aggregate",
 ]
 
 
