@@ -21,6 +21,7 @@ BY_BLOCKS = [
     "hybrid_three_ways",
     "hybrid_weighted",
     "metrics_aggregate",
+    "mmr_diversify",
 ]
 
 
