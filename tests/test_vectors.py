@@ -22,6 +22,7 @@ BY_BLOCKS = [
     "hybrid_weighted",
     "metrics_aggregate",
     "mmr_diversify",
+    "retrieval_metrics",
 ]
 
 
