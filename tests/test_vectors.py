@@ -23,6 +23,7 @@ BY_BLOCKS = [
     "metrics_aggregate",
     "mmr_diversify",
     "retrieval_metrics",
+    "search_modes",
 ]
 
 
