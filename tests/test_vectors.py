@@ -24,6 +24,7 @@ BY_BLOCKS = [
     "mmr_diversify",
     "retrieval_metrics",
     "search_modes",
+    "similarity_edges",
 ]
 
 
