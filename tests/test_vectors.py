@@ -25,6 +25,7 @@ BY_BLOCKS = [
     "retrieval_metrics",
     "search_modes",
     "similarity_edges",
+    "vector_precedents",
 ]
 
 
