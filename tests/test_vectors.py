@@ -26,6 +26,7 @@ BY_BLOCKS = [
     "search_modes",
     "similarity_edges",
     "vector_precedents",
+    "blended_rerank",
 ]
 
 
