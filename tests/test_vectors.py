@@ -27,6 +27,7 @@ BY_BLOCKS = [
     "similarity_edges",
     "vector_precedents",
     "blended_rerank",
+    "cross_document_edges",
 ]
 
 
