@@ -28,6 +28,7 @@ BY_BLOCKS = [
     "vector_precedents",
     "blended_rerank",
     "cross_document_edges",
+    "hybrid_min",
 ]
 
 
