@@ -24,13 +24,13 @@ def results(spark, tmp_path, name, table, rows, schema):
     return sorted(map(repr, (tuple(r[c] for c in cols) for r in df.collect()))), sorted(map(repr, want))
 
 
-@pytest.mark.parametrize("name", ["pii_scrub_values"])
+@pytest.mark.parametrize("name", ["pii_scrub_values", "pii_is_safe"])
 def test_documents(spark, tmp_path, name):
     got, want = results(spark, tmp_path, name, "documents", list(enumerate(TEXTS)), "doc_id long, text string")
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["pii_scrub_values"])
+@pytest.mark.parametrize("name", ["pii_scrub_values", "pii_is_safe"])
 def test_long_texts_take_linear_time(spark, tmp_path, name):
     text = "Some words. " * 1_000_000 + "a@b.com"
     spark.createDataFrame([(1, text), (2, "word" * 1_000_000 + "@")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
