@@ -38,3 +38,9 @@ def test_long_texts_take_linear_time(spark, tmp_path, name):
     began = time.time()
     assert QUERIES[name](spark, str(tmp_path)).agg(F.count("*")).first()[0] in (1, 2)
     assert time.time() - began < 15
+
+
+def test_sentences_on_odd_rows(spark, tmp_path):
+    texts = ["A. B", "A.\x0bB", "A.\u00a0B", "\u3000A. \u00a0 B!\u2003", "A\x01B. C", "A.  \t\r\n\fB?", "...", ". . .", "\u00a0", "A.\n\u2028B", "é؟ é", "", None]
+    got, want = results(spark, tmp_path, "text_sentence_split", "documents", list(enumerate(texts)), "doc_id long, text string")
+    assert got == want
