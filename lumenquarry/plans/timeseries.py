@@ -88,8 +88,12 @@ select user_id, day, n, case when sd > 0 and (n - m)/sd > 3 then 'high' when nig
 def actor_threats(t):
     d = t.events.groupBy("user_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(
         F.count("*").alias("n"), F.sum((F.col("event_type") == "error").cast("int")).alias("errors"), F.sum((F.hour("ts") < 6).cast("int")).alias("night"))
-    s = d.groupBy("user_id").agg(F.avg("n").alias("m"), F.stddev_pop("n").alias("sd"))
-    threat = F.when((F.col("sd") > 0) & ((F.col("n") - F.col("m")) / F.col("sd") > 3), "high").when(F.col("night") > 5, "medium").when(F.col("errors") / F.col("n") > 0.5, "low").otherwise("none")
+    # a distance of over three deviations in whole numbers: rounding would decide the days at exactly three
+    whole = lambda c: F.col(c).cast("decimal(20,0)")
+    s = d.groupBy("user_id").agg(F.count("*").alias("k"), F.sum("n").alias("s"), F.sum(whole("n") * whole("n")).alias("q"))
+    above = whole("k") * whole("n") - whole("s")
+    far = (above > 0) & (above * above > (whole("k") * F.col("q") - whole("s") * whole("s")) * 9)
+    threat = F.when(far, "high").when(F.col("night") > 5, "medium").when(F.col("errors") / F.col("n") > 0.5, "low").otherwise("none")
     return d.join(s, "user_id").select("user_id", "day", "n", threat.alias("threat"))
 
 

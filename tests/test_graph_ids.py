@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from lumenquarry.plans.base import QUERIES, SQL
+from lumenquarry.plans.catalog import QUERIES, SQL
 
 LINES = [(1, 1000001), (1, 7), (2, 1000001), (20, 1000020), (20, 7), (3, 1000020), (40, 1000003), (3, 1000040), (5, 20), (5, 9), (60, 9)]
 

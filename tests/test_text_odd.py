@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lumenquarry.plans.base import QUERIES, SQL
+from lumenquarry.plans.catalog import QUERIES, SQL
 
 TEXTS = [
     "a@b.co-x@c.org", "..me@x.com", "%+-@x.com", "éa@b.com", "a@b.comé", "a@b.c|9@x.yz", "a@b.com@c.org", "x" * 70 + "@y.de", "." * 80 + "q@r.st", "a@b.c", "_@b.de_", "a@b..com", "a@b.com-é",
@@ -50,3 +50,14 @@ def test_intent_on_odd_rows(spark, tmp_path):
     texts = ["éthe", "theé x", "ofé", "quel que", "éla", "The", "_of", "a-die-b", "of1", "dasß", "le\u0301", "", None]
     got, want = results(spark, tmp_path, "query_intent", "benchmark", list(enumerate(texts)), "item_id long, text string")
     assert got == want
+
+
+def test_threats_at_exactly_three_deviations(spark, tmp_path):
+    """Nine equal days and a busier one: the distance is three deviations whatever the counts, so not above it; eleven days are."""
+    rows = [(u, d, n + (k if d == 4 else 0)) for u, (n, k) in enumerate((n, k) for n in range(1, 13) for k in range(1, 9)) for d in range(10)]
+    rows += [(1000, d, 9 if d == 4 else 2) for d in range(11)]
+    days = spark.createDataFrame(rows, "user_id long, d int, n int")
+    e = days.selectExpr("user_id", "cast(timestamp'2024-01-01 12:00:00' + make_interval(0, 0, 0, d) as timestamp_ntz) as ts", "explode(sequence(1, n)) as event_id", "'view' as event_type")
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    high = QUERIES["actor_threats"](spark, str(tmp_path)).where("threat = 'high'").collect()
+    assert [(r.user_id, r.n) for r in high] == [(1000, 9)]

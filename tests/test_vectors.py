@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lumenquarry.operators import retrieval as R
 from lumenquarry.operators import vectors as V
-from lumenquarry.plans.base import QUERIES
+from lumenquarry.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
 BY_BLOCKS = [
