@@ -191,10 +191,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id
 
         table, end = WordTable(tokenizer), np.array([end_id], "<u4").tobytes()
         size = 4 * capacity
-        for batch in in_slices(batches):
+        for batch in in_slices(batches, 4096):
             ids, out = batch.column(0), ([], [], [], [], [])
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                packed = table.encode(text) + end
+            for row, text_ids in enumerate(table.encode_all(batch.column(1))):
+                packed = bytes(text_ids) + end
                 for k, at in enumerate(range(0, len(packed), size)):
                     part = packed[at : at + size]
                     for to, v in zip(out, (row, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):

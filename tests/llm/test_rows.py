@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -303,6 +304,34 @@ def test_word_table_on_odd_ends():
         assert table.encode(t.encode()) == plain(t), ascii(t)
 
 
+def test_words_before_marks_need_no_encoding_of_their_own(monkeypatch):
+    """Each word once through the BPE model, whatever marks follow it; before, every word with other marks than . and , was encoded whole."""
+    table, calls = wordbpe.WordTable(tokenizer_path()), []
+    whole = wordbpe.WordTable._any
+    monkeypatch.setattr(wordbpe.WordTable, "_any", lambda self, piece: calls.append(piece) or whole(self, piece))
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdeé") for _ in range(9)) for _ in range(400)]
+    text = " ".join(w + rng.choice(["$$$", ",###", "!!", "'", ".", ""]) for w in words)
+    assert table.encode(text.encode()) == np.array(table.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert len(calls) <= 10
+
+
+@pytest.mark.parametrize("kind", [pa.binary(), pa.large_binary()])
+def test_word_table_on_many_texts(monkeypatch, kind):
+    """Blocks of few bytes and a table that is often full, slices, empty and blank texts, bytes that are no UTF-8."""
+    monkeypatch.setattr(wordbpe, "TEXT_BYTES", 90)
+    monkeypatch.setattr(wordbpe, "TABLE_SIZE", 25)
+    table, rng = wordbpe.WordTable(tokenizer_path()), random.Random(13)
+    pieces = [*LISTED.split(" "), "abc", "abc$$$", "Abc.", "éa!", "été,,", "İa?", "don't", "a1.", "<|endoftext|>", "<|ENDOFTEXT|>", "x" * 41 + "!", "가나.", "ab", "!"]
+    texts = [rng.choice(["", " ", "\n"]) + rng.choice([" ", "\t\r\n", "\x0b"]).join(rng.choices(pieces, k=rng.randint(0, 30))) for _ in range(300)]
+    raw = [*(t.encode() for t in texts), b"\xff ab\xc3 \xe6\x97 ab.\xfe! c", b"", b"\x00 \x1c", b"y" * 100_000]
+    want = [np.array(table.tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes() for t in raw]
+    column = pa.array([b"skipped", *raw], kind)[1:]
+    for _ in range(2):
+        assert [bytes(x) for x in table.encode_all(column)] == want
+    assert list(table.encode_all(column[:0])) == [] and [bytes(x) for x in table.encode_all(pa.array([b"", b" "], kind))] == [b"", b""]
+
+
 def test_local_search_ends_where_nothing_improves():
     rng = random.Random(11)
     for capacity, low, high in ((60, 15, 40), (100, 25, 64)):
