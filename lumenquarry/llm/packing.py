@@ -187,9 +187,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        from lumenquarry.llm.wordbpe import WordTable
+        from lumenquarry.llm.wordbpe import table_of
 
-        table, end = WordTable(tokenizer), np.array([end_id], "<u4").tobytes()
+        table, end = table_of(tokenizer), np.array([end_id], "<u4").tobytes()
         size = 4 * capacity
         for batch in in_slices(batches, 4096):
             ids, out = batch.column(0), ([], [], [], [], [])

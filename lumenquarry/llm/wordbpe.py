@@ -7,8 +7,10 @@ pieces it has met in a bounded table, and the words it hasn't met go through the
 
 from __future__ import annotations
 
+import os
 import string
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -95,6 +97,14 @@ class WordTable:
         packed = ids.tobytes()
         return [packed[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
+    def _tail(self, marks: bytes) -> bytes:
+        ids = self.young.get(marks)
+        if ids is None:
+            ids = self._any(marks)
+            if len(marks) <= LONGEST:
+                self.young[marks] = ids
+        return ids
+
     def _learn(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of different pieces that the young generation lacks."""
         out = list(map(self.old.get, pieces))
@@ -119,7 +129,7 @@ class WordTable:
         made.update((w, self._any(w)) for w in heads.union(words) - made.keys() - ids.keys())
         kept.update(made)
         ids.update(made)
-        tails, plain = {marks: self._any(marks) for marks in {marks for _, _, marks in marked}}, set(plain)
+        tails, plain = {marks: self._tail(marks) for marks in {marks for _, _, marks in marked}}, set(plain)
         for k, head, marks in marked:
             if head in plain or self._ends_in_letter(head):  # one entry for a word, whatever follows it
                 out[k] = ids[head] + tails[marks]
@@ -147,15 +157,17 @@ class WordTable:
     def _block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         large = pa.types.is_large_binary(texts.type)
         texts = texts.view(pa.large_string() if large else pa.string())
+        pool = pa.system_memory_pool()  # its blocks are used again, with fewer page faults than Arrow's own
         # special tokens are found before letters are lower-cased
-        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
-        split = pc.ascii_split_whitespace(texts)
-        coded = split.flatten().dictionary_encode()
+        special = pc.match_substring(texts, "<|", memory_pool=pool)
+        texts = pc.if_else(special, texts, pc.ascii_lower(texts, memory_pool=pool), memory_pool=pool)
+        split = pc.ascii_split_whitespace(texts, memory_pool=pool)
+        coded = pc.dictionary_encode(split.flatten(), memory_pool=pool)
         pieces = coded.dictionary.view(pa.large_binary() if large else pa.binary())
         if not len(pieces):
             return np.zeros(0, "<u4"), np.zeros(len(split), np.int64)
         one = pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), pieces)
-        ids = self._ids(pc.binary_join(one, pa.scalar(b" ", pieces.type))[0].as_py().split(b" "))
+        ids = self._ids(pc.binary_join(one, pa.scalar(b" ", pieces.type), memory_pool=pool)[0].as_py().split(b" "))
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         of = coded.indices.to_numpy()
         sizes, first = sizes[of], (np.cumsum(sizes) - sizes)[of]
@@ -180,3 +192,15 @@ class WordTable:
     def encode(self, text: bytes) -> bytes:
         """Packed ids of a whole UTF-8 text."""
         return bytes(next(self.encode_all(pa.array([text], pa.binary()))))
+
+
+@lru_cache(maxsize=1)
+def _table(path: str, changed: int, size: int) -> WordTable:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # idle threads would spin beside the one text of a call
+    return WordTable(path)
+
+
+def table_of(path: str) -> WordTable:
+    """The table of this process, which the tasks that a worker runs in turn share; anew for another or a changed file."""
+    at = os.stat(path)
+    return _table(path, at.st_mtime_ns, at.st_size)

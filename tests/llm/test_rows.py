@@ -316,6 +316,15 @@ def test_words_before_marks_need_no_encoding_of_their_own(monkeypatch):
     assert len(calls) <= 10
 
 
+def test_tasks_of_a_worker_share_the_table(tmp_path):
+    path = tmp_path / "words.json"
+    path.write_bytes(open(tokenizer_path(), "rb").read())
+    table = wordbpe.table_of(str(path))
+    assert wordbpe.table_of(str(path)) is table
+    path.write_bytes(path.read_bytes() + b"\n")
+    assert wordbpe.table_of(str(path)) is not table
+
+
 @pytest.mark.parametrize("kind", [pa.binary(), pa.large_binary()])
 def test_word_table_on_many_texts(monkeypatch, kind):
     """Blocks of few bytes and a table that is often full, slices, empty and blank texts, bytes that are no UTF-8."""
